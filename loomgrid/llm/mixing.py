@@ -101,8 +101,7 @@ def rounded(units: DataFrame, seed: int = 0) -> DataFrame:
         if left == 1:
             break
         rows, left, level = rest.withColumn("g", F.floor(F.col("g") / FAN).cast("long")), math.ceil(left / FAN), level + 1
-    u = _uniform(F.lit(seed + 1000), F.col("unit.h"))
-    out.append(rest.select(F.col("unit.id").alias("id"), (u < F.col("unit.p")).cast("long").alias("extra")))
+    out.append(rest.select(F.col("unit.id").alias("id"), F.round(F.col("unit.p")).cast("long").alias("extra")))  # one document a source: to the nearer side
     whole = out[0]
     for x in out[1:]:
         whole = whole.unionByName(x)
