@@ -63,9 +63,9 @@ def _let(value: Column, then) -> Column:
 
 
 def _pair(seed: int):
-    """Fold of a group's units (h, id, source, size, p): one unit stays in ``rest``, decided ones gather in ``done``."""
+    """Fold of a group's units (size, h, id, p), the largest first so that small ones even out what they leave: one unit stays in ``rest``, decided ones gather in ``done``."""
 
-    unit = lambda x, v: F.struct(x.h.alias("h"), x.id.alias("id"), x["size"].alias("size"), v.alias("p"))
+    unit = lambda x, v: F.struct(x["size"].alias("size"), x.h.alias("h"), x.id.alias("id"), v.alias("p"))
     near = lambda v: F.least(v, 1 - v)
 
     def moved(a: Column, b: Column) -> Column:
@@ -87,14 +87,14 @@ def _pair(seed: int):
 
 def rounded(units: DataFrame, seed: int = 0) -> DataFrame:
     """id, extra (0 or 1) for units (source, id, h, size double > 0, p strictly between 0 and 1, n units of the source)."""
-    kind = "struct<h:bigint,id:struct<source:string,key:bigint,size:bigint>,size:double,p:double>"
+    kind = "struct<size:double,h:bigint,id:struct<source:string,key:bigint,size:bigint>,p:double>"
     top = units.agg(F.max("n").alias("n")).first()["n"] or 0
     groups = lambda n: F.greatest(F.lit(1), F.ceil(n / FAN)).cast("long")
-    rows = units.select("source", F.pmod(F.col("h"), groups(F.col("n"))).alias("g"), F.struct("h", "id", "size", "p").cast(kind).alias("unit"))
+    rows = units.select("source", F.pmod(F.col("h"), groups(F.col("n"))).alias("g"), F.struct("size", "h", "id", "p").cast(kind).alias("unit"))
     out, level, left = [], 0, max(1, math.ceil(top / FAN))
     while True:
         start = F.struct(F.lit(None).cast(kind).alias("rest"), F.array().cast("array<struct<id:struct<source:string,key:bigint,size:bigint>,extra:bigint>>").alias("done"))
-        folded = rows.groupBy("source", "g").agg(F.sort_array(F.collect_list("unit")).alias("units"))
+        folded = rows.groupBy("source", "g").agg(F.sort_array(F.collect_list("unit"), asc=False).alias("units"))
         folded = folded.select("source", "g", F.aggregate("units", start, _pair(seed + level)).alias("f"))
         out.append(folded.select(F.inline("f.done")))
         rest = folded.select("source", "g", F.col("f.rest").alias("unit"))

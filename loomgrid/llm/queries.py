@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, mixing, urlrules
+from . import bpe, chat, fertility, langid, mixing, toxicity, urlrules
 from .common import remainder, table
 
 #: The rules that op3 judges by, and what its conversation -1 says.
@@ -40,19 +40,37 @@ def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge(table(spark, sf_dir, "pages"), URL_RULES).drop("n_candidates")
 
 
+def op4_duckdb_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = mixing.taken(mixing.plan(table(spark, sf_dir, "documents")))
     return done.select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op6_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.judged(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def op7_lexicon_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (remainder("doc_id", 3) == 1).alias("held_out"))
+    labels = table(spark, sf_dir, "labels").filter(remainder("doc_id", 3) != 1)
+    lexicon = toxicity.learn(docs.filter("not held_out"), labels)
+    return toxicity.scored(docs, lexicon).drop("text")
+
+
 def op9_hyper_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (remainder("doc_id", 4) == 2).alias("held_out"))
     model = langid.learn(docs.filter("not held_out"))
     return langid.predict(docs.select("doc_id", "held_out", "text"), model).drop("text")
 
 
+ALL = (op1_chat_format, op3_url_rules, op4_duckdb_bpe, op5_pivotal_mix, op6_fertility, op7_lexicon_toxicity, op9_hyper_langid)
+
+
 def queries() -> dict:
-    return {"op1_chat_format": op1_chat_format, "op3_url_rules": op3_url_rules, "op5_pivotal_mix": op5_pivotal_mix, "op9_hyper_langid": op9_hyper_langid}
+    return {f.__name__: f for f in ALL}
 
 
 def oracle_sql() -> dict[str, str]:
