@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fertility, langid, mixing, toxicity, urlrules
+from . import bpe, chat, fertility, jaccard, langid, mixing, toxicity, urlrules
 from .common import remainder, table
 
 #: The rules that op3 judges by, and what its conversation -1 says.
@@ -60,13 +60,17 @@ def op7_lexicon_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, lexicon).drop("text")
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.joined(table(spark, sf_dir, "documents"))
+
+
 def op9_hyper_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (remainder("doc_id", 4) == 2).alias("held_out"))
     model = langid.learn(docs.filter("not held_out"))
     return langid.predict(docs.select("doc_id", "held_out", "text"), model).drop("text")
 
 
-ALL = (op1_chat_format, op3_url_rules, op4_duckdb_bpe, op5_pivotal_mix, op6_fertility, op7_lexicon_toxicity, op9_hyper_langid)
+ALL = (op1_chat_format, op3_url_rules, op4_duckdb_bpe, op5_pivotal_mix, op6_fertility, op7_lexicon_toxicity, op8_ngram_jaccard, op9_hyper_langid)
 
 
 def queries() -> dict:
