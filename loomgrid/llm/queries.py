@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fertility, jaccard, langid, mixing, toxicity, urlrules
+from . import bpe, chat, fertility, jaccard, langid, metric_topk, mixing, suffix, toxicity, urlrules
 from .common import remainder, table
 
 #: The rules that op3 judges by, and what its conversation -1 says.
@@ -36,6 +36,12 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"))
+    whole = given.filter(metric_topk.usable(F.col("e"))).select("vec_id", F.transform("e", lambda x: F.when(F.abs(x) < float(1 << 44), F.floor(x * 256).cast("double")).otherwise(x * 256)).alias("v"))
+    return metric_topk.top_k(whole, whole.filter("vec_id % 50 = 0"))
+
+
 def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge(table(spark, sf_dir, "pages"), URL_RULES).drop("n_candidates")
 
@@ -70,7 +76,11 @@ def op9_hyper_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "held_out", "text"), model).drop("text")
 
 
-ALL = (op1_chat_format, op3_url_rules, op4_duckdb_bpe, op5_pivotal_mix, op6_fertility, op7_lexicon_toxicity, op8_ngram_jaccard, op9_hyper_langid)
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+ALL = (op1_chat_format, op2_mtree_topk, op3_url_rules, op4_duckdb_bpe, op5_pivotal_mix, op6_fertility, op7_lexicon_toxicity, op8_ngram_jaccard, op9_hyper_langid, op10_suffix_dedup)
 
 
 def queries() -> dict:
