@@ -287,6 +287,12 @@ def _links(slim: DataFrame, sets: DataFrame, width: int, percent: int, order: Or
 
 
 def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows whose id is the least of their component, whole; documents with an empty set all stay."""
-    found = joined(docs, key, text, width, percent).filter((F.col("n_shingles") > 0) & ~F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("gone_")).distinct()
-    return docs.join(found, docs[key].eqNullSafe(F.col("gone_")), "left_anti")
+    """The rows whose id is the least of their component, whole; documents with an empty set all stay.
+
+    Rows that repeat both id and text are one document.
+    """
+    placed = written(joined(docs, key, text, width, percent).select(F.col(key).alias("id_"), "n_shingles", "component_id"))
+    gone = placed.filter((F.col("n_shingles") > 0) & ~F.col("id_").eqNullSafe(F.col("component_id"))).select("id_").distinct()
+    kept = docs.join(gone, docs[key].eqNullSafe(F.col("id_")), "left_anti")
+    repeats = placed.filter("n_shingles > 0").groupBy("id_").agg(F.count("*").alias("c")).filter("c > 1").limit(1).count()
+    return kept.dropDuplicates([key, text]) if repeats else kept
