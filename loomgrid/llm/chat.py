@@ -25,7 +25,7 @@ TURNS = "array<struct<role:string,text:string>>"
 #: The control strings of common chat templates, which no formatted text may hold by itself, as the first
 #: character and a pattern for the rest. Backslashes between the two are the escape.
 CONTROL_FIRST = r"[<\[]"
-CONTROL_REST = r"(?=\||/?s>|/?INST\]|<SYS>>|/SYS>>|</SYS>>)"
+CONTROL_REST = r"(?=\||/?s>|/?INST\]|<SYS>>|</SYS>>)"
 
 
 @dataclass(frozen=True)

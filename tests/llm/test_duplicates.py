@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 
 import pytest
 
@@ -13,7 +14,7 @@ def plain_components(rows, width, percent):
     low = {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
     sets = []
     for _, t in rows:
-        w = jaccard.WORDS.findall((t or "").translate(low))
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(low))
         sets.append({tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else ({tuple(w)} if w else set()))
     label = list(range(len(rows)))
     for i in range(len(rows)):
