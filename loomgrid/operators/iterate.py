@@ -44,7 +44,7 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, rounds: int | None = No
     return best
 
 
-def jacobi(px: DataFrame, fixed: DataFrame, rounds: int = 1000, tolerance: float = 1e-10, every: int = 10) -> DataFrame:
+def jacobi(px: DataFrame, fixed: DataFrame, rounds: int = 1000, tolerance: float = 1e-10, every: int = 5) -> DataFrame:
     """Laplace's equation on the pixels (x, y, v): the mean of the four neighbours in the mask, fixed pixels (x, y, v) kept.
 
     Neighbours outside the mask count as the pixel itself. Lineage is cut and the change measured every few rounds.

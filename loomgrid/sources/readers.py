@@ -40,7 +40,7 @@ def wide_counts(spark: SparkSession, path: str, sep: str = "\t", gene: str | Non
     g = gene or d.columns[0]
     others = [c for c in d.columns if c != g]
     d = d.select(F.col(g).alias("feature"), *[F.col(f"`{c}`").cast("double").alias(c) for c in others])
-    return d.unpivot(["feature"], others, "obs", "value").filter("value > 0").select("obs", "feature", "value")
+    return d.unpivot(["feature"], [F.col(f"`{c}`") for c in others], "obs", "value").filter("value > 0").select("obs", "feature", "value")
 
 
 def headerless_counts(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
