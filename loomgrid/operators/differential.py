@@ -132,7 +132,7 @@ def variance_inflation(df: DataFrame, xs: list[str], limit: float = 5.0) -> list
     while len(kept) > 1:
         at = [xs.index(c) for c in kept]
         sd = np.sqrt(np.maximum(np.diag(cov)[at], 1e-300))
-        vif = np.diag(np.linalg.pinv(cov[np.ix_(at, at)] / np.outer(sd, sd)))
+        vif = np.diag(np.linalg.inv(cov[np.ix_(at, at)] / np.outer(sd, sd) + 1e-9 * np.eye(len(at))))
         worst = int(vif.argmax())
         if vif[worst] <= limit:
             break

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.mathx import kernel, safe_divide
+from ..functions.session import checkpointed
 
 
 def distance(axes: list[str], a: str, b: str) -> Column:
@@ -55,16 +56,18 @@ def knn(points: DataFrame, k: int, axes=("x", "y"), key: str = "id") -> DataFram
     wide = max([*spans, 1e-9])
     volume = math.prod(max(s, wide * 1e-3) for s in spans)
     radius = max((volume * 2 * (k + 1) / max(n, 1)) ** (1 / len(axes)), wide * 1e-6)
-    wanted, out, enough = points, None, min(k, max(n - 1, 0))
+    enough = min(k, max(n - 1, 0))
+    if not enough:
+        return ranked(within(points, 1.0, axes, key, points).filter("src <> dst"), k)
+    wanted, out = points, None
     while True:
         last = radius >= wide * math.sqrt(len(axes)) * 1.01
-        pairs = within(wanted, radius, axes, key, points).filter("src <> dst")
-        found = ranked(pairs, k).withColumn("got", F.count("*").over(Window.partitionBy("src")))
+        found = checkpointed(ranked(within(wanted, radius, axes, key, points).filter("src <> dst"), k).withColumn("got", F.count("*").over(Window.partitionBy("src"))))
         full = found.filter(F.col("got") >= enough).drop("got")
         out = full if out is None else out.unionByName(full)
-        if last or not enough:
+        if last:
             return out
-        wanted = wanted.join(full.select(F.col("src").alias(key)).distinct(), key, "left_anti")
+        wanted = checkpointed(wanted.join(full.select(F.col("src").alias(key)).distinct(), key, "left_anti"))
         if not wanted.limit(1).count():
             return out
         radius *= 2
