@@ -87,5 +87,62 @@ def queries() -> dict:
     return {f.__name__: f for f in ALL}
 
 
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+LOWERED = f"translate({{}}, '{UPPER}', '{UPPER.lower()}')"
+
+CHAT_SQL = r"""
+WITH c AS (
+    SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, COALESCE(role, '') AS role, COALESCE(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), e AS (
+    SELECT *, len(regexp_extract_all(text, '[<\[]\\*(?:\||/?s>|/?INST\]|<SYS>>|</SYS>>)')) AS marks FROM c
+)
+SELECT conv_id, COUNT(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    CAST(COALESCE(SUM(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(COALESCE(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    CAST(SUM(12 + length(role) + 1 + length(text) + marks + 11) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+TOP_SQL = """
+WITH e AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score FROM e q JOIN e c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, CAST(ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+QUALIFY ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
+"""
+
+_FITS = " ".join(
+    f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '/{p}') THEN '{r.text}'" for r in sorted(URL_RULES, key=lambda r: -len(r.text)) for h, _, p in [r.text.partition("/")]
+)
+_PATTERNS = "|".join(r.text.strip("^") for r in urlrules.DEFAULT_PATTERNS)
+URL_SQL = rf"""
+WITH u AS (
+    SELECT page_id, {LOWERED.format("regexp_extract(COALESCE(url, ''), '^.*?://([^/?#]*)([^?#]*)', 1, 's')")} AS host, regexp_extract(COALESCE(url, ''), '^.*?://([^/?#]*)([^?#]*)', 2, 's') AS path FROM pages
+), r AS (SELECT *, CASE {_FITS} END AS rule FROM u)
+SELECT page_id, host, path, rule,
+    CASE WHEN rule IS NOT NULL THEN CASE WHEN rule IN ({", ".join(f"'{r.text}'" for r in URL_RULES if r.verdict == "allow")}) THEN 'allow' ELSE 'block' END
+        WHEN regexp_matches(host || path, '(^|[^A-Za-z0-9%])({_PATTERNS})([^A-Za-z0-9%]|$)') THEN 'block' ELSE 'allow' END AS verdict
+FROM r
+"""
+
+JACCARD_SQL = rf"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all({LOWERED.format("COALESCE(text, '')")}, '[^ 	-]+') AS ws FROM documents
+), s AS (
+    SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS sh FROM w
+), n AS (SELECT doc_id, len(sh) AS n FROM s), t AS (SELECT doc_id, unnest(sh) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, COUNT(*) AS o FROM t a JOIN t b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 90 * (x.n + y.n - o)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+c(doc_id, label) AS (SELECT doc_id, doc_id FROM n UNION SELECT e.b, c.label FROM c JOIN e ON e.a = c.doc_id WHERE c.label < e.b)
+SELECT doc_id, ANY_VALUE(n) AS n_shingles, MIN(label) AS component_id FROM c JOIN n USING (doc_id) GROUP BY doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others hold a random choice, a model, a vocabulary or bytes of texts, which SQL can't express; tests compare them with brute force."""
+    return {"op1_chat_format": CHAT_SQL, "op2_mtree_topk": TOP_SQL, "op3_url_rules": URL_SQL, "op8_ngram_jaccard": JACCARD_SQL}
