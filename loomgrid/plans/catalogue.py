@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import differential, geometry, graph, iterate, labels, learn, matrix, raster, spatial
+from ..operators import differential, geometry, graph, iterate, labels, learn, matrix, raster, spatial, windows
 from ..streaming import bins as stream_bins
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -752,6 +752,64 @@ def pricing_summary(spark, d):
     return li.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count("*").alias("n"))
 
 
+# Orders
+
+
+@query("SELECT p_partkey, ROUND(AVG(p_retailprice) OVER (ORDER BY p_partkey ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), 5) AS moving FROM part")
+def moving_mean(spark, d):
+    p = t(spark, d, "part").select("p_partkey", "p_retailprice")
+    return windows.moving_mean(p, "p_retailprice", ["p_partkey"], 7).select("p_partkey", rd("moving", 5).alias("moving"))
+
+
+@query(
+    "WITH s AS (SELECT p_partkey AS id, ROW_NUMBER() OVER (ORDER BY p_partkey) AS i, COUNT(*) OVER () AS n, STDDEV_POP(p_size) OVER (ORDER BY p_partkey ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS s FROM part) "
+    "SELECT id, ROUND(CASE WHEN i <= 4 THEN (SELECT s FROM s WHERE i = 5) WHEN i > n - 4 THEN (SELECT s FROM s WHERE i = n - 4) ELSE s END, 6) AS moving FROM s"
+)
+def moving_deviation(spark, d):
+    p = t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("v"))
+    return shown(windows.moving_deviation(p, "v", ["id"], 9), "id", "moving")
+
+
+@query("WITH b AS (SELECT p_partkey AS id, p_size AS v, FLOOR((ROW_NUMBER() OVER (ORDER BY p_retailprice, p_partkey) - 1) / 100) AS b FROM part) SELECT id, ROUND((COUNT(*) OVER (PARTITION BY b ORDER BY v DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) + 1) / (COUNT(*) OVER (PARTITION BY b) + 1), 6) AS p FROM b")
+def rank_in_bins(spark, d):
+    p = t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("v"), "p_retailprice")
+    return shown(windows.rank_p(p, "v", "p_retailprice", "id", 100), "id", "p")
+
+
+@query("SELECT p_partkey, ROUND((p_retailprice - AVG(p_retailprice) OVER (PARTITION BY p_brand)) / STDDEV_SAMP(p_retailprice) OVER (PARTITION BY p_brand), 6) + 0.0 AS z FROM part")
+def group_zscore(spark, d):
+    return shown(windows.group_zscore(t(spark, d, "part"), "p_retailprice", ["p_brand"]), "p_partkey", "z")
+
+
+@query()
+def permutation_test(spark, d):
+    p = t(spark, d, "part").select("p_partkey", "p_retailprice", (F.col("p_size") > 45).alias("large"))
+    return windows.permutation_p(p, "p_retailprice", "large", "p_partkey", 50)
+
+
+@query("WITH s AS (SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS x, p_retailprice / 100 AS y FROM part WHERE p_partkey <= 300), d AS (SELECT id, COALESCE(SQRT((x - LAG(x) OVER (ORDER BY id)) * (x - LAG(x) OVER (ORDER BY id)) + (y - LAG(y) OVER (ORDER BY id)) * (y - LAG(y) OVER (ORDER BY id))), 0) AS d FROM s), a AS (SELECT id, SUM(d) OVER (ORDER BY id) AS arc FROM d) SELECT id, ROUND(arc, 4) AS arc FROM a")
+def arc_length(spark, d):
+    p = t(spark, d, "part").filter("p_partkey <= 300").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("x"), (F.col("p_retailprice") / 100).alias("y"))
+    return windows.arc_segments(p, "id", 10).select("id", rd("arc", 4).alias("arc"))
+
+
+@query(f"WITH {knn_sql(5)}, {PVAL}, l AS (SELECT src AS obs, AVG(z) AS lag FROM e JOIN zz ON zz.obs = e.dst GROUP BY 1), k AS (SELECT p_brand AS \"group\", CASE WHEN z > 0 AND lag > 0 THEN 1 WHEN z <= 0 AND lag > 0 THEN 2 WHEN z <= 0 AND lag <= 0 THEN 3 ELSE 4 END AS quadrant, COUNT(*) AS n FROM zz JOIN l USING (obs) JOIN part ON p_partkey = obs GROUP BY 1, 2) SELECT \"group\", quadrant, n, ROUND(n / SUM(n) OVER (PARTITION BY \"group\"), 6) AS fraction, ROUND(n / SUM(n) OVER (PARTITION BY quadrant), 6) AS specificity FROM k")
+def hotspot_summary(spark, d):
+    g = brands(spark, d).withColumnRenamed("label", "group")
+    return shown(spatial.hotspot_summary(spatial.local_moran(part_edges(spark, d), prices(spark, d)), g), "group", "quadrant", "n", "fraction", "specificity")
+
+
+@query(f"WITH {knn_sql(9)}, {LB}, v AS (SELECT src, label, COUNT(*) AS n, MIN(rank) AS f FROM e JOIN l ON l.obs = e.dst GROUP BY 1, 2), b AS (SELECT src, label AS best, n AS nb FROM v QUALIFY ROW_NUMBER() OVER (PARTITION BY src ORDER BY n DESC, f) = 1) SELECT l.obs, CASE WHEN COALESCE(v.n, 0) < 4.5 AND nb > 4.5 THEN best ELSE l.label END AS label FROM l LEFT JOIN v ON v.src = l.obs AND v.label = l.label LEFT JOIN b ON b.src = l.obs")
+def refined_label(spark, d):
+    return graph.refined_label(graph.knn(points(spark, d), 9), brands(spark, d), 9)
+
+
+@query(f"WITH {X}, {G}, b AS (SELECT obs, feature, value FROM x) SELECT feature, SUM(value) AS total, COUNT(DISTINCT \"group\") AS n_groups FROM b JOIN g USING (obs) WHERE feature IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) GROUP BY 1")
+def semi_joined_totals(spark, d):
+    s = t(spark, d, "supplier").filter("s_acctbal > 0").select(F.col("s_suppkey").alias("feature"))
+    return counts(spark, d).join(s, "feature", "left_semi").join(groups(spark, d), "obs").groupBy("feature").agg(F.sum("value").alias("total"), F.count_distinct("group").alias("n_groups"))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
