@@ -7,7 +7,7 @@ by fragment and summed per pair; what the prefix fragment alone rules out goes n
 1. ``set_rows``: each document's distinct shingles as 64-bit hashes; equal sets become one set. Shingles that are frequent
    within some partition are counted over all; the ``HEAVY`` most frequent come last in the order. The list decides only
    how much work is done, never the result.
-2. Prefix rows (token, set, size, position) are shuffled by token; tokens that only one set has in its prefix can't link and are only counted.
+2. Prefix rows (token, set, size, position) are written; of tokens that only one set has in its prefix just the number is kept.
 3. First round: in every token's group, each set is paired with one hub, the set that has the token earliest. So a group
    of n near copies yields n pairs. Verified links give components.
 4. Second round, exact: all pairs of a group whose components differ, filtered by size, by position, and by the tokens
@@ -25,26 +25,34 @@ non-null id of their component; an empty table gives an empty table; further col
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, written
+from .common import cut, written
 
 #: Frequent shingles that are put last; a shingle is reported by a partition from so many sets on.
 HEAVY, HEAVY_LOCAL = 200_000, 4
 #: Ranges of the order behind the prefix. Bits that tell the candidate documents.
 FRAGMENTS, BITS = 4, 1 << 25
+#: Tokens that similar sets must share beyond one in the compared part of their prefixes.
+MORE = 2
 #: Distinct words whose hashes a worker remembers.
 REMEMBERED = 500_000
 
-LOWER = {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
-WORDS = re.compile(WORD)
-_hashes: dict[str, int] = {}
+
+
+class _Hashes(dict):
+    """Hashes of words, computed when first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        x = self[word] = xxhash.xxh3_64_intdigest(word)
+        return x
+
+
+_hashes = _Hashes()
 
 
 def _rotated(x: np.ndarray, n: int) -> np.ndarray:
@@ -53,17 +61,13 @@ def _rotated(x: np.ndarray, n: int) -> np.ndarray:
 
 def shingles(text: str | None, width: int) -> np.ndarray:
     """The sorted hashes (int64) of a text's distinct shingles."""
-    words = WORDS.findall((text or "").translate(LOWER))
+    # of bytes, lower() changes A-Z only and split() parts at the blanks that words end at
+    words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
         return np.zeros(0, np.int64)
     if len(_hashes) > REMEMBERED:
         _hashes.clear()
-    h = np.empty(len(words), np.uint64)
-    for i, w in enumerate(words):
-        x = _hashes.get(w)
-        if x is None:
-            x = _hashes[w] = xxhash.xxh3_64_intdigest(w)
-        h[i] = x
+    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
     span = min(width, len(h))
     out = np.full(len(h) - span + 1, 0x51ED270B * span, np.uint64)
     for k in range(span):
@@ -195,19 +199,31 @@ def _needed(percent: int, n: Column, m: Column) -> Column:
     return F.ceil(F.lit(percent) * (n + m) / F.lit(100.0 + percent) - F.lit(1e-9))
 
 
+def _reach(percent: int, n: Column, m: Column) -> Column:
+    """How many of the first tokens of a set of size n are compared with a set of size m.
+
+    Similar sets share one of the first n - need + 1 tokens of both. MORE tokens make them share that many more, as far as
+    the stored prefix goes.
+    """
+    stored = n - F.ceil(F.lit(percent) * n / F.lit(100.0) - F.lit(1e-9)) + 1
+    return F.least(stored, n - _needed(percent, n, m) + 1 + MORE)
+
+
 def _may(percent: int, a: str, b: str) -> Column:
     """Exact filters for a shared token: sizes, positions, and the tokens that only one of the two has."""
     n, m, i, j = (F.col(f"{x}.{c}") for c in ("n", "pos") for x in (a, b))
     need = _needed(percent, n, m)
     alone = F.least(n - F.col(f"{a}.alone"), m - F.col(f"{b}.alone"))
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1) >= need) & (alone >= need)
+    compared = (i < _reach(percent, n, m)) & (j < _reach(percent, m, n))
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & compared & (F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1) >= need) & (alone >= need)
 
 
 def _promising(pairs: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs (x, n, y, m) whose count of shared prefix tokens doesn't rule them out."""
     counted = pairs.groupBy("x", "y").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("m").alias("m"))
-    rest = F.ceil(F.lit(percent) * F.greatest("n", "m") / F.lit(100.0) - F.lit(1e-9)) - 1
-    return counted.filter(F.col("c") + rest >= _needed(percent, F.col("n"), F.col("m"))).select("x", "n", "y", "m")
+    n, m = F.col("n"), F.col("m")
+    rest = F.greatest(n - _reach(percent, n, m), m - _reach(percent, m, n))
+    return counted.filter(F.col("c") + rest >= _needed(percent, n, m)).select("x", "n", "y", "m")
 
 
 def bitmap(ids: DataFrame) -> np.ndarray:
@@ -267,18 +283,19 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
 
 def _links(slim: DataFrame, sets: DataFrame, width: int, percent: int, order: Order) -> DataFrame:
     """Links between sets that connect all that are connected."""
-    prefix = written(prefix_rows(slim, width, percent, order).groupBy("token", "key").agg(F.first("n").alias("n"), F.first("pos").alias("pos")))
-    hubs = cut(prefix.groupBy("token").agg(F.count("*").alias("df"), F.min(F.struct("pos", "n", "key")).alias("hub")).filter("df > 1"))
-    shared = written(prefix.join(hubs, "token").drop("df"))
+    prefix = written(prefix_rows(slim, width, percent, order))
+    several = cut(prefix.groupBy("token").agg(F.min("key").alias("a"), F.max("key").alias("b")).filter("a <> b").select("token"))
+    shared = written(prefix.join(several, "token").groupBy("token", "key").agg(F.first("n").alias("n"), F.first("pos").alias("pos")))
     length = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / F.lit(100.0) - F.lit(1e-9)) + 1
     alone = shared.groupBy("key").agg((F.first(length) - F.count("*")).cast("int").alias("alone"))
     shared = written(shared.join(cut(alone), "key"))
-    a = shared.withColumn("b", F.struct(F.col("hub.n").alias("n"), F.col("hub.pos").alias("pos"), F.lit(0).alias("alone"))).withColumn("a", F.struct("n", "pos", "alone"))
+    hubs = cut(shared.groupBy("token").agg(F.min(F.struct("pos", "n", "key")).alias("hub")))
+    a = shared.join(hubs, "token").withColumn("b", F.struct(F.col("hub.n").alias("n"), F.col("hub.pos").alias("pos"), F.lit(0).alias("alone"))).withColumn("a", F.struct("n", "pos", "alone"))
     star = a.filter((F.col("key") != F.col("hub.key")) & _may(percent, "a", "b"))
     star = star.select(F.least("key", "hub.key").alias("x"), F.greatest("key", "hub.key").alias("y"), F.when(F.col("key") < F.col("hub.key"), F.col("a.n")).otherwise(F.col("b.n")).alias("n"), F.when(F.col("key") < F.col("hub.key"), F.col("b.n")).otherwise(F.col("a.n")).alias("m"))
     found = written(verified(written(_promising(star, percent)), slim, sets, width, percent, order))
     known = components(found)
-    rows = cut(shared.drop("hub").join(known, "key", "left").withColumn("label", F.coalesce("label", "key")))
+    rows = cut(shared.join(known, "key", "left").withColumn("label", F.coalesce("label", "key")))
     a, b = rows.alias("a"), rows.alias("b")
     cross = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.key") < F.col("b.key")) & (F.col("a.label") != F.col("b.label")) & _may(percent, "a", "b"))
     cross = cross.select(F.col("a.key").alias("x"), F.col("a.n").alias("n"), F.col("b.key").alias("y"), F.col("b.n").alias("m"))
