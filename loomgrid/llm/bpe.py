@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding by DuckDB queries in each partition.
 
 A text is cut by the public pattern; the pieces not known yet go into one recursive query: rows (word, position, token)
-join the merge table, and each step contracts each word's leftmost pair of least rank, until no pair of any word is in the
-table. Decoding joins token rows to the vocabulary and aggregates their bytes in order.
+join the merge table, and each step contracts each word's leftmost pair of least rank; words of which no pair is in the
+table are done. Decoding joins token rows to the vocabulary and aggregates their bytes in order.
 
 The query's rows for a word grow with the square of its bytes, so pieces of over ``LONG_BYTES`` bytes follow the same rule
 with a heap instead; the results are equal. Each Python worker remembers up to ``REMEMBERED`` words, then starts anew; a
@@ -32,23 +32,18 @@ REMEMBERED, BLOCK = 400_000, 30_000
 DECODED_AT_ONCE = 1 << 20
 
 ENCODE = """
-WITH RECURSIVE steps(word, pos, id, step) AS (
-    SELECT word, pos, id, 0 FROM bytes_of
+WITH RECURSIVE steps(word, pos, id, done) AS (
+    SELECT word, pos, id, false FROM bytes_of
     UNION ALL
-    SELECT word, pos, CASE WHEN here = best THEN best >> 32 ELSE id END, step + 1
-    FROM (
-        SELECT *, min(here) OVER (PARTITION BY word) AS best, lag(here) OVER (PARTITION BY word ORDER BY pos) AS before
-        FROM (
-            SELECT p.word, p.pos, p.id, p.step, (m.merged << 32) + p.pos AS here
-            FROM (SELECT *, lead(id) OVER (PARTITION BY word ORDER BY pos) AS next FROM steps) p
-            LEFT JOIN merges m ON m.pair = (CAST(p.id AS BIGINT) << 32) + p.next
-        )
-    )
-    WHERE best IS NOT NULL AND (before IS NULL OR before <> best)
+    (WITH pairs AS (
+        SELECT p.word, p.pos, p.id, p.after, (m.merged << 32) + p.pos AS here
+        FROM (SELECT *, CASE WHEN lead(word) OVER w = word THEN lead(id) OVER w END AS next, lead(pos) OVER w AS after FROM steps WHERE NOT done WINDOW w AS (ORDER BY pos)) p
+        LEFT JOIN merges m ON m.pair = (CAST(p.id AS BIGINT) << 32) + p.next
+    ), best AS (SELECT word, min(here) AS least, arg_min(after, here) AS gone FROM pairs GROUP BY word)
+    SELECT p.word, p.pos, CASE WHEN p.here = b.least THEN b.least >> 32 ELSE p.id END, b.least IS NULL
+    FROM pairs p JOIN best b USING (word) WHERE b.least IS NULL OR p.pos <> b.gone)
 )
-SELECT word, list(id ORDER BY pos) AS ids
-FROM (SELECT *, max(step) OVER (PARTITION BY word) AS last FROM steps)
-WHERE step = last GROUP BY word ORDER BY word
+SELECT word, id FROM steps WHERE done ORDER BY pos
 """
 DECODE = "SELECT t.text AS text, string_agg(v.chars, '' ORDER BY t.pos) AS chars FROM tokens t JOIN vocabulary v USING (id) GROUP BY t.text ORDER BY t.text"
 
@@ -115,13 +110,13 @@ class Coder:
 
     def _learn_block(self, block: list[tuple[str, bytes]]) -> None:
         sizes = np.array([len(b) for _, b in block])
-        first = np.cumsum(sizes) - sizes
-        word = np.repeat(np.arange(len(block)), sizes)
+        word = np.repeat(np.arange(len(block), dtype=np.int32), sizes)
         ids = self.single[np.frombuffer(b"".join(b for _, b in block), np.uint8)]
-        self.db.register("bytes_of", pa.table({"word": word, "pos": np.arange(len(word)) - first[word], "id": ids}))
-        got = self.db.execute(ENCODE).to_arrow_table().column("ids").combine_chunks()
+        self.db.register("bytes_of", pa.table({"word": word, "pos": np.arange(len(word)), "id": ids}))
+        got = self.db.sql(ENCODE).to_arrow_table()
         self.db.unregister("bytes_of")
-        flat, at = got.values.to_numpy().astype("<u4"), got.offsets.to_numpy()
+        flat = got.column("id").to_numpy().astype("<u4")
+        at = np.searchsorted(got.column("word").to_numpy(), np.arange(len(block) + 1))
         for i, (w, _) in enumerate(block):
             self.known[w] = flat[at[i] : at[i + 1]].tobytes()
 
@@ -182,7 +177,7 @@ class Coder:
             text = np.repeat(np.arange(first, k), sizes[first:k])
             ids = np.frombuffer(b"".join(encoded[first:k]), "<u4").astype(np.int64)
             self.db.register("tokens", pa.table({"text": text, "pos": np.arange(total), "id": ids}))
-            got = self.db.execute(DECODE).to_arrow_table()
+            got = self.db.sql(DECODE).to_arrow_table()
             self.db.unregister("tokens")
             for i, chars in zip(got.column("text").to_pylist(), got.column("chars").to_pylist(), strict=True):
                 out[i] = chars.encode("latin-1")
