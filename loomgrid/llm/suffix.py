@@ -4,14 +4,15 @@ Which suffixes can agree is found first. Of the hashes of all GRAM-byte strings
 least ones are its anchors; equal stretches have equal anchors, so each repeated string lies in the windows of two anchors
 with one fingerprint. Only such windows, and of equal ones only one, are compared at all.
 
-Windows are compared in blocks. A block's suffixes are sorted and its Burrows-Wheeler transform read off; breadth-first
+The places where a window's strings start are cut into ranges, and windows counted by the core that all strings of a range
+hold. A core that occurs once holds no repeated string; where surroundings agree too, all strings are repeated. What is left,
+one window for each kind of surroundings, is compared in blocks. A block's suffixes are sorted and its Burrows-Wheeler transform read off; breadth-first
 backward extension of intervals then derives the common prefixes of neighbouring suffixes in increasing order and stops at
 ``length``: whatever has got no value by then agrees in that many bytes. A position counts as repeated if its run holds two
 different places.
 
-Windows with one fingerprint that are more than ``HOT`` don't go to one block. Their strings start in a few dozen ranges
-of offsets; windows are counted by the core that all strings of a range hold, and where cores agree but their surroundings
-don't, by every single string. These counts are grouped aggregates, so a passage in a third of all documents fills no task.
+Cores with more than ``HOT`` kinds of surroundings don't go to one block; their ranges are cut finer (``RANGES``), down to
+single strings. All counts are grouped aggregates, so a passage in a third of all documents fills no task.
 
 Rows are told apart by a hash of id and text; equal rows have equal spans and their number is counted. Texts are shuffled
 only if they have spans. Texts are taken as UTF-8 whole; matches never cross documents.
@@ -33,11 +34,11 @@ from pyspark.sql import functions as F
 from .common import cut, written
 
 GRAM = 50
-HOT = 512
+HOT = 256
 #: Bytes of windows in a block, at least unless there are no more.
 BLOCK = 1 << 20
-#: Offsets in a range of the hot windows' strings; bits that tell documents and fingerprints.
-RANGE, BITS = 51, 1 << 25
+#: Starts in a range of the hot windows' strings, cut finer step by step; bits that tell documents and fingerprints.
+RANGES, BITS = (117, 17, 3, 1), 1 << 25
 _TABLE = np.random.default_rng(77).integers(1, 1 << 63, 256, np.int64).astype(np.uint64)
 _BASE = 0x9E3779B97F4A7C15
 
@@ -47,7 +48,7 @@ def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
 
     def joined(a: np.ndarray, n: int, b: np.ndarray, m: int) -> np.ndarray:
         out = a * np.uint64(pow(_BASE, m, 1 << 64))
-        out[: len(a) - n] += b[n:]
+        np.add(out[: len(a) - n], b[n:], out=out[: len(a) - n])
         return out
 
     powers = {1: _TABLE[data]}
@@ -65,20 +66,16 @@ def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
 
 def _sliding(x: np.ndarray, width: int, f, ahead: bool) -> np.ndarray:
     """f over x[i : i + width], or over x[i - width + 1 : i + 1]; shorter at the ends."""
-    out, n = x.copy(), 1
-
-    def shifted(y: np.ndarray, by: int) -> np.ndarray:
-        z = y.copy()
-        if ahead:
-            z[: len(y) - by] = f(y[: len(y) - by], out_n[by:]) if by < len(y) else z[: len(y) - by]
-        else:
-            z[by:] = f(y[by:], out_n[: len(y) - by])
-        return z
-
+    out, other, n = x.copy(), np.empty_like(x), 1
     while n < width and n < len(x):
         by = min(n, width - n)
-        out_n = out
-        out = shifted(out, by)
+        if ahead:
+            f(out[:-by], out[by:], out=other[:-by])
+            other[-by:] = out[-by:]
+        else:
+            f(out[by:], out[:-by], out=other[by:])
+            other[:by] = out[:by]
+        out, other = other, out
         n += by
     return out
 
@@ -99,7 +96,7 @@ def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int)
     return at, h[at]
 
 
-def batched(texts: list, most: int = 1 << 21):
+def batched(texts: list, most: int = 1 << 19):
     """(first row, bytes, starts, ends) for parts of bounded size, unless one text is longer."""
     part, size, first = [], 0, 0
     for i, t in enumerate(texts):
@@ -287,66 +284,121 @@ def _span_batch(windows: list[tuple], spans: list[list[tuple[int, int]]]) -> pa.
 
 
 def block_spans(windows: DataFrame, length: int) -> DataFrame:
-    """Spans of the windows of fingerprints that have few: all of a fingerprint in one block, blocks of bounded size."""
+    """Spans of windows whose core few share: all of a core in one block, blocks of bounded size. Columns as window_rows has them, with ``core``."""
 
     def each(batches):
         block: list[tuple] = []
-        size = 0
+        size, last = 0, None
         for batch in batches:
-            for w in zip(*(batch.column(c).to_pylist() for c in ("fp", "wh", "id", "at", "before", "bytes")), strict=True):
-                if size >= BLOCK and w[0] != block[-1][0]:
+            for w in zip(*(batch.column(c).to_pylist() for c in ("fp", "wh", "id", "at", "before", "bytes", "core")), strict=True):
+                if size >= BLOCK and w[6] != last:
                     yield _span_batch(block, repeated_spans(block, length))
                     block, size = [], 0
-                block.append(w)
+                block.append(w[:6])
                 size += len(w[5])
+                last = w[6]
         if block:
             yield _span_batch(block, repeated_spans(block, length))
 
-    return windows.repartition("fp").sortWithinPartitions("fp").mapInArrow(each, SPANS)
+    return windows.repartition("core").sortWithinPartitions("core").mapInArrow(each, SPANS)
+
+
+def _matrix(befores: list[int], texts: list[bytes], reach: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix hashes of the windows, aligned at their anchors in column reach, and each window's end column."""
+    data = np.zeros((len(texts), reach + length), np.uint8)
+    for k, (b, t) in enumerate(zip(befores, texts, strict=True)):
+        data[k, reach - b : reach - b + len(t)] = np.frombuffer(t, np.uint8)
+    out = np.zeros((reach + length + 1, len(texts)), np.uint64)
+    for k in range(reach + length):
+        out[k + 1] = out[k] * np.uint64(_BASE) + _TABLE[data[:, k]]
+    return out, np.array([reach - b + len(t) for b, t in zip(befores, texts, strict=True)])
+
+
+_POWERS = np.array([pow(_BASE, k, 1 << 64) for k in range(4096)], np.uint64)
+
+
+def _between(prefix: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of columns a to b of each window."""
+    rows = np.arange(prefix.shape[1])
+    h = prefix[b, rows] - prefix[a, rows] * _POWERS[b - a]
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (h ^ (h >> np.uint64(29))).view(np.int64)
+
+
+def _mixed(*parts: np.ndarray) -> np.ndarray:
+    """One hash of several."""
+    out = np.zeros(len(parts[0]), np.uint64)
+    for p in parts:
+        out = (out ^ p.astype(np.int64).view(np.uint64)) * np.uint64(0x9FB21C651E98DF25)
+        out ^= out >> np.uint64(32)
+    return out.view(np.int64)
 
 
-def hot_spans(windows: DataFrame, length: int) -> DataFrame:
-    """Spans of the windows of fingerprints that have many; c says how often each occurs."""
+def range_rows(windows: DataFrame, length: int, wide: int) -> DataFrame:
+    """(fp, wh, c, u, v, core, sub, s, e) for the ranges u to v, at most wide, of string starts lo to hi of each window.
 
-    def ranges(batches):
+    Starts count from the anchor. ``core`` is a hash of what all strings of the range hold, with the range and the
+    fingerprint; ``sub`` of what any of the window's own strings in it covers, from s to e.
+    """
+    reach = length - GRAM
+
+    def each(batches):
         for batch in batches:
-            out = []
-            for f, w, c, before, b in zip(*(batch.column(x).to_pylist() for x in ("fp", "wh", "c", "before", "bytes")), strict=True):
-                for j in range(0, length - GRAM + 1, RANGE):  # strings that start j .. j + RANGE - 1 before the anchor
-                    core = b[max(0, before - j) : max(0, before - j - RANGE + 1 + length)]
-                    if len(core) < length - RANGE + 1 and j > before:
+            for k in range(0, batch.num_rows, 2048):
+                part = batch.slice(k, 2048)
+                before = part.column("before").to_numpy().astype(np.int64)
+                prefix, end = _matrix(before.tolist(), part.column("bytes").to_pylist(), reach, length)
+                lo, hi = part.column("lo").to_numpy().astype(np.int64), part.column("hi").to_numpy().astype(np.int64)
+                out = []
+                for step in range(-(-int((hi - lo).max() + 1) // wide)):
+                    u = lo + step * wide
+                    v = np.minimum(u + wide - 1, hi)
+                    s, e = np.maximum(u, -before), np.minimum(v + length, end - reach)
+                    ok = (u <= hi) & (e - s >= length)
+                    if not ok.any():
                         continue
-                    lo, hi = max(0, before - j - RANGE + 1), min(len(b), before - j + length)
-                    if hi - lo >= length:
-                        out.append((f, w, c, j, xxhash.xxh3_64_intdigest(b[before - j : before - j - RANGE + 1 + length] if before >= j else core) - (1 << 63), xxhash.xxh3_64_intdigest(b[lo:hi], seed=before - lo) - (1 << 63), lo - before, hi - before, b[lo:hi]))
-            if out:
-                x = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([*(pa.array(x[k], pa.int64()) for k in range(3)), pa.array(x[3], pa.int32()), pa.array(x[4], pa.int64()), pa.array(x[5], pa.int64()), pa.array(x[6], pa.int32()), pa.array(x[7], pa.int32()), pa.array(x[8], pa.binary())], names=["fp", "wh", "c", "j", "core", "sub", "s", "e", "bytes"])
-
-    def strings(batches):
-        for batch in batches:
-            out = []
-            for f, w, c, j, core, s, b in zip(*(batch.column(x).to_pylist() for x in ("fp", "wh", "c", "j", "core", "s", "bytes")), strict=True):
-                out += [(f, w, c, s + k, xxhash.xxh3_64_intdigest(b[k : k + length]) - (1 << 63)) for k in range(len(b) - length + 1)]
-            for k in range(0, len(out), 16384):
-                x = list(zip(*out[k : k + 16384], strict=True))
-                yield pa.RecordBatch.from_arrays([*(pa.array(x[i], pa.int64()) for i in range(3)), pa.array(x[3], pa.int32()), pa.array(x[4], pa.int64())], names=["fp", "wh", "c", "s", "h"])
-
-    spread = windows.repartition(windows.sparkSession.conf.get("spark.sql.shuffle.partitions") and int(windows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = written(spread.mapInArrow(ranges, "fp long, wh long, c long, j int, core long, sub long, s int, e int, bytes binary"))
-    subs = rows.groupBy("fp", "j", "core", "sub").agg(F.sum("c").alias("n"))
-    cores = cut(subs.groupBy("fp", "j", "core").agg(F.sum("n").alias("total"), F.max("n").alias("most")).filter("total > 1"))
-    known = cut(subs.filter("n > 1"))
-    on = ["fp", "j", "core"]
-    whole = rows.select("fp", "wh", "j", "core", "sub", "s", "e").join(known, [*on, "sub"]).select("fp", "wh", "s", "e")
-    alone = rows.join(cores.select(*on), on).join(known.select(*on, "sub"), [*on, "sub"], "left_anti")
-    # windows whose core others share: a string of theirs may occur in any other with that core
-    near = written(rows.join(cores.filter("most < total").select(*on), on).select("fp", "wh", "c", "j", "core", "s", "bytes").mapInArrow(strings, "fp long, wh long, c long, s int, h long")) if alone.limit(1).count() else None
-    if near is not None:
-        often = cut(near.groupBy("fp", "s", "h").agg(F.sum("c").alias("n")).filter("n > 1"))
-        single = near.join(often.drop("n"), ["fp", "s", "h"]).select("fp", "wh", "s", (F.col("s") + length).alias("e"))
-        whole = whole.unionByName(single)
-    return whole.groupBy("fp", "wh").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+                    safe = lambda x: np.where(ok, x, 0) + reach  # noqa: B023, E731
+                    core, sub = _between(prefix, safe(v), np.maximum(safe(u + length), safe(v))), _between(prefix, safe(s), safe(e))
+                    core = _mixed(core, part.column("fp").to_numpy(), u * 4096 + v)
+                    sub = _mixed(sub, core, s * 4096 + e)
+                    at = np.flatnonzero(ok)
+                    out.append((at, u[at], v[at], core[at], sub[at], s[at], e[at]))
+                for at, u, v, core, sub, s, e in out:
+                    own = part.take(pa.array(at))
+                    yield pa.RecordBatch.from_arrays([own.column("fp"), own.column("wh"), own.column("c"), *(pa.array(x.astype(np.int32)) for x in (u, v)), pa.array(core), pa.array(sub), *(pa.array(x.astype(np.int32)) for x in (s, e))], names=["fp", "wh", "c", "u", "v", "core", "sub", "s", "e"])
+
+    return windows.mapInArrow(each, "fp long, wh long, c long, u int, v int, core long, sub long, s int, e int")
+
+
+def window_spans(windows: DataFrame, length: int) -> DataFrame:
+    """Spans of all windows (fp, wh, c, id, at, before, bytes); c says how often each occurs.
+
+    Of each range of starts, a core that one kind of surroundings has needs no comparison: either all of it is repeated
+    or nothing. Cores with several kinds go to blocks, one window for each kind, cut to what the range's strings cover; those
+    with more than HOT kinds are cut into finer ranges instead.
+    """
+    spread = int(windows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    todo = windows.select("fp", "wh", F.col("c").cast("long").alias("c"), "before", "bytes").withColumn("lo", F.lit(GRAM - length)).withColumn("hi", F.lit(0))
+    found = None
+    for wide in RANGES:
+        rows = written(range_rows(todo, length, wide))
+        subs = cut(rows.groupBy("core", "sub").agg(F.sum("c").alias("n"), F.min(F.struct("fp", "wh", "u", "v")).alias("one")))
+        whole = rows.join(cut(subs.filter("n > 1").select("core", "sub")), ["core", "sub"]).select("fp", "wh", F.array(F.struct("s", "e")).alias("spans"))
+        found = whole if found is None else found.unionByName(whole)
+        if wide == 1:
+            break
+        kinds = cut(subs.groupBy("core").agg(F.count("*").alias("kinds")).filter("kinds > 1"))
+        left = subs.join(kinds, "core").select("core", "kinds", F.col("n").alias("c"), "one.*")
+        left = written(left.join(windows.drop("c"), ["fp", "wh"]))
+        few = left.filter(F.col("kinds") <= HOT)
+        first = F.greatest(F.col("u"), -F.col("before")) + F.col("before")
+        cut_out = F.substring(F.col("bytes"), first + 1, F.col("v") + length + F.col("before") - first)
+        found = found.unionByName(block_spans(few.select("fp", "wh", "id", "at", (F.col("before") - first).alias("before"), cut_out.alias("bytes"), "core"), length))
+        todo = left.filter(F.col("kinds") > HOT).select("fp", "wh", "c", "before", "bytes", F.col("u").alias("lo"), F.col("v").alias("hi"))
+        if not todo.limit(1).count():
+            break
+        todo = todo.repartition(spread)
+    return found
 
 
 def spans(docs: DataFrame, length: int) -> DataFrame:
@@ -369,11 +421,8 @@ def spans(docs: DataFrame, length: int) -> DataFrame:
         told = docs.withColumn("bit", F.pmod(F.xxhash64("id"), F.lit(BITS)))
         texts = window_rows(told, length, of_docs, of_fps)
         mine = wanted.select("fp", "wh", F.col("one.id").alias("id"), F.col("one.at").alias("at"), "c", "kinds")
-        windows = written(texts.join(mine, ["fp", "wh", "id", "at"]).dropDuplicates(["fp", "wh"]))
-        found = found.unionByName(block_spans(windows.filter(F.col("kinds") <= HOT).select("fp", "wh", "id", "at", "before", "bytes"), length))
-        hot = windows.filter(F.col("kinds") > HOT)
-        if hot.limit(1).count():
-            found = found.unionByName(hot_spans(hot.select("fp", "wh", "c", "before", "bytes"), length))
+        windows = written(texts.join(mine, ["fp", "wh", "id", "at"]).dropDuplicates(["fp", "wh", "id", "at"]))
+        found = found.unionByName(window_spans(windows.drop("kinds"), length))
     found = written(found.groupBy("fp", "wh").agg(F.flatten(F.collect_list("spans")).alias("spans")))
     each = rows.join(found, ["fp", "wh"]).select("id", F.explode("pos").alias("at"), "spans")
     moved = each.select("id", F.transform("spans", lambda x: F.struct((F.col("at") + x.s).alias("s"), (F.col("at") + x.e).alias("e"))).alias("spans"))
