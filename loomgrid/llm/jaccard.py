@@ -7,12 +7,13 @@ by fragment and summed per pair; what the prefix fragment alone rules out goes n
 1. ``set_rows``: each document's distinct shingles as 64-bit hashes; equal sets become one set. Shingles that are frequent
    within some partition are counted over all; the ``HEAVY`` most frequent come last in the order. The list decides only
    how much work is done, never the result.
-2. Prefix rows (token, set, size, position) are written; of tokens that only one set has in its prefix just the number is kept.
+2. Prefix rows (token, set, size, position) of tokens that several sets have in their prefixes are written, with their
+   ranks among these.
 3. First round: in every token's group, each set is paired with one hub, the set that has the token earliest. So a group
    of n near copies yields n pairs. Verified links give components.
-4. Second round, exact: all pairs of a group whose components differ, filtered by size, by position, and by the tokens
-   that no other set has. What survives the prefix count is verified. Pairs inside a component need no test, for only
-   components are returned.
+4. Second round, exact: all pairs of a group whose components differ, filtered by size, by position, and by rank among
+   the prefix tokens that other prefixes have too. What survives the prefix count is verified. Pairs inside a component
+   need no test, for only components are returned.
 
 Verification reads the candidate documents again (a bitmap of fixed size tells which), cuts their sets into fragments,
 joins the pairs to them by (set, fragment) and sums the partial overlaps. Links, components and pairs stay DataFrames
@@ -28,7 +29,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, written
@@ -210,12 +211,15 @@ def _reach(percent: int, n: Column, m: Column) -> Column:
 
 
 def _may(percent: int, a: str, b: str) -> Column:
-    """Exact filters for a shared token: sizes, positions, and the tokens that only one of the two has."""
-    n, m, i, j = (F.col(f"{x}.{c}") for c in ("n", "pos") for x in (a, b))
+    """Exact filters for a shared token: sizes, positions, and how much the sets can share before and behind it.
+
+    What both hold before the token stands in both prefixes, so it counts to the ranks of both. Behind it, a prefix token
+    that no other prefix has may still be shared: the other set can hold it behind its own prefix.
+    """
+    n, m, i, j, r, s = (F.col(f"{x}.{c}") for c in ("n", "pos", "rank") for x in (a, b))
     need = _needed(percent, n, m)
-    alone = F.least(n - F.col(f"{a}.alone"), m - F.col(f"{b}.alone"))
     compared = (i < _reach(percent, n, m)) & (j < _reach(percent, m, n))
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & compared & (F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1) >= need) & (alone >= need)
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & compared & (F.least(r, s) + 1 + F.least(n - i - 1, m - j - 1) >= need)
 
 
 def _promising(pairs: DataFrame, percent: int) -> DataFrame:
@@ -285,12 +289,10 @@ def _links(slim: DataFrame, sets: DataFrame, width: int, percent: int, order: Or
     """Links between sets that connect all that are connected."""
     prefix = written(prefix_rows(slim, width, percent, order))
     several = cut(prefix.groupBy("token").agg(F.min("key").alias("a"), F.max("key").alias("b")).filter("a <> b").select("token"))
-    shared = written(prefix.join(several, "token").groupBy("token", "key").agg(F.first("n").alias("n"), F.first("pos").alias("pos")))
-    length = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / F.lit(100.0) - F.lit(1e-9)) + 1
-    alone = shared.groupBy("key").agg((F.first(length) - F.count("*")).cast("int").alias("alone"))
-    shared = written(shared.join(cut(alone), "key"))
-    hubs = cut(shared.groupBy("token").agg(F.min(F.struct("pos", "n", "key")).alias("hub")))
-    a = shared.join(hubs, "token").withColumn("b", F.struct(F.col("hub.n").alias("n"), F.col("hub.pos").alias("pos"), F.lit(0).alias("alone"))).withColumn("a", F.struct("n", "pos", "alone"))
+    shared = prefix.join(several, "token").groupBy("token", "key").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
+    shared = written(shared.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("pos")) - 1))
+    hubs = cut(shared.groupBy("token").agg(F.min(F.struct("pos", "n", "key", "rank")).alias("hub")))
+    a = shared.join(hubs, "token").withColumn("b", F.struct("hub.n", "hub.pos", "hub.rank")).withColumn("a", F.struct("n", "pos", "rank"))
     star = a.filter((F.col("key") != F.col("hub.key")) & _may(percent, "a", "b"))
     star = star.select(F.least("key", "hub.key").alias("x"), F.greatest("key", "hub.key").alias("y"), F.when(F.col("key") < F.col("hub.key"), F.col("a.n")).otherwise(F.col("b.n")).alias("n"), F.when(F.col("key") < F.col("hub.key"), F.col("b.n")).otherwise(F.col("a.n")).alias("m"))
     found = written(verified(written(_promising(star, percent)), slim, sets, width, percent, order))

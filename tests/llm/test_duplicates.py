@@ -57,6 +57,30 @@ def test_components_equal_brute_force(spark, monkeypatch, seed, heavy):
         assert got == plain_components(rows, width, percent)
 
 
+@pytest.mark.parametrize("width,percent", [(3, 90), (5, 80)])
+def test_extended_texts_beside_short_ones_link(spark, monkeypatch, width, percent):
+    """Short texts hold the phrases that stand in both prefixes, so that the short one is each phrase's hub."""
+    monkeypatch.setattr(jaccard, "HEAVY_LOCAL", 10**6)
+    rng = random.Random(width)
+    texts = []
+    for k in range(40):
+        size = 60 + rng.randrange(60)
+        a = [f"w{k}x{rng.randrange(10**9)}" for _ in range(size + width - 1)]
+        most = size * (100 - percent) // percent
+        b = a + [f"e{k}x{rng.randrange(10**9)}" for _ in range(most - k % 3)]
+        sa, sb = (jaccard.shingles(" ".join(x), width) for x in (a, b))
+        both = set(sa[: jaccard.prefix_length(len(sa), percent)].tolist()) & set(sb[: jaccard.prefix_length(len(sb), percent)].tolist())
+        phrases = [" ".join(a[i : i + width]) for i in range(size)]
+        texts += [" ".join(a), " ".join(b)] + [p for p in phrases if jaccard.shingles(p, width)[0] in both]
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in jaccard.joined(df, width=width, percent=percent).collect()), key=str)
+    want = plain_components(rows, width, percent)
+    assert sum(i != c for i, _, c in want) == 40
+    assert got == want
+
+
 def test_empty_tables_and_representatives(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard.joined(df).collect() == [] and jaccard.representatives(df).collect() == []
