@@ -118,20 +118,19 @@ class MTree:
                 if not len(rows):
                     continue
                 self.computed += len(rows)
+                rows = rows[self.ids[rows] != query_id]
                 if exact:
                     scores = self.vectors[rows] @ query
                     if len(found) == k:
                         keep = scores >= found[0][0]
                     elif len(rows) > 4 * k + 64:
-                        keep = scores >= np.partition(scores, len(scores) - k - 1)[len(scores) - k - 1]
+                        keep = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
                     else:
                         keep = np.ones(len(rows), bool)
                     rows, listed = rows[keep], scores[keep].astype(np.int64).tolist()
                 else:
                     listed = self._scores(rows, query, exact)
                 for s, i in zip(listed, self.ids[rows].tolist(), strict=True):
-                    if i == query_id:
-                        continue
                     if len(found) < k:
                         heapq.heappush(found, (s, -i))
                     elif (s, -i) > found[0]:

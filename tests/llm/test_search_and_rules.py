@@ -40,6 +40,21 @@ def test_tree_skips_work_and_stays_exact():
     assert tree.computed < 0.7 * 10 * 6000
 
 
+def test_repeated_query_rows_take_no_places(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.integers(-9, 10, 4)]) for i in range(1, 200)] + [(0, [40.0, 40.0, 40.0, 40.0])] * 12 + [(50, [30.0, -30.0, 30.0, -30.0])] * 7
+    rows = [r for r in rows if r[0] != 50 or r[1][0] == 30.0]
+    tree = metric_topk.MTree(np.array([i for i, _ in rows]), np.array([v for _, v in rows]))
+    assert tree.root.children is None
+    df = spark.createDataFrame(rows, "vec_id long, v array<double>")
+    got = {tuple(r) for r in metric_topk.top_k(df, df.filter("vec_id in (0, 50)")).collect()}
+    for q, v in ((0, [40.0] * 4), (50, [30.0, -30.0] * 2)):
+        scored = sorted((-int(np.dot(v, w)), j) for j, w in rows if j != q)[:5]
+        want = [(-s, j) for s, j in scored]
+        assert tree.best(q, np.array(v), 5) == want
+        assert {r for r in got if r[0] == q} == {(q, n + 1, j, s) for n, (s, j) in enumerate(want)}
+
+
 def test_identical_vectors_large_values_and_odd_rows(spark):
     rows = [(i, [1.0, 2.0]) for i in range(0, 700)] + [(1000, [float(1 << 60), 3.0]), (1050, [float(1 << 60), 4.0]), (2000, [1.0]), (None, [1.0, 1.0]), (3000, [])]
     df = spark.createDataFrame(rows, "vec_id long, v array<double>")
