@@ -68,8 +68,12 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pairs(spark: SparkSession, d: str) -> DataFrame:
+    return all_pairs(spark, d).filter("ligand % 10 = 0")
+
+
+def all_pairs(spark: SparkSession, d: str) -> DataFrame:
     s = t(spark, d, "supplier").select(F.col("s_suppkey").alias("ligand"))
-    return s.filter("ligand % 10 = 0").withColumn("receptor", F.col("ligand") + 7)
+    return s.withColumn("receptor", F.col("ligand") + 7)
 
 
 def square_grid(spark: SparkSession, d: str) -> DataFrame:
@@ -376,6 +380,12 @@ def jaccard_pairs(spark, d):
     return shown(graph.jaccard_pairs(x, 0.6))
 
 
+@query()
+def jaccard_pairs_whole(spark, d):
+    x = t(spark, d, "events").select(F.col("user_id").alias("obs"), (F.col("event_id") % 40).alias("feature")).distinct().withColumn("value", F.lit(1.0))
+    return shown(graph.jaccard_pairs(x, 0.6))
+
+
 @query(f"WITH {knn_sql(4)}, y AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), dg AS (SELECT src, COUNT(*) AS d FROM y GROUP BY 1) SELECT y.src, y.dst, ROUND(1 / SQRT(a.d * b.d), 6) AS w FROM y JOIN dg a ON a.src = y.src JOIN dg b ON b.src = y.dst")
 def normalized_adjacency(spark, d):
     return shown(graph.normalized_adjacency(graph.symmetric(graph.knn(points(spark, d), 4))))
@@ -476,6 +486,14 @@ def group_pair_scores(spark, d):
     return shown(spatial.group_pair_scores(counts(spark, d), g, pairs(spark, d), gp), "sender", "receiver", "ligand", "receptor", "score")
 
 
+@query()
+def group_pair_scores_whole(spark, d):
+    g = groups(spark, d)
+    names = g.select("group").distinct()
+    gp = names.toDF("sender").join(names.toDF("receiver"), F.col("sender") < F.col("receiver"))
+    return shown(spatial.group_pair_scores(counts(spark, d), g, all_pairs(spark, d), gp), "sender", "receiver", "ligand", "receptor", "score")
+
+
 PLR = "lr AS (SELECT * FROM (VALUES (0, 7), (3, 4), (5, 1)) v(ligand, receptor))"
 
 
@@ -557,6 +575,11 @@ def silhouette(spark, d):
     return shown(labels.silhouette_groups(graph.knn_vectors(v, 200), v.select(F.col("id").alias("obs"), "label")))
 
 
+@query()
+def silhouette_whole(spark, d):
+    return shown(labels.silhouette_vectors(vectors(spark, d)))
+
+
 # Rasters
 
 SG = "px AS (SELECT a.x, b.y, CAST(COALESCE(v, 0) AS DOUBLE) AS v FROM (SELECT UNNEST(RANGE(0, 20)) AS x) a CROSS JOIN (SELECT UNNEST(RANGE(0, 15)) AS y) b LEFT JOIN (SELECT p_size % 20 AS x, p_partkey % 15 AS y, COUNT(*) AS v FROM part GROUP BY 1, 2) c ON c.x = a.x AND c.y = b.y), o AS (SELECT dx, dy FROM (SELECT UNNEST(RANGE(-1, 2)) AS dx) CROSS JOIN (SELECT UNNEST(RANGE(-1, 2)) AS dy)), nb AS (SELECT p.x, p.y, p.v, q.v AS w, dx, dy FROM px p CROSS JOIN o JOIN px q ON q.x = LEAST(GREATEST(p.x + dx, 0), 19) AND q.y = LEAST(GREATEST(p.y + dy, 0), 14))"
@@ -702,9 +725,7 @@ def likelihood_ratio(spark, d):
 
 @query()
 def transport_distances(spark, d):
-    p = points(spark, d).filter("id < 120")
-    x = part_counts(spark, d).filter("obs < 120")
-    return learn.transport_distances(x, p)
+    return learn.transport_distances(part_counts(spark, d), points(spark, d))
 
 
 @query()
@@ -793,6 +814,12 @@ def arc_length(spark, d):
     return windows.arc_segments(p, "id", 10).select("id", rd("arc", 4).alias("arc"))
 
 
+@query()
+def arc_length_whole(spark, d):
+    p = t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("x"), (F.col("p_retailprice") / 100).alias("y"))
+    return windows.arc_segments(p, "id", 10).select("id", rd("arc", 4).alias("arc"))
+
+
 @query(f"WITH {knn_sql(5)}, {PVAL}, l AS (SELECT src AS obs, AVG(z) AS lag FROM e JOIN zz ON zz.obs = e.dst GROUP BY 1), k AS (SELECT p_brand AS \"group\", CASE WHEN z > 0 AND lag > 0 THEN 1 WHEN z <= 0 AND lag > 0 THEN 2 WHEN z <= 0 AND lag <= 0 THEN 3 ELSE 4 END AS quadrant, COUNT(*) AS n FROM zz JOIN l USING (obs) JOIN part ON p_partkey = obs GROUP BY 1, 2) SELECT \"group\", quadrant, n, ROUND(n / SUM(n) OVER (PARTITION BY \"group\"), 6) AS fraction, ROUND(n / SUM(n) OVER (PARTITION BY quadrant), 6) AS specificity FROM k")
 def hotspot_summary(spark, d):
     g = brands(spark, d).withColumnRenamed("label", "group")
