@@ -80,19 +80,31 @@ def potential(edges: DataFrame, start: DataFrame, fixed: DataFrame, rounds: int
     return now.select("id", "v")
 
 
-def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """(id, community): each node takes the label of most weight around it, ties the smaller label, until stable."""
+def label_propagation(edges: DataFrame, rounds: int | None = 10) -> DataFrame:
+    """(id, community): each node takes the label of most weight around it, ties the smaller label, until stable.
+
+    All nodes move at once, which can go round in circles. Without a number of rounds, therefore, after ten only nodes move
+    that come first by a hash among the neighbours that would move too: each move then adds to the weight inside
+    communities, so the labels become stable.
+    """
     e = edges.select("src", "dst", F.coalesce(F.col("w"), F.lit(1.0)).alias("w")) if "w" in edges.columns else edges.select("src", "dst", F.lit(1.0).alias("w"))
     e = checkpointed(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")))
     now = checkpointed(e.select(F.col("src").alias("id")).distinct().withColumn("community", F.col("id")))
-    for _ in range(rounds):
+    k = 0
+    while rounds is None or k < rounds:
         votes = e.join(now.select(F.col("id").alias("dst"), "community"), "dst").groupBy("src", "community").agg(F.sum("w").alias("s"))
         votes = votes.unionByName(now.select(F.col("id").alias("src"), "community", F.lit(0.5).alias("s"))).groupBy("src", "community").agg(F.sum("s").alias("s"))
         nxt = checkpointed(votes.groupBy(F.col("src").alias("id")).agg(F.min_by("community", F.struct(-F.col("s"), "community")).alias("community")))
-        changed = nxt.join(now.withColumnRenamed("community", "b_"), "id").filter("community <> b_").limit(1).count()
-        now = nxt
-        if not changed:
-            break
+        moved = nxt.join(now.withColumnRenamed("community", "b_"), "id").filter("community <> b_")
+        if not moved.limit(1).count():
+            return nxt
+        if rounds is None and k >= 10:
+            moved = checkpointed(moved.select("id", "community", F.struct(F.xxhash64("id", F.lit(k)), "id").alias("turn")))
+            rival = moved.select(F.col("id").alias("dst"), F.col("turn").alias("r_"))
+            first = e.filter("src <> dst").join(rival, "dst").groupBy(F.col("src").alias("id")).agg(F.min("r_").alias("r_"))
+            goes = moved.join(first, "id", "left").filter(F.col("r_").isNull() | (F.col("turn") < F.col("r_"))).select("id", F.col("community").alias("c_"))
+            nxt = checkpointed(now.join(goes, "id", "left").select("id", F.coalesce("c_", "community").alias("community")))
+        now, k = nxt, k + 1
     return now
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -67,9 +69,20 @@ def kmeans(vectors: DataFrame, k: int, key: str = "id", vector: str = "v", seed:
 
 
 def gaussian_mixture(vectors: DataFrame, k: int, key: str = "id", vector: str = "v", seed: int = 42) -> DataFrame:
+    """id, cluster. All components are divided by one number, which leaves the mixture as it is.
+
+    Spark adds 2e-16 to every density; those of many dimensions would vanish beside it, so the typical one is made 1e25.
+    """
     from pyspark.ml.clustering import GaussianMixture
+    from pyspark.ml.feature import ElementwiseProduct
+    from pyspark.ml.linalg import Vectors
+    from pyspark.ml.stat import Summarizer
 
     f = as_vectors(vectors, key, vector)
+    spread = f.select(Summarizer.variance(F.col("features"))).first()
+    if spread and spread[0] is not None and (own := float(np.mean(spread[0].toArray()))) > 0:
+        by = 10 ** (-25 / len(spread[0])) / math.sqrt(2 * math.pi * math.e * own)
+        f = ElementwiseProduct(scalingVec=Vectors.dense([by] * len(spread[0])), inputCol="features", outputCol="s_").transform(f).select("id", F.col("s_").alias("features"))
     return GaussianMixture(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(f).transform(f).select("id", "cluster")
 
 

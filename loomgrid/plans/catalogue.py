@@ -707,7 +707,7 @@ def kmeans_clusters(spark, d):
 
 @query()
 def mixture_clusters(spark, d):
-    return learn.gaussian_mixture(vectors(spark, d).withColumn("v", F.slice("v", 1, 6)), 4)
+    return learn.gaussian_mixture(vectors(spark, d), 4)
 
 
 @query()
@@ -730,13 +730,13 @@ def transport_distances(spark, d):
 
 @query()
 def communities(spark, d):
-    return iterate.label_propagation(part_edges(spark, d), 5)
+    return iterate.label_propagation(part_edges(spark, d), None)
 
 
 @query()
 def shortest_paths(spark, d):
     p = points(spark, d)
-    return iterate.shortest_paths(graph.symmetric(graph.knn(p, 4)), p.filter("id % 997 = 1").select("id"), 6)
+    return iterate.shortest_paths(graph.symmetric(graph.knn(p, 4)), p.filter("id % 997 = 1").select("id"))
 
 
 @query()

@@ -1,13 +1,14 @@
 """Queries without SQL that take every row, against brute force over the smallest tables."""
 
+import heapq
 import math
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
 import pytest
 
-from loomgrid.operators import learn
+from loomgrid.operators import iterate, learn
 from loomgrid.plans import catalogue
 
 D = "/root/testdata/sf0.001"
@@ -90,3 +91,52 @@ def test_transport_over_all_parts(spark):
         cost = np.sqrt(((c[used][:, None] - c[None]) ** 2).sum(axis=2))
         plan = learn.sinkhorn(cost, a[used] / a.sum(), np.full(len(p), 1 / len(p)), 0.05, 200)
         assert out[s] == pytest.approx(float((plan * cost).sum()), rel=1e-6)
+
+
+def test_shortest_paths_reach_every_node(spark):
+    d, edges = "/root/testdata/sf0.01", defaultdict(dict)
+    for r in catalogue.graph.symmetric(catalogue.graph.knn(catalogue.points(spark, d), 4)).collect():
+        edges[r["src"]][r["dst"]] = r["dist"]
+    sources = [i for i in edges if i % 997 == 1]
+    want, longest = {}, 0
+    for s in sources:
+        best, hops, heap = {}, {}, [(0.0, 0, s)]
+        while heap:
+            far, n, i = heapq.heappop(heap)
+            if i not in best:
+                best[i], hops[i] = far, n
+                for j, w in edges[i].items():
+                    heapq.heappush(heap, (far + w, n + 1, j))
+        want |= {(s, i): d for i, d in best.items()}
+        longest = max(longest, *hops.values())
+    assert longest > 6
+    assert {(a, b): far for a, b, far in got(spark, "shortest_paths", d)} == pytest.approx(want, abs=1e-9)
+
+
+def test_communities_are_stable(spark):
+    for edges in (catalogue.part_edges(spark, D).select("src", "dst", "w"), spark.createDataFrame([(i, j, 1.0) for i in range(4) for j in range(4, 9)], "src long, dst long, w double")):
+        label = dict(tuple(r) for r in iterate.label_propagation(edges, None).collect())
+        votes = defaultdict(lambda: defaultdict(float))
+        for a, b, w in edges.collect():
+            votes[a][label[b]] += w
+            votes[b][label[a]] += w
+        for i, v in votes.items():
+            v[label[i]] += 0.5
+            assert label[i] == min(v, key=lambda c: (-v[c], c))
+
+
+def test_communities_of_the_query_are_stable(spark):
+    now = dict(got(spark, "communities"))
+    assert now == dict(tuple(r) for r in iterate.label_propagation(catalogue.part_edges(spark, D), None).collect())
+
+
+def test_mixture_uses_every_component(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    v = rng.normal(0, 1, (300, 64))
+    v[:, 6:] += 6 * rng.normal(0, 1, (4, 58))[np.arange(300) % 4]
+    spark.createDataFrame([(i, x, i % 2) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    out = got(spark, "mixture_clusters", str(tmp_path))
+    assert len(out) == 300 and len({c for _, c in out}) > 1
+    together = Counter((i % 4, c) for i, c in out)
+    most = {g: max((n, c) for (h, c), n in together.items() if h == g) for g in range(4)}
+    assert len({c for _, c in most.values()}) == 4 and sum(n for n, _ in most.values()) >= 0.95 * 300
