@@ -96,7 +96,11 @@ def raster_moran(px: DataFrame, width: int, height: int, k: int) -> DataFrame:
 
 
 def grid_bucket(df: DataFrame, column: str, parts: int, low: float = 1.0, high: float = 100.0) -> DataFrame:
-    """Number of the (lo, hi] interval that a potential lies in; the first includes its lower edge."""
+    """Number of the (lo, hi] interval that a potential lies in; the first includes its lower edge.
+
+    Offsets in steps count as rounded to nine places, so that a value computed for an edge lies on it.
+    """
     step = (high - low) / parts
-    at = F.ceil((F.col(column) - low) / step)
-    return df.withColumn("bucket", F.when(F.col(column) == low, 1).when((at >= 1) & (at <= parts), at).cast("int"))
+    off = F.round((F.col(column) - low) / step, 9)
+    at = F.ceil(off)
+    return df.withColumn("bucket", F.when(off == 0, 1).when((at >= 1) & (at <= parts), at).cast("int"))

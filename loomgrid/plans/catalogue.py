@@ -617,9 +617,17 @@ def otsu_cut(spark, d):
 
 @query("WITH k AS (SELECT p_partkey AS id, 1 + 99.0 * p_size / 50 AS v FROM part) SELECT id, CASE WHEN v = 1 THEN 1 WHEN CEIL((v - 1) / 9.9) BETWEEN 1 AND 10 THEN CAST(CEIL((v - 1) / 9.9) AS INTEGER) END AS bucket FROM k WHERE ABS((v - 1) / 9.9 - ROUND((v - 1) / 9.9)) > 1e-6")
 def grid_bucket(spark, d):
-    p = t(spark, d, "part").select(F.col("p_partkey").alias("id"), (1 + 99.0 * F.col("p_size") / 50).alias("v"))
     off = (F.col("v") - 1) / 9.9
-    return raster.grid_bucket(p, "v", 10).filter(F.abs(off - F.round(off)) > 1e-6).select("id", "bucket")
+    return raster.grid_bucket(potentials(spark, d), "v", 10).filter(F.abs(off - F.round(off)) > 1e-6).select("id", "bucket")
+
+
+def potentials(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "part").select(F.col("p_partkey").alias("id"), (1 + 99.0 * F.col("p_size") / 50).alias("v"))
+
+
+@query()
+def grid_bucket_whole(spark, d):
+    return raster.grid_bucket(potentials(spark, d), "v", 10).select("id", "bucket")
 
 
 def _jacobi_sql(rounds: int) -> str:

@@ -140,3 +140,14 @@ def test_mixture_uses_every_component(spark, tmp_path):
     together = Counter((i % 4, c) for i, c in out)
     most = {g: max((n, c) for (h, c), n in together.items() if h == g) for g in range(4)}
     assert len({c for _, c in most.values()}) == 4 and sum(n for n, _ in most.values()) >= 0.95 * 300
+
+
+def test_buckets_of_all_parts(spark):
+    from loomgrid.operators import raster
+
+    want = {i: -(-s // 5) for i, s in rows("SELECT p_partkey, p_size FROM '{D}/part.parquet'")}
+    assert dict(got(spark, "grid_bucket_whole")) == want
+    for parts, low, high in ((10, 1.0, 100.0), (7, 0.0, 0.7), (3, -0.1, 0.2), (10, 0.1, 1.1), (6, 0.1, 0.7), (9, 0.3, 1.2), (10, 0.1, 0.4)):
+        edges = [(k, low + k * (high - low) / parts) for k in range(parts + 1)]
+        out = raster.grid_bucket(spark.createDataFrame(edges, "k int, v double"), "v", parts, low, high).collect()
+        assert {r["k"]: r["bucket"] for r in out} == {k: max(k, 1) for k in range(parts + 1)}
