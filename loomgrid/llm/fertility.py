@@ -1,8 +1,8 @@
 """Quality rules on tokeniser fertility, after the base rules on words, symbols, lines and repeats.
 
 A public vocabulary with byte fallback splits a text; characters per token, the share of byte-fallback tokens and the
-entropy of the token distribution are held against the band of the text's script. Texts that are noise, encoded data or
-endless repeats leave the band; ordinary prose in a language the vocabulary knows less well has a band of its own.
+entropy of the token distribution are held against the band of the text's script. Encoded data, random printable characters and
+endless repeats leave the band, while words of random letters and strings of symbols stay in it; ordinary prose in a language the vocabulary knows less well has a band of its own.
 
 Defined edge cases: null and empty texts have no words and fail the base rules; rows are judged one by one, whole texts, in
 batches of bounded size; an empty table gives an empty table; further columns are ignored.
