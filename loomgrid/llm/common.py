@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,14 +34,62 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame, *partition_by: str) -> DataFrame:
+def written(df: DataFrame, *partition_by: str, path: str | None = None) -> DataFrame:
     """The same rows, written as Parquet to the shared folder and read again; a lost executor costs no recomputation."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = path or f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     (df.write.partitionBy(*partition_by) if partition_by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables in the shared folder that only intermediate steps read; drop() deletes them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths, self.names = spark, [], []
+
+    def path(self) -> str:
+        self.paths.append(f"{shared_dir(self.spark).rstrip('/')}/table-{uuid.uuid4().hex}")
+        return self.paths[-1]
+
+    def written(self, df: DataFrame, *partition_by: str) -> DataFrame:
+        return written(df, *partition_by, path=self.path())
+
+    def bucketed(self, df: DataFrame, *keys: str) -> DataFrame:
+        """The same rows in as many buckets as shuffles have partitions: joins by these keys move only the other side."""
+        self.names.append(f"loomgrid_{uuid.uuid4().hex}")
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        df.write.format("parquet").bucketBy(n, *keys).option("path", self.path()).saveAsTable(self.names[-1])
+        return self.spark.table(self.names[-1])
+
+    def drop(self) -> None:
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        for path in self.paths:
+            folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+        self.paths, self.names = [], []
+
+
+#: Bits of the bitmaps that tell which rows a later step needs.
+BITS = 1 << 25
+
+
+def bits_of(hashes: DataFrame) -> np.ndarray:
+    """A bitmap of BITS bits, with those of the hashes in the only column set; its size doesn't depend on the rows."""
+    h = F.pmod(F.col(hashes.columns[0]), F.lit(BITS))
+    got = hashes.select(F.bitmap_bucket_number(h + 1).alias("b"), F.bitmap_bit_position(h + 1).alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("bits")).collect()
+    out = np.zeros(BITS // 8 + 4096, np.uint8)
+    for r in got:
+        part = np.frombuffer(bytes(r["bits"]), np.uint8)
+        out[(r["b"] - 1) * 4096 : (r["b"] - 1) * 4096 + len(part)] = part
+    return out
+
+
+def has_bit(bits: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return (bits[x >> 3] >> (x & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def remainder(column: str, modulus: int) -> Column:
     """crc32 of an id as text, modulo; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % modulus

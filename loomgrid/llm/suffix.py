@@ -1,24 +1,24 @@
 """Suffix-array dedup: every byte is found that a string of ``length`` bytes covers which also starts anywhere else.
 
-Which suffixes can agree is found first. Of the hashes of all GRAM-byte strings in a stretch of ``length`` bytes, the
-least ones are its anchors; equal stretches have equal anchors, so each repeated string lies in the windows of two anchors
-with one fingerprint. Only such windows, and of equal ones only one, are compared at all.
-
-The places where a window's strings start are cut into ranges, and windows counted by the core that all strings of a range
-hold. A core that occurs once holds no repeated string; where surroundings agree too, all strings are repeated. What is left,
-one window for each kind of surroundings, is compared in blocks. A block's suffixes are sorted and its Burrows-Wheeler transform read off; breadth-first
-backward extension of intervals then derives the common prefixes of neighbouring suffixes in increasing order and stops at
-``length``: whatever has got no value by then agrees in that many bytes. A position counts as repeated if its run holds two
-different places.
-
-Cores with more than ``HOT`` kinds of surroundings don't go to one block; their ranges are cut finer (``RANGES``), down to
-single strings. All counts are grouped aggregates, so a passage in a third of all documents fills no task.
-
-Rows are told apart by a hash of id and text; equal rows have equal spans and their number is counted. Texts are shuffled
-only if they have spans. Texts are taken as UTF-8 whole; matches never cross documents.
+1. Equal texts become one text with a multiplicity. Texts are stored bucketed by their 128-bit key, so later joins with
+   them move no text.
+2. Of the hashes of all GRAM-byte strings in a stretch of ``length`` bytes, the least ones are its anchors; equal stretches
+   have equal anchors at equal places. Only anchors whose fingerprint stands at two places or more can lie in repeated strings.
+3. All places of a fingerprint share a home: the cell of CELL bytes in which the least of its places stands. Neighbouring
+   anchors of one text with one home are one segment, so a stretch is compared once, not once for each of its anchors. All
+   segments of a home go to one block. A block's suffixes are sorted and its Burrows-Wheeler transform read off;
+   breadth-first backward extension of intervals then derives the common prefixes of neighbouring suffixes in increasing
+   order and stops at ``length``: whatever has got no value by then agrees in that many bytes. A run counts as repeated if
+   it holds two different places, or one of a text with a multiplicity.
+4. A home's size is bounded, for a fingerprint of more than HOT places goes another way to the same blocks: its windows are
+   collapsed first (equal ones become one with a multiplicity); the starts of their strings are cut into ranges, and windows
+   are blocked by the core that all strings of a range hold. A core that still has more than HOT different windows has its
+   range cut finer (RANGES); a range of one start is the string itself, of which there is but one kind. So a passage in a third of all
+   documents fills no block and no task.
 
 Defined edge cases: null and empty texts have no bytes and keep none; texts shorter than ``length`` keep all; repeated rows
-repeat each other and lose whatever is long enough; an empty table gives an empty table; further columns are ignored.
+repeat each other and lose whatever is long enough; an empty table gives an empty table; further columns are passed on
+whatever their names, but for those that the result adds, whose old values go.
 """
 
 from __future__ import annotations
@@ -31,37 +31,42 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, written
-
-GRAM = 50
-HOT = 256
-#: Bytes of windows in a block, at least unless there are no more.
-BLOCK = 1 << 20
-#: Starts in a range of the hot windows' strings, cut finer step by step; bits that tell documents and fingerprints.
-RANGES, BITS = (117, 17, 3, 1), 1 << 25
-_TABLE = np.random.default_rng(77).integers(1, 1 << 63, 256, np.int64).astype(np.uint64)
+from .common import BITS, Scratch, bits_of, has_bit, written
+
+GRAM = 100
+#: Places of a fingerprint, or windows of a core, that go to one block; bytes of a home's cell.
+HOT, CELL = 128, 4096
+#: Bytes of a block, at least unless there are no more.
+BLOCK = 1 << 19
+#: Starts in a range of the hot windows' strings, cut finer step by step.
+RANGES = (101, 17, 3, 1)
+#: Texts are hashed in parts of so many bytes; longer ones in overlapping parts.
+PART = 1 << 17
+#: Windows that a worker remembers having sent.
+REMEMBERED = 200_000
 _BASE = 0x9E3779B97F4A7C15
+_TABLE = np.random.default_rng(77).integers(1, 1 << 63, 256, np.int64).astype(np.uint64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """base to the 0 .. n - 1, modulo 2 to the 64."""
+    return np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(n - 1, base % (1 << 64), np.uint64))))
+
+
+_UP, _DOWN = _powers(_BASE, PART + 4096), _powers(pow(_BASE, -1, 1 << 64), PART + 4096)
+
+
+def _stirred(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    return h ^ (h >> np.uint64(29))
 
 
 def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
-    """Hash (never 0) of the gram bytes from each place on; the last places take what is there."""
-
-    def joined(a: np.ndarray, n: int, b: np.ndarray, m: int) -> np.ndarray:
-        out = a * np.uint64(pow(_BASE, m, 1 << 64))
-        np.add(out[: len(a) - n], b[n:], out=out[: len(a) - n])
-        return out
-
-    powers = {1: _TABLE[data]}
-    n = 1
-    while 2 * n <= gram:
-        powers[2 * n] = joined(powers[n], n, powers[n], n)
-        n *= 2
-    out, length = powers[n], n
-    for n in sorted(powers, reverse=True)[1:]:
-        if length + n <= gram:
-            out, length = joined(out, length, powers[n], n), length + n
-    out = (out ^ (out >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    return (out ^ (out >> np.uint64(29))) | np.uint64(1)
+    """Hash of the gram bytes from each place on; only of places with as many bytes."""
+    n = len(data)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_TABLE[data] * _UP[:n], out=sums[1:])
+    return _stirred((sums[gram:] - sums[: n + 1 - gram]) * _DOWN[: n + 1 - gram])
 
 
 def _sliding(x: np.ndarray, width: int, f, ahead: bool) -> np.ndarray:
@@ -81,161 +86,226 @@ def _sliding(x: np.ndarray, width: int, f, ahead: bool) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the anchors of texts data[start:end], and their fingerprints."""
-    if not len(data):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    """Places of the anchors of texts data[start:end], none longer than PART, and their fingerprints."""
+    if len(data) < length:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     h = gram_hashes(data, GRAM)
+    short = (h >> np.uint64(32)).astype(np.uint32) | np.uint32(1)  # never 0; what is equal here is an anchor too
     width = length - GRAM + 1
-    least = _sliding(h, width, np.minimum, True)
-    valid = np.zeros(len(data) + 1, np.int64)
+    least = _sliding(short, width, np.minimum, True)
+    valid = np.zeros(len(h) + 1, np.int32)
     long_enough = ends - starts >= length
     np.add.at(valid, starts[long_enough], 1)
     np.add.at(valid, ends[long_enough] - length + 1, -1)
     least[np.cumsum(valid)[:-1] == 0] = 0
-    at = np.flatnonzero(_sliding(least, width, np.maximum, False) == h)
-    return at, h[at]
-
-
-def batched(texts: list, most: int = 1 << 19):
-    """(first row, bytes, starts, ends) for parts of bounded size, unless one text is longer."""
-    part, size, first = [], 0, 0
-    for i, t in enumerate(texts):
-        b = (t or "").encode("utf-8", "replace")
-        if part and size + len(b) > most:
-            ends = np.cumsum([len(x) for x in part])
-            yield first, b"".join(part), ends - [len(x) for x in part], ends
-            part, size, first = [], 0, i
-        part.append(b)
-        size += len(b)
-    if part:
-        ends = np.cumsum([len(x) for x in part])
-        yield first, b"".join(part), ends - [len(x) for x in part], ends
-
-
-def _windows(texts: list, length: int):
-    """(row, place in the text, fingerprint, window's hash, first and last byte of the window in raw, raw) by parts."""
-    reach = length - GRAM
-    for first, raw, starts, ends in batched(texts):
-        at, fps = anchors(np.frombuffer(raw, np.uint8), starts, ends, length)
-        row = np.searchsorted(ends, at, "right")
-        lo, hi = np.maximum(starts[row], at - reach), np.minimum(ends[row], at + length)
-        yield first, raw, row, at - starts[row], fps.view(np.int64), lo, hi, at
+    at = np.flatnonzero(_sliding(least, width, np.maximum, False) == short)
+    return at, h[at].view(np.int64)
+
+
+def parts(offsets: np.ndarray, length: int):
+    """(first row, row's first place, starts, ends) of the parts of a buffer with these row offsets.
+
+    Whole rows are joined up to PART bytes. A longer row comes in parts that overlap, so that each string is in one.
+    """
+    row, n = 0, len(offsets) - 1
+    while row < n:
+        size = offsets[row + 1] - offsets[row]
+        if size > PART:
+            for at in range(0, size - length + 1, PART - length + 1):
+                s = offsets[row] + at
+                yield row, at, np.array([s]), np.array([min(offsets[row + 1], s + PART)])
+            row += 1
+            continue
+        last = max(row + 1, int(np.searchsorted(offsets, offsets[row] + PART, "right")) - 1)
+        yield row, 0, offsets[row:last], offsets[row + 1 : last + 1]
+        row = last
 
 
-def window_hash(raw: bytes, lo: int, at: int, hi: int) -> int:
-    return xxhash.xxh3_64_intdigest(raw[lo:hi], seed=at - lo) - (1 << 63)
+def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column without nulls, and its rows' offsets."""
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), offsets
 
 
-def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
-    """(fp, wh, id, pos): equal windows of one text come as one row with all their places."""
+def anchor_rows(texts: DataFrame, length: int) -> DataFrame:
+    """(fp, a, b, pos, m) of all anchors."""
 
     def each(batches):
         for batch in batches:
-            ids = batch.column("id").to_pylist()
-            for first, raw, row, pos, fps, lo, hi, at in _windows(batch.column("text").to_pylist(), length):
-                found: dict[tuple[int, int, int], list[int]] = {}
-                for r, p, f, a, b, c in zip(row.tolist(), pos.tolist(), fps.tolist(), lo.tolist(), hi.tolist(), at.tolist(), strict=True):
-                    found.setdefault((f, window_hash(raw, a, c, b), ids[first + r]), []).append(p)
-                if found:
-                    f, w, i = zip(*found, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(f, pa.int64()), pa.array(w, pa.int64()), pa.array(i, pa.int64()), pa.array(list(found.values()), pa.list_(pa.int32()))], names=["fp", "wh", "id", "pos"])
+            data, offsets = buffer_of(batch.column("bytes"))
+            own = [batch.column(c).to_numpy() for c in ("a", "b", "m")]
+            for first, ahead, starts, ends in parts(offsets, length):
+                at, fps = anchors(data[starts[0] : ends[-1]], starts - starts[0], ends - starts[0], length)
+                row = np.searchsorted(ends - starts[0], at, "right")
+                pos = at - (starts[row] - starts[0]) + ahead
+                a, b, m = (x[first + row] for x in own)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (fps, a, b, pos.astype(np.int32), m)], names=["fp", "a", "b", "pos", "m"])
 
-    return docs.mapInArrow(each, "fp long, wh long, id long, pos array<int>")
+    return texts.select("a", "b", "m", "bytes").mapInArrow(each, "fp long, a long, b long, pos int, m long")
 
 
-def _has(bits: np.ndarray, x: np.ndarray) -> np.ndarray:
-    return (bits[x >> 3] >> (x & 7).astype(np.uint8) & 1).astype(bool)
+def segments(at: np.ndarray, home: np.ndarray, size: int, length: int) -> list[tuple[int, int, int]]:
+    """(home, start, end): neighbouring anchors of one home whose windows touch, in a text of size bytes; at ascends."""
+    if not len(at):
+        return []
+    lo, hi = np.maximum(at - (length - GRAM), 0), np.minimum(at + length, size)
+    new = np.flatnonzero(np.concatenate(([True], (home[1:] != home[:-1]) | (lo[1:] > hi[:-1]))))
+    return list(zip(home[new].tolist(), lo[new].tolist(), hi[np.append(new[1:], len(at)) - 1].tolist(), strict=True))
 
 
-def window_rows(docs: DataFrame, length: int, of_docs: np.ndarray, of_fps: np.ndarray) -> DataFrame:
-    """(fp, wh, id, at, before, bytes) of the windows that the bitmaps may mean."""
+PIECES = "kind int, key long, wh long, a long, b long, at int, before int, m long, bytes binary"
 
-    def each(batches):
-        for batch in batches:
-            batch = batch.take(pa.array(np.flatnonzero(_has(of_docs, batch.column("bit").to_numpy()))))
-            ids = batch.column("id").to_pylist()
-            for first, raw, row, pos, fps, lo, hi, at in _windows(batch.column("text").to_pylist(), length):
-                keep = np.flatnonzero(_has(of_fps, (fps.view(np.uint64) % np.uint64(BITS)).astype(np.int64)))
-                out = [(int(fps[k]), window_hash(raw, int(lo[k]), int(at[k]), int(hi[k])), ids[first + row[k]], int(pos[k]), int(at[k] - lo[k]), raw[lo[k] : hi[k]]) for k in keep]
-                for k in range(0, len(out), 8192):
-                    c = list(zip(*out[k : k + 8192], strict=True))
-                    yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in c[:3]), *(pa.array(x, pa.int32()) for x in c[3:5]), pa.array(c[5], pa.binary())], names=["fp", "wh", "id", "at", "before", "bytes"])
 
-    return docs.mapInArrow(each, "fp long, wh long, id long, at int, before int, bytes binary")
+def piece_rows(told: DataFrame, length: int) -> DataFrame:
+    """Rows of three kinds for texts with their shared places (a, b, m, bytes, places).
 
+    0: a segment of home ``key``, from ``at`` on. 1: a window of the hot fingerprint ``key``, told by the hash ``wh``, as
+    often as tasks have one. 2: a place of such a window, whose anchor is ``at``.
+    """
+    names = [x.split()[0] for x in PIECES.split(", ")]
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
 
-def suffix_array(symbols: np.ndarray) -> np.ndarray:
-    """By prefix doubling from seven symbols on; only suffixes that still tie are sorted again."""
+    def each(batches):
+        seen: set[tuple[int, int]] = set()
+        for batch in batches:
+            out: list[tuple] = []
+            weight = 0
+            held = batch.column("places")
+            flat, cuts = held.flatten(), held.offsets.to_numpy() - held.offsets[0].as_py()
+            pos, key, hot = flat.field("pos").to_numpy(), flat.field("key").to_numpy(), flat.field("hot").to_numpy(zero_copy_only=False)
+            for k, (a, b, m, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("a", "b", "m")), batch.column("bytes"), strict=True)):
+                mine = slice(cuts[k], cuts[k + 1])
+                by = np.argsort(pos[mine], kind="stable")
+                p, q, h = pos[mine][by].astype(np.int64), key[mine][by], hot[mine][by]
+                raw = text.as_buffer().to_pybytes()
+                for home, s, e in segments(p[~h], q[~h], len(raw), length):
+                    out.append((0, home, 0, a, b, s, 0, m, raw[s:e]))
+                    weight += e - s
+                for at, fp in zip(p[h].tolist(), q[h].tolist(), strict=True):
+                    s = max(0, at - (length - GRAM))
+                    window = raw[s : at + length]
+                    wh = xxhash.xxh3_64_intdigest(window, seed=at - s) - (1 << 63)
+                    out.append((2, fp, wh, a, b, at, at - s, m, None))
+                    if (fp, wh) not in seen:
+                        if len(seen) >= REMEMBERED:
+                            seen.clear()
+                        seen.add((fp, wh))
+                        out.append((1, fp, wh, a, b, at, at - s, m, window))
+                        weight += len(window)
+                if weight > 1 << 22 or len(out) > 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+                    out, weight = [], 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+
+    return told.select("a", "b", "m", "bytes", "places").mapInArrow(each, PIECES)
+
+
+def _sorted_order(symbols: np.ndarray, depth: int, early: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Suffixes by at least their first depth symbols (all from 0 on), by prefix doubling; ties beyond stay in any order.
+
+    Also, for some number of symbols that is early at most (or a first key's), which suffixes in order begin a new string.
+    Keys are packed with the suffix, so that a plain sort gives the order.
+    """
     n = len(symbols)
+    bits = max(1, int(n).bit_length())
+    each = max(1, int(symbols.max() + 1).bit_length())
+    span = max(1, min((63 - bits) // each, early))
     key = np.zeros(n, np.int64)
-    for k in range(7):
-        key <<= 9
-        key[: max(0, n - k)] |= symbols[k:] + 1
-    order = np.argsort(key, kind="stable")
-    new = np.concatenate(([True], key[order][1:] != key[order][:-1]))
+    for k in range(span):
+        key <<= each
+        key[: n - k] |= symbols[k:] + 1
+    key <<= bits
+    key |= np.arange(n)
+    key.sort()
+    order = key & ((1 << bits) - 1)
+    key >>= bits
+    new = np.concatenate(([True], key[1:] != key[:-1]))
     rank = np.empty(n, np.int64)
-    rank[order] = np.flatnonzero(new)[np.cumsum(new) - 1]
-    span = 7
+    rank[order] = np.flatnonzero(new)[np.cumsum(new) - 1] + 1
+    heads, at_span = new, span
     tied = ~(new & np.append(new[1:], True))
-    while tied.any():
+    fits = 3 * bits <= 63
+    while span < depth and tied.any():
         slots = np.flatnonzero(tied)
         at = order[slots]
         after = at + span
-        second = np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
-        pair = rank[at] * (n + 2) + second
-        by = np.argsort(pair, kind="stable")
-        order[slots] = at[by]
-        pair = pair[by]
+        second = np.where(after < n, rank[np.minimum(after, n - 1)], 0)
+        if fits:
+            pair = ((rank[at] << bits | second) << bits) | at
+            pair.sort()
+            at = pair & ((1 << bits) - 1)
+            pair >>= bits
+        else:
+            by = np.lexsort((second, rank[at]))
+            at, pair = at[by], rank[at][by] * (n + 2) + second[by]
+        order[slots] = at
         new = np.concatenate(([True], pair[1:] != pair[:-1]))
-        rank[at[by]] = slots[new][np.cumsum(new) - 1]
+        rank[at] = slots[new][np.cumsum(new) - 1] + 1
+        new_at = slots[new]
+        if 2 * span <= early:
+            heads = heads.copy()
+            heads[new_at] = True
+            at_span = 2 * span
         tied = np.zeros(n, bool)
         tied[slots[~(new & np.append(new[1:], True))]] = True
         span *= 2
-    return order
+    return order, heads, at_span
 
 
-def agreeing(symbols: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """The suffix array, and for each rank whether that suffix and the one before agree in length symbols or more.
+def agreeing(symbols: np.ndarray, length: int, early: int = 1, depth: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes in order, and for each rank whether that suffix and the one before agree in length symbols or more.
 
     Intervals of suffixes that begin with one string are extended backwards by all symbols before them, the shortest strings
-    first. An interval's right border gets its value when it is first met; met again, the interval isn't followed.
+    first. An interval's right border gets its value when it is first met; met again, the interval isn't followed. The
+    first intervals are those of strings of early symbols at most, which the sort passes by: values below are all the same here.
+    Suffixes are sorted by their first depth symbols, length at least, and come in any order beyond; without depth, wholly.
     """
-    symbols = np.append(symbols + 1, 0)  # an end that is like no other symbol
+    symbols = np.append(symbols.astype(np.int64) + 1, 0)  # an end that is like no other symbol
     n = len(symbols)
-    order = suffix_array(symbols)
+    order, heads, start = _sorted_order(symbols, n if depth is None else depth, min(early, length))
     inverse = np.empty(n, np.int64)
     inverse[order] = np.arange(n)
     back = np.where(order > 0, symbols[order - 1], 0)  # the Burrows-Wheeler transform
-    step = np.where(order > 0, inverse[order - 1], 0)
+    step = np.where(order > 0, inverse[order - 1], -1)
+    bits, each = int(n).bit_length(), int(symbols.max() + 1).bit_length()
     unset = np.ones(n + 1, bool)
     unset[0] = unset[n] = False
-    # strings of one symbol
-    count = np.bincount(symbols, minlength=1)
-    hi = np.cumsum(count)[count > 0]
-    lo = hi - count[count > 0]
+    lo = np.flatnonzero(heads)
+    hi = np.append(lo[1:], n)
     unset[hi] = False
-    for _ in range(1, length):
+    for _ in range(start, length):
         if not len(lo):
             break
         size = hi - lo
         one = size == 1
-        single = lo[one]
-        single = single[order[single] > 0]
-        left, right = [step[single]], [step[single] + 1]
+        single = step[lo[one]]
+        single = single[single >= 0]
+        left, right = [single], [single + 1]
         if not one.all():
             l, s = lo[~one], size[~one]
             first = np.cumsum(s) - s
             owner = np.repeat(np.arange(len(l)), s)
-            at = np.arange(len(owner)) - first[owner] + l[owner]
-            keep = order[at] > 0
-            owner, at = owner[keep], at[keep]
-            key = owner * 512 + back[at]
-            by = np.argsort(key, kind="stable")
-            key = key[by]
-            heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            begin = step[at[by][heads]]
-            left.append(begin)
-            right.append(begin + np.diff(np.append(heads, len(key))))
+            at = np.arange(len(owner)) + np.repeat(l - first, s)
+            to = step[at]
+            if 2 * bits + each <= 63:
+                key = ((owner << each | back[at]) << bits) | (to + (to < 0))
+                key = key[to >= 0]
+                key.sort()
+                to = key & ((1 << bits) - 1)
+                key >>= bits
+            else:
+                key = owner * (1 << each) + back[at]
+                keep = np.flatnonzero(to >= 0)
+                keep = keep[np.lexsort((to[keep], key[keep]))]
+                key, to = key[keep], to[keep]
+            if len(key):
+                cut_at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+                begin = to[cut_at]
+                left.append(begin)
+                right.append(begin + np.diff(np.append(cut_at, len(key))))
         lo, hi = np.concatenate(left), np.concatenate(right)
         new = unset[hi]
         lo, hi = lo[new], hi[new]
@@ -245,62 +315,66 @@ def agreeing(symbols: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def repeated_spans(windows: list[tuple], length: int) -> list[list[tuple[int, int]]]:
-    """windows: (fp, wh, id, at, before, bytes). The covered spans of each, counted from its anchor."""
-    sizes = np.array([len(w[5]) for w in windows])
+    """windows: (text's key, first place in the text, multiplicity, bytes). The covered spans of each, counted from its first byte."""
+    sizes = np.array([len(w[3]) for w in windows])
     first = np.cumsum(sizes + 1) - sizes - 1
-    joined = np.frombuffer(b"\0".join(w[5] for w in windows) + b"\0", np.uint8).astype(np.int64) + 1
+    joined = np.frombuffer(b"\0".join(w[3] for w in windows) + b"\0", np.uint8).astype(np.int64)
+    present = np.zeros(256, bool)
+    present[joined] = True
+    joined = np.cumsum(present)[joined]  # few bits for each symbol, in the bytes' order
     joined[first + sizes] = 0  # separators
-    order, same = agreeing(joined, length)
+    order, same = agreeing(joined, length, GRAM, length)
     n = len(joined)
     window = np.repeat(np.arange(len(windows)), sizes + 1)
-    own = {i: k for k, i in enumerate(dict.fromkeys(w[2] for w in windows))}
-    base = np.array([(own[w[2]] << 36) + w[3] - w[4] for w in windows], np.int64)
-    place = base[window] + np.arange(n) - first[window]
-    inside = np.arange(n) - first[window] + length <= sizes[window]
+    own = {i: k for k, i in enumerate(dict.fromkeys(w[0] for w in windows))}
+    base = np.array([(own[w[0]] << 36) + w[1] for w in windows], np.int64) - first
+    place = base[window] + np.arange(n)
     heads = np.flatnonzero(~same)
     sorted_place = place[order]
-    differ = np.minimum.reduceat(sorted_place, heads) != np.maximum.reduceat(sorted_place, heads)
-    run = np.cumsum(~same) - 1
+    several = np.array([w[2] > 1 for w in windows])[window[order]]
+    repeated = np.minimum.reduceat(sorted_place, heads) != np.maximum.reduceat(sorted_place, heads)
+    repeated |= np.logical_or.reduceat(several, heads)
     hit = np.zeros(n, bool)
-    hit[order] = differ[run]
-    hit &= inside
+    hit[order] = np.repeat(repeated, np.diff(np.append(heads, n)))
+    hit &= np.arange(n) - (first - length + sizes)[window] <= 0  # whole strings of one window
     out: list[list[tuple[int, int]]] = [[] for _ in windows]
     at = np.flatnonzero(hit)
     if len(at):
         new = np.concatenate(([True], (at[1:] > at[:-1] + length) | (window[at[1:]] != window[at[:-1]])))
         for a, b in zip(at[new].tolist(), at[np.append(np.flatnonzero(new)[1:] - 1, len(at) - 1)].tolist(), strict=True):
             k = int(window[a])
-            out[k].append((int(a - first[k]) - windows[k][4], int(b - first[k]) + length - windows[k][4]))
+            out[k].append((int(a - first[k]), int(b - first[k]) + length))
     return out
 
 
-SPANS = "fp long, wh long, spans array<struct<s:int,e:int>>"
-
-
-def _span_batch(windows: list[tuple], spans: list[list[tuple[int, int]]]) -> pa.RecordBatch:
-    keep = [k for k, s in enumerate(spans) if s]
-    kind = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
-    return pa.RecordBatch.from_arrays([pa.array([windows[k][0] for k in keep], pa.int64()), pa.array([windows[k][1] for k in keep], pa.int64()), pa.array([[{"s": s, "e": e} for s, e in spans[k]] for k in keep], kind)], names=["fp", "wh", "spans"])
+def block_spans(pieces: DataFrame, length: int) -> DataFrame:
+    """(a, b, at, group, sub, s, e) of the repeated spans, counted from a piece's first byte, of rows (group, sub, a, b, at, m, bytes).
 
+    All pieces of a group go to one block; blocks hold whole groups up to a bounded size. ``at`` is the place of the first byte.
+    """
 
-def block_spans(windows: DataFrame, length: int) -> DataFrame:
-    """Spans of windows whose core few share: all of a core in one block, blocks of bounded size. Columns as window_rows has them, with ``core``."""
+    def done(block: list[tuple]) -> pa.RecordBatch:
+        found = repeated_spans([((w[2], w[3]), w[4], w[5], w[6]) for w in block], length)
+        rows = [(w[2], w[3], w[4], w[0], w[1], s, e) for w, spans in zip(block, found, strict=True) for s, e in spans]
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 7, types, strict=True)], names=["a", "b", "at", "group", "sub", "s", "e"])
 
     def each(batches):
         block: list[tuple] = []
         size, last = 0, None
         for batch in batches:
-            for w in zip(*(batch.column(c).to_pylist() for c in ("fp", "wh", "id", "at", "before", "bytes", "core")), strict=True):
-                if size >= BLOCK and w[6] != last:
-                    yield _span_batch(block, repeated_spans(block, length))
+            for w in zip(*(batch.column(c).to_pylist() for c in ("group", "sub", "a", "b", "at", "m", "bytes")), strict=True):
+                if size >= BLOCK and w[0] != last:
+                    yield done(block)
                     block, size = [], 0
-                block.append(w[:6])
-                size += len(w[5])
-                last = w[6]
+                block.append(w)
+                size += len(w[6])
+                last = w[0]
         if block:
-            yield _span_batch(block, repeated_spans(block, length))
+            yield done(block)
 
-    return windows.repartition("core").sortWithinPartitions("core").mapInArrow(each, SPANS)
+    rows = pieces.select("group", "sub", "a", "b", "at", "m", "bytes")
+    return rows.repartition("group").sortWithinPartitions("group").mapInArrow(each, "a long, b long, at int, group long, sub long, s int, e int")
 
 
 def _matrix(befores: list[int], texts: list[bytes], reach: int, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -314,21 +388,16 @@ def _matrix(befores: list[int], texts: list[bytes], reach: int, length: int) ->
     return out, np.array([reach - b + len(t) for b, t in zip(befores, texts, strict=True)])
 
 
-_POWERS = np.array([pow(_BASE, k, 1 << 64) for k in range(4096)], np.uint64)
-
-
 def _between(prefix: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Hashes of columns a to b of each window."""
     rows = np.arange(prefix.shape[1])
-    h = prefix[b, rows] - prefix[a, rows] * _POWERS[b - a]
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (h ^ (h >> np.uint64(29))).view(np.int64)
+    return _stirred(prefix[b, rows] - prefix[a, rows] * _UP[b - a]).view(np.int64)
 
 
-def _mixed(*parts: np.ndarray) -> np.ndarray:
+def _mixed(*parts_: np.ndarray) -> np.ndarray:
     """One hash of several."""
-    out = np.zeros(len(parts[0]), np.uint64)
-    for p in parts:
+    out = np.zeros(len(parts_[0]), np.uint64)
+    for p in parts_:
         out = (out ^ p.astype(np.int64).view(np.uint64)) * np.uint64(0x9FB21C651E98DF25)
         out ^= out >> np.uint64(32)
     return out.view(np.int64)
@@ -349,7 +418,6 @@ def range_rows(windows: DataFrame, length: int, wide: int) -> DataFrame:
                 before = part.column("before").to_numpy().astype(np.int64)
                 prefix, end = _matrix(before.tolist(), part.column("bytes").to_pylist(), reach, length)
                 lo, hi = part.column("lo").to_numpy().astype(np.int64), part.column("hi").to_numpy().astype(np.int64)
-                out = []
                 for step in range(-(-int((hi - lo).max() + 1) // wide)):
                     u = lo + step * wide
                     v = np.minimum(u + wide - 1, hi)
@@ -362,82 +430,66 @@ def range_rows(windows: DataFrame, length: int, wide: int) -> DataFrame:
                     core = _mixed(core, part.column("fp").to_numpy(), u * 4096 + v)
                     sub = _mixed(sub, core, s * 4096 + e)
                     at = np.flatnonzero(ok)
-                    out.append((at, u[at], v[at], core[at], sub[at], s[at], e[at]))
-                for at, u, v, core, sub, s, e in out:
                     own = part.take(pa.array(at))
-                    yield pa.RecordBatch.from_arrays([own.column("fp"), own.column("wh"), own.column("c"), *(pa.array(x.astype(np.int32)) for x in (u, v)), pa.array(core), pa.array(sub), *(pa.array(x.astype(np.int32)) for x in (s, e))], names=["fp", "wh", "c", "u", "v", "core", "sub", "s", "e"])
+                    u, v, s, e = (pa.array(x[at].astype(np.int32)) for x in (u, v, s, e))
+                    yield pa.RecordBatch.from_arrays([own.column("fp"), own.column("wh"), own.column("c"), u, v, pa.array(core[at]), pa.array(sub[at]), s, e], names=["fp", "wh", "c", "u", "v", "core", "sub", "s", "e"])
 
     return windows.mapInArrow(each, "fp long, wh long, c long, u int, v int, core long, sub long, s int, e int")
 
 
-def window_spans(windows: DataFrame, length: int) -> DataFrame:
-    """Spans of all windows (fp, wh, c, id, at, before, bytes); c says how often each occurs.
+def window_spans(windows: DataFrame, length: int, scratch: Scratch) -> DataFrame:
+    """(fp, wh, s, e): spans, counted from the anchor, of windows (fp, wh, c, a, b, at, before, bytes); c says how often each occurs.
 
-    Of each range of starts, a core that one kind of surroundings has needs no comparison: either all of it is repeated
-    or nothing. Cores with several kinds go to blocks, one window for each kind, cut to what the range's strings cover; those
-    with more than HOT kinds are cut into finer ranges instead.
+    A core that occurs once holds no repeated string. Of the others, one window for each kind of surroundings goes to the
+    core's block, cut to what the range's strings cover and with its count; cores of more than HOT kinds are cut into finer
+    ranges instead, in the end single starts, where surroundings are nothing. As one window stands for its equals there, what
+    has equals is marked before.
     """
     spread = int(windows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    todo = windows.select("fp", "wh", F.col("c").cast("long").alias("c"), "before", "bytes").withColumn("lo", F.lit(GRAM - length)).withColumn("hi", F.lit(0))
+    todo = windows.select("fp", "wh", "c", "before", "bytes").withColumn("lo", F.lit(GRAM - length)).withColumn("hi", F.lit(0))
     found = None
     for wide in RANGES:
-        rows = written(range_rows(todo, length, wide))
-        subs = cut(rows.groupBy("core", "sub").agg(F.sum("c").alias("n"), F.min(F.struct("fp", "wh", "u", "v")).alias("one")))
-        whole = rows.join(cut(subs.filter("n > 1").select("core", "sub")), ["core", "sub"]).select("fp", "wh", F.array(F.struct("s", "e")).alias("spans"))
-        found = whole if found is None else found.unionByName(whole)
-        if wide == 1:
-            break
-        kinds = cut(subs.groupBy("core").agg(F.count("*").alias("kinds")).filter("kinds > 1"))
-        left = subs.join(kinds, "core").select("core", "kinds", F.col("n").alias("c"), "one.*")
-        left = written(left.join(windows.drop("c"), ["fp", "wh"]))
+        rows = scratch.written(range_rows(todo, length, wide))
+        subs = scratch.written(rows.groupBy("core", "sub").agg(F.sum("c").alias("n"), F.min(F.struct("fp", "wh", "u", "v")).alias("one")))
+        cores = scratch.written(subs.groupBy("core").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).filter("total > 1").drop("total"))
+        left = subs.join(cores, "core").select("core", "sub", "kinds", "n", "one.*")
+        left = scratch.written(left.join(windows.drop("c"), ["fp", "wh"]))
         few = left.filter(F.col("kinds") <= HOT)
         first = F.greatest(F.col("u"), -F.col("before")) + F.col("before")
         cut_out = F.substring(F.col("bytes"), first + 1, F.col("v") + length + F.col("before") - first)
-        found = found.unionByName(block_spans(few.select("fp", "wh", "id", "at", (F.col("before") - first).alias("before"), cut_out.alias("bytes"), "core"), length))
-        todo = left.filter(F.col("kinds") > HOT).select("fp", "wh", "c", "before", "bytes", F.col("u").alias("lo"), F.col("v").alias("hi"))
+        cuts = few.select(F.col("core").alias("group"), "sub", "a", "b", (F.col("at") - F.col("before") + first).alias("at"), F.col("n").alias("m"), cut_out.alias("bytes"))
+        marks = block_spans(cuts, length).select(F.col("group").alias("core"), "sub", F.col("s").alias("from"), F.col("e").alias("to"))
+        equal = left.filter((F.col("kinds") > HOT) & (F.col("n") > 1)).select("core", "sub", F.lit(0).alias("from"), (F.col("v") + length - F.greatest(F.col("u"), -F.col("before"))).alias("to"))
+        marks = scratch.written(marks.unionByName(equal))
+        here = rows.join(marks, ["core", "sub"]).select("fp", "wh", (F.col("s") + F.col("from")).alias("s"), (F.col("s") + F.col("to")).alias("e"))
+        found = here if found is None else found.unionByName(here)
+        todo = left.filter(F.col("kinds") > HOT).select("fp", "wh", F.col("n").alias("c"), "before", "bytes", F.col("u").alias("lo"), F.col("v").alias("hi"))
         if not todo.limit(1).count():
             break
         todo = todo.repartition(spread)
     return found
 
 
-def spans(docs: DataFrame, length: int) -> DataFrame:
-    """(id, spans) for rows (id, text): covered spans in bytes, maybe overlapping, unordered."""
-    docs = docs.filter(F.octet_length("text") >= length)
-    rows = written(anchor_rows(docs, length))
-    windows = rows.groupBy("fp", "wh").agg(F.sum(F.size("pos")).alias("c"), F.min(F.struct("id", F.element_at("pos", 1).alias("at"))).alias("one"))
-    windows = written(windows)
-    groups = cut(windows.groupBy("fp").agg(F.sum("c").alias("total"), F.count("*").alias("kinds")).filter("total > 1"))
-    shared = written(windows.join(groups, "fp"))
-    reach = length - GRAM
-    whole = shared.filter("c > 1").select("fp", "wh", F.array(F.struct(F.lit(-reach).alias("s"), F.lit(length).alias("e"))).alias("spans"))
-    wanted = shared.filter("kinds > 1")
-    found = whole
-    if wanted.limit(1).count():
-        of_docs = bits_of(wanted.select(F.pmod(F.xxhash64("one.id"), F.lit(BITS)).alias("h")))
-        # the unsigned remainder, by halves
-        fp_bit = F.pmod(F.pmod(F.col("fp"), F.lit(BITS)) + F.lit((1 << 64) % BITS), F.lit(BITS))
-        of_fps = bits_of(wanted.select(fp_bit.alias("h")))
-        told = docs.withColumn("bit", F.pmod(F.xxhash64("id"), F.lit(BITS)))
-        texts = window_rows(told, length, of_docs, of_fps)
-        mine = wanted.select("fp", "wh", F.col("one.id").alias("id"), F.col("one.at").alias("at"), "c", "kinds")
-        windows = written(texts.join(mine, ["fp", "wh", "id", "at"]).dropDuplicates(["fp", "wh", "id", "at"]))
-        found = found.unionByName(window_spans(windows.drop("kinds"), length))
-    found = written(found.groupBy("fp", "wh").agg(F.flatten(F.collect_list("spans")).alias("spans")))
-    each = rows.join(found, ["fp", "wh"]).select("id", F.explode("pos").alias("at"), "spans")
-    moved = each.select("id", F.transform("spans", lambda x: F.struct((F.col("at") + x.s).alias("s"), (F.col("at") + x.e).alias("e"))).alias("spans"))
-    return moved.groupBy("id").agg(F.flatten(F.collect_set("spans")).alias("spans"))
-
-
-def bits_of(hashes: DataFrame) -> np.ndarray:
-    """A bitmap of BITS bits; its size doesn't depend on the rows."""
-    h = F.col("h")
-    got = hashes.select(F.bitmap_bucket_number(h + 1).alias("b"), F.bitmap_bit_position(h + 1).alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("bits")).collect()
-    out = np.zeros(BITS // 8 + 4096, np.uint8)
-    for r in got:
-        part = np.frombuffer(bytes(r["bits"]), np.uint8)
-        out[(r["b"] - 1) * 4096 : (r["b"] - 1) * 4096 + len(part)] = part
-    return out
+def spans(texts: DataFrame, length: int, scratch: Scratch) -> DataFrame:
+    """(a, b, spans) of distinct texts (a, b, m, bytes), m of each: covered spans, maybe overlapping, unordered."""
+    rows = scratch.written(anchor_rows(texts, length))
+    fps = rows.groupBy("fp").agg(F.sum("m").alias("c"), F.count("*").alias("places"), F.min(F.struct("a", "b", "pos")).alias("home")).filter("c > 1")
+    hot = F.col("places") > HOT
+    cell = F.xxhash64("home.a", "home.b", F.floor(F.col("home.pos") / CELL))
+    fps = scratch.written(fps.select("fp", hot.alias("hot"), F.when(hot, F.col("fp")).otherwise(cell).alias("key")))
+    places = rows.join(fps, "fp").groupBy("a", "b").agg(F.collect_list(F.struct("pos", "key", "hot")).alias("places"))
+    pieces = scratch.written(piece_rows(texts.join(places, ["a", "b"]), length), "kind")
+    whole = pieces.filter("kind = 0").select(F.col("key").alias("group"), F.col("wh").alias("sub"), "a", "b", "at", "m", "bytes")
+    found = block_spans(whole, length).select("a", "b", (F.col("at") + F.col("s")).alias("s"), (F.col("at") + F.col("e")).alias("e"))
+    if fps.filter("hot").limit(1).count():
+        spots = pieces.filter("kind = 2").select(F.col("key").alias("fp"), "wh", "a", "b", F.col("at"), "m")
+        counted = spots.groupBy("fp", "wh").agg(F.sum("m").alias("c"))
+        sent = pieces.filter("kind = 1").select(F.col("key").alias("fp"), "wh", "a", "b", "at", "before", "bytes").dropDuplicates(["fp", "wh"])
+        windows = scratch.written(sent.join(counted, ["fp", "wh"]))
+        held = scratch.written(window_spans(windows, length, scratch).distinct())
+        spots = spots.join(held, ["fp", "wh"])
+        found = found.unionByName(spots.select("a", "b", (F.col("at") + F.col("s")).alias("s"), (F.col("at") + F.col("e")).alias("e")))
+    return found.groupBy("a", "b").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
 
 
 def merged(spans: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
@@ -453,59 +505,64 @@ def merged(spans: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400, keep_text: bool = False) -> DataFrame:
-    """The rows without their text, with n_bytes, n_removed, n_spans, kept_sha256; with keep_text the remaining text too.
-
-    Where a removed run cuts a character, the remaining bytes are no UTF-8 there; the kept text drops the torn bytes, the
-    digest is of all remaining bytes.
-    """
-    added = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "spans"]
-    names = [c for c in docs.columns if c != text and c not in added]
-    rows = docs.select(*[F.col(f"`{c}`") for c in names], F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("row__"), F.col(text).alias("text__"))
-    found = written(spans(rows.select(F.col("row__").alias("id"), F.col("text__").alias("text")).filter("text is not null"), length))
-    bits = bits_of(found.select(F.pmod(F.xxhash64("id"), F.lit(BITS)).alias("h")))
-    kinds = {c: docs.schema[c].dataType.simpleString() for c in names}
-    marks = rows.withColumn("bit", F.pmod(F.xxhash64("row__"), F.lit(BITS)))
-    may = _member(bits)
-    plain = marks.mapInArrow(may(False), _fields(kinds))
-    held = marks.mapInArrow(may(True), _fields(kinds)).join(found, F.col("row__") == F.col("id"), "left").drop("id")
-    both = plain.withColumn("spans", F.lit(None).cast("array<struct<s:int,e:int>>")).unionByName(held)
+def cut_texts(held: DataFrame, keep_text: bool) -> DataFrame:
+    """(a, b, n_removed, n_spans, kept_sha256, kept_text) of texts (a, b, bytes, spans)."""
 
     def each(batches):
         for batch in batches:
             out = []
-            for t, sp in zip(batch.column("text__").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-                b = (t or "").encode("utf-8", "replace")
-                gone = merged([(x["s"], x["e"]) for x in sp or ()], len(b))
+            for a, b, text, spans in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "bytes", "spans")), strict=True):
+                gone = merged([(x["s"], x["e"]) for x in spans], len(text))
                 kept, at = [], 0
                 for s, e in gone:
-                    kept.append(b[at:s])
+                    kept.append(text[at:s])
                     at = e
-                kept.append(b[at:])
+                kept.append(text[at:])
                 rest = b"".join(kept)
-                out.append((len(b), sum(e - s for s, e in gone), len(gone), hashlib.sha256(rest).hexdigest(), *([None if t is None else rest.decode("utf-8", "ignore")] if keep_text else [])))
-            columns = list(zip(*out, strict=True)) or [[]] * (5 if keep_text else 4)
-            types = [pa.int64()] * 3 + [pa.string()] * 2
-            arrays = [pa.array(c, k) for c, k in zip(columns, types, strict=False)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *arrays], names=[*names, *added[: len(arrays)]])
+                out.append((a, b, sum(e - s for s, e in gone), len(gone), hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore") if keep_text else None))
+            types = [pa.int64()] * 4 + [pa.string()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [[]] * 6, types, strict=True)], names=["a", "b", "n_removed", "n_spans", "kept_sha256", "kept_text"])
 
-    fields = [*(f"`{c}` {k}" for c, k in kinds.items()), "n_bytes long, n_removed long, n_spans long, kept_sha256 string", *(["kept_text string"] if keep_text else [])]
-    return both.select(*[F.col(f"`{c}`") for c in names], "text__", "spans").mapInArrow(each, ", ".join(fields))
+    return held.select("a", "b", "bytes", "spans").mapInArrow(each, "a long, b long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
 
 
-def _fields(kinds: dict[str, str]) -> str:
-    return ", ".join([*(f"`{c}` {k}" for c, k in kinds.items()), "row__ long, text__ string"])
-
-
-def _member(bits: np.ndarray):
-    """Functions that pass on the rows whose bit is set, or those whose bit isn't."""
+def deduplicated(docs: DataFrame, text: str = "text", length: int = 400, keep_text: bool = False) -> DataFrame:
+    """The rows without their text, with n_bytes, n_removed, n_spans, kept_sha256; with keep_text the remaining text too.
 
-    def of(wanted: bool):
-        def each(batches):
-            for batch in batches:
-                has = _has(bits, batch.column("bit").to_numpy()) == wanted
-                yield batch.filter(pa.array(has)).drop_columns(["bit"])
+    Where a removed run cuts a character, the remaining bytes are no UTF-8 there; the kept text drops the torn bytes, the
+    digest is of all remaining bytes.
+    """
+    scratch = Scratch(docs.sparkSession)
+    added = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
+    names = docs.columns
+    own = [(f"c{i}", c) for i, c in enumerate(names) if c != text and c not in added]
+    rows = docs.toDF(*(f"c{i}" for i in range(len(names)))).select(*(c for c, _ in own), F.col(f"c{names.index(text)}").cast("binary").alias("bytes"))
+    rows = rows.select("*", F.xxhash64("bytes").alias("a"), F.xxhash64(F.lit(7), "bytes").alias("b"), F.octet_length("bytes").alias("n"))
+    texts = rows.filter(F.col("n") >= length).groupBy("a", "b").agg(F.first("bytes").alias("bytes"), F.count("*").alias("m"))
+    texts = scratch.bucketed(texts, "a", "b")
+    found = written(cut_texts(texts.join(spans(texts, length, scratch), ["a", "b"]), keep_text))
+    scratch.drop()
+    if keep_text:  # a bitmap of fixed size tells rows that need no join, so their texts aren't shuffled
+        bits = bits_of(found.select("a"))
+        known = rows.withColumn("bit", F.pmod("a", F.lit(BITS)))
+        kinds = known.drop("bit").schema
+        plain = known.mapInArrow(_member(bits, False), kinds).withColumns({c: F.lit(None).cast(found.schema[c].dataType) for c in found.columns if c not in ("a", "b")})
+        rows = plain.unionByName(known.mapInArrow(_member(bits, True), kinds).join(found, ["a", "b"], "left"))
+    else:
+        rows = rows.select(*(c for c, _ in own), "a", "b", "n", F.sha2(F.coalesce("bytes", F.lit(b"")), 256).alias("whole")).join(found.drop("kept_text"), ["a", "b"], "left")
+    digest = F.sha2(F.coalesce("bytes", F.lit(b"")), 256) if keep_text else F.col("whole")
+    out = [F.coalesce("n", F.lit(0)).cast("long").alias("n_bytes"), *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_removed", "n_spans")), F.coalesce("kept_sha256", digest).alias("kept_sha256")]
+    if keep_text:
+        out.append(F.coalesce("kept_text", F.col("bytes").cast("string")).alias("kept_text"))
+    return rows.select(*(F.col(c).alias(name) for c, name in own), *out)
+
+
+def _member(bits: np.ndarray, wanted: bool):
+    """A function that passes on the rows whose bit is set, or those whose bit isn't."""
 
-        return each
+    def each(batches):
+        for batch in batches:
+            has = has_bit(bits, batch.column("bit").to_numpy()) == wanted
+            yield batch.filter(pa.array(has)).drop_columns(["bit"])
 
-    return of
+    return each
