@@ -4,16 +4,16 @@
    them move no text.
 2. Of the hashes of all GRAM-byte strings in a stretch of ``length`` bytes, the least ones are its anchors; equal stretches
    have equal anchors at equal places. Only anchors whose fingerprint stands at two places or more can lie in repeated strings.
-3. All places of a fingerprint share a home: the cell of CELL bytes in which the least of its places stands. Neighbouring
+3. All places of a fingerprint share a home: the cell (CELLS) in which the least of its places stands. Neighbouring
    anchors of one text with one home are one segment, so a stretch is compared once, not once for each of its anchors. All
    segments of a home go to one block. A block's suffixes are sorted and its Burrows-Wheeler transform read off;
    breadth-first backward extension of intervals then derives the common prefixes of neighbouring suffixes in increasing
    order and stops at ``length``: whatever has got no value by then agrees in that many bytes. A run counts as repeated if
    it holds two different places, or one of a text with a multiplicity.
-4. A home's size is bounded, for a fingerprint of more than HOT places goes another way to the same blocks: its windows are
+4. A home's size is bounded, for a fingerprint of too many places goes another way to the same blocks: its windows are
    collapsed first (equal ones become one with a multiplicity); the starts of their strings are cut into ranges, and windows
    are blocked by the core that all strings of a range hold. A core that still has more than HOT different windows has its
-   range cut finer (RANGES); a range of one start is the string itself, of which there is but one kind. So a passage in a third of all
+   range cut finer (RANGES) until equal strings are collapsed to one with a multiplicity. So a passage in a third of all
    documents fills no block and no task.
 
 Defined edge cases: null and empty texts have no bytes and keep none; texts shorter than ``length`` keep all; repeated rows
@@ -34,14 +34,16 @@ from pyspark.sql import functions as F
 from .common import BITS, Scratch, bits_of, has_bit, written
 
 GRAM = 100
-#: Places of a fingerprint, or windows of a core, that go to one block; bytes of a home's cell.
-HOT, CELL = 128, 4096
+#: Bytes of a home's cell by the most places of a fingerprint that may be in it. More places than any: the fingerprint is hot.
+CELLS = ((128, 4096), (1024, 512))
+#: Windows of a core that go to one block.
+HOT = 128
 #: Bytes of a block, at least unless there are no more.
 BLOCK = 1 << 19
 #: Starts in a range of the hot windows' strings, cut finer step by step.
-RANGES = (101, 17, 3, 1)
+RANGES = (101, 17, 1)
 #: Texts are hashed in parts of so many bytes; longer ones in overlapping parts.
-PART = 1 << 17
+PART = 1 << 15
 #: Windows that a worker remembers having sent.
 REMEMBERED = 200_000
 _BASE = 0x9E3779B97F4A7C15
@@ -354,8 +356,14 @@ def block_spans(pieces: DataFrame, length: int) -> DataFrame:
     """
 
     def done(block: list[tuple]) -> pa.RecordBatch:
-        found = repeated_spans([((w[2], w[3]), w[4], w[5], w[6]) for w in block], length)
-        rows = [(w[2], w[3], w[4], w[0], w[1], s, e) for w, spans in zip(block, found, strict=True) for s, e in spans]
+        kinds: dict[bytes, list] = {}  # equal pieces are sorted once, with their places' number as multiplicity
+        for w in block:
+            if (own := kinds.get(w[6])) is None:
+                kinds[w[6]] = [w[2:5], w[5]]
+            elif own[0] != w[2:5]:
+                own[1] += w[5]
+        spans_of = dict(zip(kinds, repeated_spans([(place[:2], place[2], m, b) for b, (place, m) in kinds.items()], length), strict=True))
+        rows = [(w[2], w[3], w[4], w[0], w[1], s, e) for w in block for s, e in spans_of[w[6]]]
         types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 7, types, strict=True)], names=["a", "b", "at", "group", "sub", "s", "e"])
 
@@ -374,7 +382,8 @@ def block_spans(pieces: DataFrame, length: int) -> DataFrame:
             yield done(block)
 
     rows = pieces.select("group", "sub", "a", "b", "at", "m", "bytes")
-    return rows.repartition("group").sortWithinPartitions("group").mapInArrow(each, "a long, b long, at int, group long, sub long, s int, e int")
+    spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, as equal pieces take few bytes but much time
+    return rows.repartition(spread, "group").sortWithinPartitions("group").mapInArrow(each, "a long, b long, at int, group long, sub long, s int, e int")
 
 
 def _matrix(befores: list[int], texts: list[bytes], reach: int, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -442,29 +451,29 @@ def window_spans(windows: DataFrame, length: int, scratch: Scratch) -> DataFrame
 
     A core that occurs once holds no repeated string. Of the others, one window for each kind of surroundings goes to the
     core's block, cut to what the range's strings cover and with its count; cores of more than HOT kinds are cut into finer
-    ranges instead, in the end single starts, where surroundings are nothing. As one window stands for its equals there, what
-    has equals is marked before.
+    ranges instead, in the end single starts, where surroundings are nothing. There one window stands for its equals, so what
+    has equals is marked as repeated; a finer range is mostly either such a one or has a core that occurs once.
     """
     spread = int(windows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     todo = windows.select("fp", "wh", "c", "before", "bytes").withColumn("lo", F.lit(GRAM - length)).withColumn("hi", F.lit(0))
     found = None
     for wide in RANGES:
         rows = scratch.written(range_rows(todo, length, wide))
-        subs = scratch.written(rows.groupBy("core", "sub").agg(F.sum("c").alias("n"), F.min(F.struct("fp", "wh", "u", "v")).alias("one")))
+        subs = scratch.written(rows.groupBy("core", "sub").agg(F.sum("c").alias("n"), F.min(F.struct("fp", "wh", "u", "v", "s", "e")).alias("one")))
         cores = scratch.written(subs.groupBy("core").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).filter("total > 1").drop("total"))
-        left = subs.join(cores, "core").select("core", "sub", "kinds", "n", "one.*")
-        left = scratch.written(left.join(windows.drop("c"), ["fp", "wh"]))
-        few = left.filter(F.col("kinds") <= HOT)
-        first = F.greatest(F.col("u"), -F.col("before")) + F.col("before")
-        cut_out = F.substring(F.col("bytes"), first + 1, F.col("v") + length + F.col("before") - first)
-        cuts = few.select(F.col("core").alias("group"), "sub", "a", "b", (F.col("at") - F.col("before") + first).alias("at"), F.col("n").alias("m"), cut_out.alias("bytes"))
-        marks = block_spans(cuts, length).select(F.col("group").alias("core"), "sub", F.col("s").alias("from"), F.col("e").alias("to"))
-        equal = left.filter((F.col("kinds") > HOT) & (F.col("n") > 1)).select("core", "sub", F.lit(0).alias("from"), (F.col("v") + length - F.greatest(F.col("u"), -F.col("before"))).alias("to"))
-        marks = scratch.written(marks.unionByName(equal))
-        here = rows.join(marks, ["core", "sub"]).select("fp", "wh", (F.col("s") + F.col("from")).alias("s"), (F.col("s") + F.col("to")).alias("e"))
+        left = scratch.written(subs.join(cores, "core").select("core", "sub", "kinds", "n", "one.*"))
+        few = (F.col("kinds") <= HOT) if wide == RANGES[0] else F.lit(False)
+        marks = left.filter(~few & (F.col("n") > 1)).select("core", "sub", F.lit(0).alias("from"), (F.col("e") - F.col("s")).alias("to"))
+        if wide == RANGES[0]:
+            own = left.filter(few).join(windows, ["fp", "wh"])
+            first = F.col("s") + F.col("before")
+            cuts = own.select(F.col("core").alias("group"), "sub", "a", "b", (F.col("at") + F.col("s")).alias("at"), F.col("n").alias("m"), F.substring("bytes", first + 1, F.col("e") - F.col("s")).alias("bytes"))
+            marks = marks.unionByName(block_spans(cuts, length).select(F.col("group").alias("core"), "sub", F.col("s").alias("from"), F.col("e").alias("to")))
+        here = rows.join(scratch.written(marks), ["core", "sub"]).select("fp", "wh", (F.col("s") + F.col("from")).alias("s"), (F.col("s") + F.col("to")).alias("e"))
         found = here if found is None else found.unionByName(here)
-        todo = left.filter(F.col("kinds") > HOT).select("fp", "wh", F.col("n").alias("c"), "before", "bytes", F.col("u").alias("lo"), F.col("v").alias("hi"))
-        if not todo.limit(1).count():
+        todo = left.filter(~few & (F.col("kinds") > 1)).join(windows.select("fp", "wh", "before", "bytes"), ["fp", "wh"])
+        todo = todo.select("fp", "wh", F.col("n").alias("c"), "before", "bytes", F.col("u").alias("lo"), F.col("v").alias("hi"))
+        if wide == 1 or not left.filter(~few & (F.col("kinds") > 1)).limit(1).count():
             break
         todo = todo.repartition(spread)
     return found
@@ -474,8 +483,11 @@ def spans(texts: DataFrame, length: int, scratch: Scratch) -> DataFrame:
     """(a, b, spans) of distinct texts (a, b, m, bytes), m of each: covered spans, maybe overlapping, unordered."""
     rows = scratch.written(anchor_rows(texts, length))
     fps = rows.groupBy("fp").agg(F.sum("m").alias("c"), F.count("*").alias("places"), F.min(F.struct("a", "b", "pos")).alias("home")).filter("c > 1")
-    hot = F.col("places") > HOT
-    cell = F.xxhash64("home.a", "home.b", F.floor(F.col("home.pos") / CELL))
+    hot = F.col("places") > max(most for most, _ in CELLS)
+    size = None
+    for most, cell in sorted(CELLS, reverse=True):
+        size = F.lit(cell) if size is None else F.when(F.col("places") <= most, cell).otherwise(size)
+    cell = F.xxhash64("home.a", "home.b", size, F.floor(F.col("home.pos") / size))
     fps = scratch.written(fps.select("fp", hot.alias("hot"), F.when(hot, F.col("fp")).otherwise(cell).alias("key")))
     places = rows.join(fps, "fp").groupBy("a", "b").agg(F.collect_list(F.struct("pos", "key", "hot")).alias("places"))
     pieces = scratch.written(piece_rows(texts.join(places, ["a", "b"]), length), "kind")

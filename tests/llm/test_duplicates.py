@@ -134,9 +134,14 @@ def corpus(seed):
     return [*texts, "".join(edited), "".join(edited) + "!"]
 
 
-@pytest.mark.parametrize("seed,hot", [(1, 512), (2, 1)])
+@pytest.mark.parametrize("seed,hot", [(1, 512), (2, 1), (3, 2), (4, -1)])
 def test_spans_equal_brute_force(spark, monkeypatch, seed, hot):
-    monkeypatch.setattr(suffix, "HOT", hot)
+    """hot 1: cores are cut to single strings; 2: every shared fingerprint goes the way of windows; -1: long texts come in parts."""
+    monkeypatch.setattr(suffix, "HOT", abs(hot))
+    if 0 < hot < 3:
+        monkeypatch.setattr(suffix, "CELLS", ((1, 64), (hot, 32)))
+    if hot < 0:
+        monkeypatch.setattr(suffix, "PART", 450)
     monkeypatch.setattr(suffix, "BLOCK", 4000)
     texts = corpus(seed)
     rows = list(enumerate(texts)) + [(33, texts[33]), (None, texts[40])]
@@ -150,6 +155,18 @@ def test_spans_equal_brute_force(spark, monkeypatch, seed, hot):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_clashing_columns_and_long_texts(spark):
+    """Columns named like those used inside are passed on; a very long text with itself repeated loses what repeats."""
+    rng = random.Random(8)
+    once = "".join(rng.choice("abcdefgh ") for _ in range(300_000))
+    rows = [(1, once + once[:5000], 5, "x", 2, 3), (2, "short", 6, None, 4, 5), (3, "y" * 2_000_000, 7, "z", 6, 7)]
+    df = spark.createDataFrame(rows, "id long, text string, bit int, spans string, a int, bytes int")
+    for keep in (False, True):
+        got = {r["id"]: r for r in suffix.deduplicated(df, keep_text=keep).collect()}
+        assert [(got[i]["bit"], got[i]["spans"], got[i]["a"], got[i]["bytes"]) for i in (1, 2, 3)] == [r[2:] for r in rows]
+        assert [(got[i]["n_removed"], got[i]["n_spans"]) for i in (1, 2, 3)] == [(10_000, 2), (0, 0), (2_000_000, 1)]
+
+
 def test_kept_text_and_empty_table(spark):
     rows = [(1, "é" * 300 + "tail"), (2, "é" * 300), (3, None), (4, "short")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
