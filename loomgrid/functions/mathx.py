@@ -37,8 +37,8 @@ def safe_divide(a: Column, b: Column, otherwise: float | None = None) -> Column:
 
 
 def kernel(name: str, dist: Column, bandwidth: Column) -> Column:
-    """Weight of a distance; compact kernels are 0 beyond the bandwidth."""
-    z = dist / bandwidth
+    """Weight of a distance; compact kernels are 0 beyond the bandwidth. A bandwidth of 0 leaves weight at distance 0 only, as large as any."""
+    z = F.coalesce(F.try_divide(dist, bandwidth), F.when(dist == 0, 0.0).otherwise(float("inf")))
     compact = {"triangular": 1 - z, "uniform": F.lit(0.5), "quadratic": F.lit(0.75) * (1 - z * z), "bisquare": (1 - z * z) * (1 - z * z)}
     if name in compact:
         return F.when(z <= 1, compact[name]).otherwise(0.0)
@@ -59,15 +59,15 @@ def significance_stars(q: Column) -> Column:
 
 def moments_to_nb(mean: Column, var: Column) -> tuple[Column, Column, Column]:
     """(r, theta, lambda) of a negative binomial with this mean and variance."""
-    r, theta = mean * mean / (var - mean), mean / var
+    r, theta = safe_divide(mean * mean, var - mean), safe_divide(mean, var)
     return r, theta, -r * F.ln(theta)
 
 
 def nb_to_moments(lam: Column, theta: Column) -> tuple[Column, Column]:
     """(mean, variance) from lambda and theta."""
-    r = -lam / F.ln(theta)
-    mean = r * (1 - theta) / theta
-    return mean, mean / theta
+    r = safe_divide(-lam, F.ln(theta))
+    mean = safe_divide(r * (1 - theta), theta)
+    return mean, safe_divide(mean, theta)
 
 
 def log_gamma(x: Column) -> Column:

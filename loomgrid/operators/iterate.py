@@ -114,7 +114,7 @@ def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) ->
     j = e.join(labels.select(F.col("id").alias("src"), F.col("community").alias("ca")), "src").join(labels.select(F.col("id").alias("dst"), F.col("community").alias("cb")), "dst")
     ends = j.select(F.col("ca").alias("c"), "w").unionByName(j.select(F.col("cb").alias("c"), "w")).groupBy("c").agg(F.sum("w").alias("d"))
     m = j.agg(F.sum("w").alias("m"), F.sum(F.when(F.col("ca") == F.col("cb"), F.col("w")).otherwise(0.0)).alias("i"))
-    return m.join(ends.agg(F.sum(F.col("d") ** 2).alias("d2"))).select((F.col("i") / F.col("m") - F.lit(resolution) * F.col("d2") / (4 * F.col("m") ** 2)).alias("modularity"))
+    return m.join(ends.agg(F.sum(F.col("d") ** 2).alias("d2"))).select((F.try_divide(F.col("i"), F.col("m")) - F.try_divide(F.lit(resolution) * F.col("d2"), 4 * F.col("m") ** 2)).alias("modularity"))
 
 
 def golden_section(f: Callable[[float], float], low: float, high: float, tol: float = 1e-5, maximum: bool = False) -> float:

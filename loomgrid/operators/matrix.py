@@ -199,8 +199,8 @@ def pearson_residuals(x: DataFrame, theta: float = 100.0) -> DataFrame:
     rows, cols = x.groupBy("obs").agg(F.sum("value").alias("r")), x.groupBy("feature").agg(F.sum("value").alias("c"))
     total = x.agg(F.sum("value").alias("t"), F.count_distinct("obs").alias("n"))
     d = densify(x).join(rows, "obs").join(F.broadcast(cols), "feature").join(F.broadcast(total))
-    mu = F.col("r") * F.col("c") / F.col("t")
-    z = (F.col("value") - mu) / F.sqrt(mu + mu * mu / theta)
+    mu = safe_divide(F.col("r") * F.col("c"), F.col("t"), 0.0)
+    z = safe_divide(F.col("value") - mu, F.sqrt(mu + mu * mu / theta), 0.0)
     edge = F.sqrt("n")
     return d.select("obs", "feature", F.greatest(-edge, F.least(edge, z)).alias("value"))
 
@@ -237,7 +237,7 @@ def fano_variable_features(x: DataFrame, minimal_mean: float = 0.5, top: int = 2
     a = s.orderBy(F.desc("mean"), "feature").limit(top).agg(F.min("cv").alias("a"))
     q = s.agg(*[F.percentile(c, p).alias(f"{c}{k}") for c in ("mean", "fano") for k, p in (("_lo", 0.1), ("_hi", 0.9))])
     box = s.join(F.broadcast(q)).filter("mean between mean_lo and mean_hi and fano between fano_lo and fano_hi").agg(F.sqrt(F.median("fano")).alias("b"))
-    e = s.join(F.broadcast(a)).join(F.broadcast(box)).withColumn("expected", F.col("a") ** 2 * F.col("mean") + F.col("b") ** 2).withColumn("ratio", F.col("fano") / F.col("expected"))
+    e = s.join(F.broadcast(a)).join(F.broadcast(box)).withColumn("expected", F.col("a") ** 2 * F.col("mean") + F.col("b") ** 2).withColumn("ratio", safe_divide(F.col("fano"), F.col("expected")))
     t = e.agg((1 + F.stddev_pop("fano")).alias("t"))
     return e.join(F.broadcast(t)).select("feature", "mean", "fano", "expected", "ratio", ((F.col("ratio") > F.col("t")) & (F.col("mean") >= minimal_mean)).alias("selected"))
 
@@ -261,8 +261,8 @@ def factor_tmm(x: DataFrame, reference, log_ratio_trim: float = 0.3, sum_trim: f
     lib = x.groupBy("obs").agg(F.sum("value").alias("n"))
     d = x.filter("value > 0").join(lib, "obs")
     r = F.broadcast(d.filter(F.col("obs") == F.lit(reference)).select("feature", F.col("value").alias("rv"), F.col("n").alias("rn")))
-    u, v = F.col("value") / F.col("n"), F.col("rv") / F.col("rn")
-    pair = d.join(r, "feature").select("obs", "feature", F.log2(u / v).alias("m"), ((F.log2(u) + F.log2(v)) / 2).alias("a"), ((F.col("n") - F.col("value")) / F.col("n") / F.col("value") + (F.col("rn") - F.col("rv")) / F.col("rn") / F.col("rv")).alias("w"))
+    u, v = safe_divide(F.col("value"), F.col("n")), safe_divide(F.col("rv"), F.col("rn"))
+    pair = d.join(r, "feature").select("obs", "feature", F.log2(u / v).alias("m"), ((F.log2(u) + F.log2(v)) / 2).alias("a"), (safe_divide(F.col("n") - F.col("value"), F.col("n")) / F.col("value") + safe_divide(F.col("rn") - F.col("rv"), F.col("rn")) / F.col("rv")).alias("w"))
     by = Window.partitionBy("obs")
     ranked = pair.withColumn("c", F.count("*").over(by)).withColumn("rm", F.row_number().over(by.orderBy("m", "feature"))).withColumn("ra", F.row_number().over(by.orderBy("a", "feature")))
     kept = ranked.filter((F.col("rm") >= F.floor(F.col("c") * log_ratio_trim) + 1) & (F.col("ra") >= F.floor(F.col("c") * sum_trim) + 1))
@@ -273,7 +273,7 @@ def factor_tmm(x: DataFrame, reference, log_ratio_trim: float = 0.3, sum_trim: f
 def scaled_to_unit_mean(factors: DataFrame) -> DataFrame:
     """Factors over their geometric mean."""
     g = factors.filter("factor > 0").agg(F.exp(F.avg(F.ln("factor"))).alias("g"))
-    return factors.join(F.broadcast(g)).select("obs", (F.col("factor") / F.col("g")).alias("factor"))
+    return factors.join(F.broadcast(g)).select("obs", safe_divide(F.col("factor"), F.col("g")).alias("factor"))
 
 
 def library_offset(x: DataFrame, factors: DataFrame | None = None) -> DataFrame:
@@ -296,10 +296,10 @@ def shuffle_rows(x: DataFrame, seed: int, replace: bool = False) -> DataFrame:
 
 
 def diagonal_coordinate(points: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
-    """Distance along the diagonal of the bounding box, from its lower corner."""
+    """Distance along the diagonal of the bounding box, from its lower corner; 0 where all points are equal."""
     b = points.agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1"))
     dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-    t = ((F.col(x) - F.col("x0")) * dx + (F.col(y) - F.col("y0")) * dy) / F.sqrt(dx * dx + dy * dy)
+    t = safe_divide((F.col(x) - F.col("x0")) * dx + (F.col(y) - F.col("y0")) * dy, F.sqrt(dx * dx + dy * dy), 0.0)
     return points.join(F.broadcast(b)).withColumn("along", t).drop("x0", "x1", "y0", "y1")
 
 

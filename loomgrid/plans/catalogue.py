@@ -359,9 +359,9 @@ def knn_symmetric(spark, d):
 KW = "k AS (SELECT src, dst, dist, MAX(CASE WHEN r <= 4 THEN dist END) OVER (PARTITION BY src) * 1.0000001 AS bw FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY src ORDER BY dist, dst) AS r FROM e))"
 
 
-@query(f"WITH {knn_sql(8)}, {KW} SELECT src, dst, ROUND(w / COUNT(*) OVER (PARTITION BY src), 6) AS w FROM (SELECT src, dst, CASE WHEN dist / bw <= 1 THEN (1 - (dist / bw) * (dist / bw)) * (1 - (dist / bw) * (dist / bw)) ELSE 0 END AS w FROM k WHERE bw > 0) WHERE w >= 1e-5")
+@query(f"WITH {knn_sql(8)}, {KW} SELECT src, dst, ROUND(w / COUNT(*) OVER (PARTITION BY src), 6) AS w FROM (SELECT src, dst, CASE WHEN bw = 0 THEN CAST(dist = 0 AS INTEGER) WHEN dist / bw <= 1 THEN (1 - (dist / bw) * (dist / bw)) * (1 - (dist / bw) * (dist / bw)) ELSE 0 END AS w FROM k) WHERE w >= 1e-5")
 def kernel_weights(spark, d):
-    return shown(graph.kernel_weights(graph.knn(points(spark, d), 8), "bisquare", k=4, normalize=True).filter("w is not null"), "src", "dst", "w")
+    return shown(graph.kernel_weights(graph.knn(points(spark, d), 8), "bisquare", k=4, normalize=True), "src", "dst", "w")
 
 
 @query(f"WITH {knn_sql(6)}, s AS (SELECT src, MAX(dist) AS s FROM e GROUP BY 1) SELECT e.src, e.dst, ROUND(EXP(-(e.dist * e.dist) / (a.s * b.s)), 6) AS w FROM e JOIN s a ON a.src = e.src JOIN s b ON b.src = e.dst WHERE a.s * b.s <> 0")

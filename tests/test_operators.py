@@ -232,3 +232,19 @@ def test_decompositions(spark):
     assert np.abs(got) == pytest.approx(want) and share[0] > 0.7
     plan = learn.sinkhorn(np.array([[0.0, 1.0], [1.0, 0.0]]), np.array([0.5, 0.5]), np.array([0.5, 0.5]), 0.01)
     assert plan == pytest.approx(np.eye(2) / 2, abs=1e-6)
+
+
+def test_kernel_weights_of_coincident_points(spark):
+    """A bandwidth of 0 weighs neighbours at distance 0 only; nothing is divided by it."""
+    edges = spark.createDataFrame([(1, 2, 0.0), (1, 3, 0.0), (1, 4, 2.0), (2, 1, 1.0), (2, 3, 2.0)], "src long, dst long, dist double")
+    got = {(r["src"], r["dst"]): r["w"] for r in graph.kernel_weights(edges, "bisquare", k=2, normalize=False).collect()}
+    assert got[(1, 2)] == got[(1, 3)] == 1.0 and (1, 4) not in got and 0 < got[(2, 1)] < 1
+    got = {(r["src"], r["dst"]): r["w"] for r in graph.kernel_weights(edges, "gaussian", k=2).collect()}
+    assert got[(1, 2)] == 1.0 and (1, 4) not in got
+
+
+def test_divisions_by_nothing(spark):
+    flat = spark.createDataFrame([(i, 1.0, 2.0) for i in range(4)], "id long, x double, y double")
+    assert {r["along"] for r in matrix.diagonal_coordinate(flat).collect()} == {0.0}
+    one = spark.createDataFrame([(1, 1, 0.0), (1, 2, 3.0)], "obs long, feature long, value double")
+    assert matrix.pearson_residuals(one).count() == 2 and matrix.scaled_to_unit_mean(spark.createDataFrame([(1, 0.0)], "obs long, factor double")).collect()[0]["factor"] is None
