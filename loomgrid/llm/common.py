@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors reach; only where it is unset (local tests), a temporary one."""
+    """The folder in spark.checkpoint.dir, which all executors reach; only where it is unset and the master is local, a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
         found = tempfile.mkdtemp(prefix="loomgrid-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
@@ -90,6 +93,17 @@ def has_bit(bits: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (bits[x >> 3] >> (x & 7).astype(np.uint8) & 1).astype(bool)
 
 
+def passing(bits: np.ndarray, wanted: bool):
+    """A mapInArrow function that drops the column ``bit`` and passes on the rows whose bit is set, or those whose bit isn't."""
+
+    def each(batches):
+        for batch in batches:
+            has = has_bit(bits, batch.column("bit").to_numpy()) == wanted
+            yield batch.filter(pa.array(has)).drop_columns(["bit"])
+
+    return each
+
+
 def remainder(column: str, modulus: int) -> Column:
     """crc32 of an id as text, modulo; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % modulus

@@ -12,9 +12,9 @@
    it holds two different places, or one of a text with a multiplicity.
 4. A home's size is bounded, for a fingerprint of too many places goes another way to the same blocks: its windows are
    collapsed first (equal ones become one with a multiplicity); the starts of their strings are cut into ranges, and windows
-   are blocked by the core that all strings of a range hold. A core that still has more than HOT different windows has its
-   range cut finer (RANGES) until equal strings are collapsed to one with a multiplicity. So a passage in a third of all
-   documents fills no block and no task.
+   are blocked by the core that all strings of a range hold. There the core is one symbol, and only what stands around it is
+   sorted and extended. A core with more around it than a block takes has its range cut finer (RANGES) until equal strings
+   are collapsed to one with a multiplicity. So a passage in a third of all documents fills no block and no task.
 
 Defined edge cases: null and empty texts have no bytes and keep none; texts shorter than ``length`` keep all; repeated rows
 repeat each other and lose whatever is long enough; an empty table gives an empty table; further columns are passed on
@@ -31,13 +31,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BITS, Scratch, bits_of, has_bit, written
+from .common import BITS, Scratch, bits_of, passing, written
 
 GRAM = 100
 #: Bytes of a home's cell by the most places of a fingerprint that may be in it. More places than any: the fingerprint is hot.
 CELLS = ((128, 4096), (1024, 512))
-#: Windows of a core that go to one block.
-HOT = 128
+#: Bytes around a core, of all its kinds of windows, that go to one block.
+AROUND = 1 << 20
 #: Bytes of a block, at least unless there are no more.
 BLOCK = 1 << 19
 #: Starts in a range of the hot windows' strings, cut finer step by step.
@@ -316,21 +316,34 @@ def agreeing(symbols: np.ndarray, length: int, early: int = 1, depth: int | None
     return order[1:], unset[1:n]
 
 
-def repeated_spans(windows: list[tuple], length: int) -> list[list[tuple[int, int]]]:
-    """windows: (text's key, first place in the text, multiplicity, bytes). The covered spans of each, counted from its first byte."""
-    sizes = np.array([len(w[3]) for w in windows])
+def repeated_spans(windows: list[tuple], length: int, wide: int | None = None) -> list[list[tuple[int, int]]]:
+    """windows: (text's key, first place in the text, multiplicity, bytes[, core, cut]). The covered spans of each, counted from its first byte.
+
+    With wide, what stands around a core: ``cut`` bytes before it, the others behind. All strings that start in the core's range
+    hold the core, so it counts as one symbol, and a string is wide symbols long.
+    """
+    sizes = np.array([len(w[3]) + (wide is not None) for w in windows])
     first = np.cumsum(sizes + 1) - sizes - 1
-    joined = np.frombuffer(b"\0".join(w[3] for w in windows) + b"\0", np.uint8).astype(np.int64)
-    present = np.zeros(256, bool)
-    present[joined] = True
-    joined = np.cumsum(present)[joined]  # few bits for each symbol, in the bytes' order
-    joined[first + sizes] = 0  # separators
-    order, same = agreeing(joined, length, GRAM, length)
-    n = len(joined)
+    n = int(sizes.sum()) + len(windows)
+    joined = np.zeros(n, np.int64)  # 0 separates
     window = np.repeat(np.arange(len(windows)), sizes + 1)
+    inner = np.arange(n) - first[window]
+    own_bytes = inner < sizes[window]
+    if wide is not None:
+        cores = first + np.array([w[5] for w in windows])
+        own_bytes[cores] = False
+    raw = np.frombuffer(b"".join(w[3] for w in windows), np.uint8)
+    present = np.zeros(256, bool)
+    present[raw] = True
+    codes = np.cumsum(present)  # few bits for each symbol, in the bytes' order
+    joined[own_bytes] = codes[raw]
+    if wide is not None:
+        number = {c: k for k, c in enumerate(dict.fromkeys(w[4] for w in windows))}
+        joined[cores] = codes[-1] + 1 + np.array([number[w[4]] for w in windows])
+    span = wide or length
+    order, same = agreeing(joined, span, GRAM, span)
     own = {i: k for k, i in enumerate(dict.fromkeys(w[0] for w in windows))}
-    base = np.array([(own[w[0]] << 36) + w[1] for w in windows], np.int64) - first
-    place = base[window] + np.arange(n)
+    place = np.array([(own[w[0]] << 36) + w[1] for w in windows], np.int64)[window] + inner
     heads = np.flatnonzero(~same)
     sorted_place = place[order]
     several = np.array([w[2] > 1 for w in windows])[window[order]]
@@ -338,7 +351,7 @@ def repeated_spans(windows: list[tuple], length: int) -> list[list[tuple[int, in
     repeated |= np.logical_or.reduceat(several, heads)
     hit = np.zeros(n, bool)
     hit[order] = np.repeat(repeated, np.diff(np.append(heads, n)))
-    hit &= np.arange(n) - (first - length + sizes)[window] <= 0  # whole strings of one window
+    hit &= inner + span <= sizes[window]  # whole strings of one window
     out: list[list[tuple[int, int]]] = [[] for _ in windows]
     at = np.flatnonzero(hit)
     if len(at):
@@ -349,21 +362,24 @@ def repeated_spans(windows: list[tuple], length: int) -> list[list[tuple[int, in
     return out
 
 
-def block_spans(pieces: DataFrame, length: int) -> DataFrame:
-    """(a, b, at, group, sub, s, e) of the repeated spans, counted from a piece's first byte, of rows (group, sub, a, b, at, m, bytes).
+def block_spans(pieces: DataFrame, length: int, wide: int | None = None) -> DataFrame:
+    """(a, b, at, group, sub, s, e) of the repeated spans, counted from a piece's first byte, of rows (group, sub, a, b, at, m, bytes, cut).
 
-    All pieces of a group go to one block; blocks hold whole groups up to a bounded size. ``at`` is the place of the first byte.
+    All pieces of a group go to one block; blocks hold whole groups up to a bounded size. ``at`` is the place of the first
+    byte. With wide, groups are cores and pieces what stands around them, ``cut`` bytes before.
     """
 
     def done(block: list[tuple]) -> pa.RecordBatch:
-        kinds: dict[bytes, list] = {}  # equal pieces are sorted once, with their places' number as multiplicity
+        kinds: dict[tuple, list] = {}  # equal pieces are sorted once, with their places' number as multiplicity
         for w in block:
-            if (own := kinds.get(w[6])) is None:
-                kinds[w[6]] = [w[2:5], w[5]]
+            key = w[6:] if wide is None else (w[6], w[0], w[7])
+            if (own := kinds.get(key)) is None:
+                kinds[key] = [w[2:5], w[5]]
             elif own[0] != w[2:5]:
                 own[1] += w[5]
-        spans_of = dict(zip(kinds, repeated_spans([(place[:2], place[2], m, b) for b, (place, m) in kinds.items()], length), strict=True))
-        rows = [(w[2], w[3], w[4], w[0], w[1], s, e) for w in block for s, e in spans_of[w[6]]]
+        found = repeated_spans([(place[:2], place[2], m, *key) for key, (place, m) in kinds.items()], length, wide)
+        spans_of = dict(zip(kinds, found, strict=True))
+        rows = [(w[2], w[3], w[4], w[0], w[1], s, e) for w in block for s, e in spans_of[w[6:] if wide is None else (w[6], w[0], w[7])]]
         types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 7, types, strict=True)], names=["a", "b", "at", "group", "sub", "s", "e"])
 
@@ -371,7 +387,7 @@ def block_spans(pieces: DataFrame, length: int) -> DataFrame:
         block: list[tuple] = []
         size, last = 0, None
         for batch in batches:
-            for w in zip(*(batch.column(c).to_pylist() for c in ("group", "sub", "a", "b", "at", "m", "bytes")), strict=True):
+            for w in zip(*(batch.column(c).to_pylist() for c in ("group", "sub", "a", "b", "at", "m", "bytes", "cut")), strict=True):
                 if size >= BLOCK and w[0] != last:
                     yield done(block)
                     block, size = [], 0
@@ -381,7 +397,7 @@ def block_spans(pieces: DataFrame, length: int) -> DataFrame:
         if block:
             yield done(block)
 
-    rows = pieces.select("group", "sub", "a", "b", "at", "m", "bytes")
+    rows = pieces.select("group", "sub", "a", "b", "at", "m", "bytes", "cut")
     spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, as equal pieces take few bytes but much time
     return rows.repartition(spread, "group").sortWithinPartitions("group").mapInArrow(each, "a long, b long, at int, group long, sub long, s int, e int")
 
@@ -413,7 +429,7 @@ def _mixed(*parts_: np.ndarray) -> np.ndarray:
 
 
 def range_rows(windows: DataFrame, length: int, wide: int) -> DataFrame:
-    """(fp, wh, c, u, v, core, sub, s, e) for the ranges u to v, at most wide, of string starts lo to hi of each window.
+    """(fp, wh, c, u, v, core, sub, s, e) for the ranges u to v, wide each, of string starts lo to hi of each window.
 
     Starts count from the anchor. ``core`` is a hash of what all strings of the range hold, with the range and the
     fingerprint; ``sub`` of what any of the window's own strings in it covers, from s to e.
@@ -429,7 +445,7 @@ def range_rows(windows: DataFrame, length: int, wide: int) -> DataFrame:
                 lo, hi = part.column("lo").to_numpy().astype(np.int64), part.column("hi").to_numpy().astype(np.int64)
                 for step in range(-(-int((hi - lo).max() + 1) // wide)):
                     u = lo + step * wide
-                    v = np.minimum(u + wide - 1, hi)
+                    v = u + wide - 1
                     s, e = np.maximum(u, -before), np.minimum(v + length, end - reach)
                     ok = (u <= hi) & (e - s >= length)
                     if not ok.any():
@@ -450,9 +466,9 @@ def window_spans(windows: DataFrame, length: int, scratch: Scratch) -> DataFrame
     """(fp, wh, s, e): spans, counted from the anchor, of windows (fp, wh, c, a, b, at, before, bytes); c says how often each occurs.
 
     A core that occurs once holds no repeated string. Of the others, one window for each kind of surroundings goes to the
-    core's block, cut to what the range's strings cover and with its count; cores of more than HOT kinds are cut into finer
-    ranges instead, in the end single starts, where surroundings are nothing. There one window stands for its equals, so what
-    has equals is marked as repeated; a finer range is mostly either such a one or has a core that occurs once.
+    core's block, with its count and only what stands around the core. Cores of so many kinds that their surroundings
+    exceed a block are cut into finer ranges, in the end single starts, of which there is one kind. There one window stands
+    for its equals, so what has equals is marked as repeated.
     """
     spread = int(windows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     todo = windows.select("fp", "wh", "c", "before", "bytes").withColumn("lo", F.lit(GRAM - length)).withColumn("hi", F.lit(0))
@@ -462,20 +478,20 @@ def window_spans(windows: DataFrame, length: int, scratch: Scratch) -> DataFrame
         subs = scratch.written(rows.groupBy("core", "sub").agg(F.sum("c").alias("n"), F.min(F.struct("fp", "wh", "u", "v", "s", "e")).alias("one")))
         cores = scratch.written(subs.groupBy("core").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).filter("total > 1").drop("total"))
         left = scratch.written(subs.join(cores, "core").select("core", "sub", "kinds", "n", "one.*"))
-        few = (F.col("kinds") <= HOT) if wide == RANGES[0] else F.lit(False)
+        few = F.col("kinds") <= max(1, AROUND // (2 * wide))
         marks = left.filter(~few & (F.col("n") > 1)).select("core", "sub", F.lit(0).alias("from"), (F.col("e") - F.col("s")).alias("to"))
-        if wide == RANGES[0]:
-            own = left.filter(few).join(windows, ["fp", "wh"])
-            first = F.col("s") + F.col("before")
-            cuts = own.select(F.col("core").alias("group"), "sub", "a", "b", (F.col("at") + F.col("s")).alias("at"), F.col("n").alias("m"), F.substring("bytes", first + 1, F.col("e") - F.col("s")).alias("bytes"))
-            marks = marks.unionByName(block_spans(cuts, length).select(F.col("group").alias("core"), "sub", F.col("s").alias("from"), F.col("e").alias("to")))
+        own = left.filter(few).join(windows.drop("c"), ["fp", "wh"])
+        part = lambda a, b: F.substring(F.col("bytes"), a + F.col("before") + 1, b - a)
+        around = F.concat(part(F.col("s"), F.col("v")), part(F.col("u") + length, F.col("e")))
+        cuts = own.select(F.col("core").alias("group"), "sub", "a", "b", (F.col("at") + F.col("s")).alias("at"), F.col("n").alias("m"), around.alias("bytes"), (F.col("v") - F.col("s")).alias("cut"))
+        marks = marks.unionByName(block_spans(cuts, length, wide).select(F.col("group").alias("core"), "sub", F.col("s").alias("from"), F.col("e").alias("to")))
         here = rows.join(scratch.written(marks), ["core", "sub"]).select("fp", "wh", (F.col("s") + F.col("from")).alias("s"), (F.col("s") + F.col("to")).alias("e"))
         found = here if found is None else found.unionByName(here)
-        todo = left.filter(~few & (F.col("kinds") > 1)).join(windows.select("fp", "wh", "before", "bytes"), ["fp", "wh"])
-        todo = todo.select("fp", "wh", F.col("n").alias("c"), "before", "bytes", F.col("u").alias("lo"), F.col("v").alias("hi"))
-        if wide == 1 or not left.filter(~few & (F.col("kinds") > 1)).limit(1).count():
+        many = left.filter(~few & (F.col("kinds") > 1))
+        if wide == 1 or not many.limit(1).count():
             break
-        todo = todo.repartition(spread)
+        todo = many.join(windows.select("fp", "wh", "before", "bytes"), ["fp", "wh"])
+        todo = todo.select("fp", "wh", F.col("n").alias("c"), "before", "bytes", F.col("u").alias("lo"), F.col("v").alias("hi")).repartition(spread)
     return found
 
 
@@ -491,7 +507,7 @@ def spans(texts: DataFrame, length: int, scratch: Scratch) -> DataFrame:
     fps = scratch.written(fps.select("fp", hot.alias("hot"), F.when(hot, F.col("fp")).otherwise(cell).alias("key")))
     places = rows.join(fps, "fp").groupBy("a", "b").agg(F.collect_list(F.struct("pos", "key", "hot")).alias("places"))
     pieces = scratch.written(piece_rows(texts.join(places, ["a", "b"]), length), "kind")
-    whole = pieces.filter("kind = 0").select(F.col("key").alias("group"), F.col("wh").alias("sub"), "a", "b", "at", "m", "bytes")
+    whole = pieces.filter("kind = 0").select(F.col("key").alias("group"), F.col("wh").alias("sub"), "a", "b", "at", "m", "bytes", F.lit(0).alias("cut"))
     found = block_spans(whole, length).select("a", "b", (F.col("at") + F.col("s")).alias("s"), (F.col("at") + F.col("e")).alias("e"))
     if fps.filter("hot").limit(1).count():
         spots = pieces.filter("kind = 2").select(F.col("key").alias("fp"), "wh", "a", "b", F.col("at"), "m")
@@ -558,8 +574,8 @@ def deduplicated(docs: DataFrame, text: str = "text", length: int = 400, keep_te
         bits = bits_of(found.select("a"))
         known = rows.withColumn("bit", F.pmod("a", F.lit(BITS)))
         kinds = known.drop("bit").schema
-        plain = known.mapInArrow(_member(bits, False), kinds).withColumns({c: F.lit(None).cast(found.schema[c].dataType) for c in found.columns if c not in ("a", "b")})
-        rows = plain.unionByName(known.mapInArrow(_member(bits, True), kinds).join(found, ["a", "b"], "left"))
+        plain = known.mapInArrow(passing(bits, False), kinds).withColumns({c: F.lit(None).cast(found.schema[c].dataType) for c in found.columns if c not in ("a", "b")})
+        rows = plain.unionByName(known.mapInArrow(passing(bits, True), kinds).join(found, ["a", "b"], "left"))
     else:
         rows = rows.select(*(c for c, _ in own), "a", "b", "n", F.sha2(F.coalesce("bytes", F.lit(b"")), 256).alias("whole")).join(found.drop("kept_text"), ["a", "b"], "left")
     digest = F.sha2(F.coalesce("bytes", F.lit(b"")), 256) if keep_text else F.col("whole")
@@ -567,14 +583,3 @@ def deduplicated(docs: DataFrame, text: str = "text", length: int = 400, keep_te
     if keep_text:
         out.append(F.coalesce("kept_text", F.col("bytes").cast("string")).alias("kept_text"))
     return rows.select(*(F.col(c).alias(name) for c, name in own), *out)
-
-
-def _member(bits: np.ndarray, wanted: bool):
-    """A function that passes on the rows whose bit is set, or those whose bit isn't."""
-
-    def each(batches):
-        for batch in batches:
-            has = has_bit(bits, batch.column("bit").to_numpy()) == wanted
-            yield batch.filter(pa.array(has)).drop_columns(["bit"])
-
-    return each

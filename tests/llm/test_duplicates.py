@@ -90,6 +90,27 @@ def test_empty_tables_and_representatives(spark):
     assert got == [0, 50, 51, 52]
 
 
+def test_representatives_are_rows(spark):
+    """An id of several texts loses only the text that has a copy; columns named like those used inside are passed on."""
+    a, b = near_copies(6, 2, 60, 0)[0], "something else that stands nowhere but here and has words enough to count"
+    rows = [(3, a, 1, "x"), (5, a, 2, "y"), (5, b, 3, "z"), (None, a, 4, "w"), (None, None, 5, "v"), (None, None, 6, "u"), (7, " ", 7, "t"), (7, " ", 8, "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, id_ int, row string").selectExpr("*", "'k' as key", "1 as bit", "2 as label")
+    got = sorted((r["id_"], r["row"], r["key"], r["bit"], r["label"]) for r in jaccard.representatives(df).collect())
+    assert got == [(i, x, "k", 1, 2) for i, x in ((1, "x"), (3, "z"), (5, "v"), (6, "u"), (7, "t"), (8, "s"))]
+
+
+def test_a_token_of_a_third_of_all_sets(spark):
+    """Texts that share a passage link only where they are alike; one large group of near copies stays one component."""
+    rng = random.Random(12)
+    passage = " ".join(f"p{i}" for i in range(12))
+    texts = [passage + " " + " ".join(f"u{rng.randrange(10**8)}" for _ in range(14)) for _ in range(150)]
+    texts += near_copies(13, 150, 90, 2) + [passage] * 40 + [" ".join(f"s{rng.randrange(10**8)}" for _ in range(30)) for _ in range(100)]
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    got = sorted((tuple(r) for r in jaccard.joined(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == plain_components(rows, 3, 90)
+
+
 def test_chains_reach_their_least_key(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 101), (101, 99), (200, 199)], "x long, y long")
     got = {r["key"]: r["label"] for r in jaccard.components(links).collect()}
@@ -137,9 +158,10 @@ def corpus(seed):
 @pytest.mark.parametrize("seed,hot", [(1, 512), (2, 1), (3, 2), (4, -1)])
 def test_spans_equal_brute_force(spark, monkeypatch, seed, hot):
     """hot 1: cores are cut to single strings; 2: every shared fingerprint goes the way of windows; -1: long texts come in parts."""
-    monkeypatch.setattr(suffix, "HOT", abs(hot))
     if 0 < hot < 3:
         monkeypatch.setattr(suffix, "CELLS", ((1, 64), (hot, 32)))
+    if hot == 1:
+        monkeypatch.setattr(suffix, "AROUND", 1)
     if hot < 0:
         monkeypatch.setattr(suffix, "PART", 450)
     monkeypatch.setattr(suffix, "BLOCK", 4000)
@@ -159,12 +181,11 @@ def test_clashing_columns_and_long_texts(spark):
     """Columns named like those used inside are passed on; a very long text with itself repeated loses what repeats."""
     rng = random.Random(8)
     once = "".join(rng.choice("abcdefgh ") for _ in range(300_000))
-    rows = [(1, once + once[:5000], 5, "x", 2, 3), (2, "short", 6, None, 4, 5), (3, "y" * 2_000_000, 7, "z", 6, 7)]
+    rows = [(1, once + once[:5000], 5, "x", 2, 3), (2, "short", 6, None, 4, 5), (3, "y" * 150_000, 7, "z", 6, 7)]
     df = spark.createDataFrame(rows, "id long, text string, bit int, spans string, a int, bytes int")
-    for keep in (False, True):
-        got = {r["id"]: r for r in suffix.deduplicated(df, keep_text=keep).collect()}
-        assert [(got[i]["bit"], got[i]["spans"], got[i]["a"], got[i]["bytes"]) for i in (1, 2, 3)] == [r[2:] for r in rows]
-        assert [(got[i]["n_removed"], got[i]["n_spans"]) for i in (1, 2, 3)] == [(10_000, 2), (0, 0), (2_000_000, 1)]
+    got = {r["id"]: r for r in suffix.deduplicated(df, keep_text=True).collect()}
+    assert [(got[i]["bit"], got[i]["spans"], got[i]["a"], got[i]["bytes"]) for i in (1, 2, 3)] == [r[2:] for r in rows]
+    assert [(got[i]["n_removed"], got[i]["n_spans"]) for i in (1, 2, 3)] == [(10_000, 2), (0, 0), (150_000, 1)]
 
 
 def test_kept_text_and_empty_table(spark):
