@@ -4,9 +4,12 @@ A text is cut by the public pattern; the pieces not known yet go into one recurs
 join the merge table, and each step contracts each word's leftmost pair of least rank; words of which no pair is in the
 table are done. Decoding joins token rows to the vocabulary and aggregates their bytes in order.
 
-The query's rows for a word grow with the square of its bytes, so pieces of over ``LONG_BYTES`` bytes follow the same rule
-with a heap instead; the results are equal. Each Python worker remembers up to ``REMEMBERED`` words, then starts anew; a
-batch's words go to DuckDB in blocks of ``BLOCK``, so memory has a bound. Nothing is shuffled.
+That takes rows with the square of a word's bytes, so words over ``PLAIN`` bytes have a query that contracts more at once, to
+the same result: where no contraction of the least rank makes a pair of lower rank, all of that rank are made in one step,
+as they would be one after another. No merge crosses a place that lies inside no occurrence of any token; long pieces are
+cut there first into words of their own.
+Each task remembers up to ``REMEMBERED`` words, then starts anew; words go to DuckDB in blocks of ``BLOCK`` words or
+``BLOCK_BYTES``, so memory has a bound, unless a single word is longer. Nothing is shuffled.
 
 Defined edge cases: null texts count as empty and have no tokens; lone surrogates can't occur in Spark strings; rows are
 encoded one by one; an empty table gives an empty table; further columns are ignored.
@@ -17,7 +20,6 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-import heapq
 
 import duckdb
 import numpy as np
@@ -26,11 +28,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LONG_BYTES = 128
-REMEMBERED, BLOCK = 400_000, 30_000
+PLAIN = 32
+REMEMBERED, BLOCK, BLOCK_BYTES = 200_000, 30_000, 1 << 19
 #: Tokens that one decoding query aggregates, at most, unless a single text has more.
 DECODED_AT_ONCE = 1 << 20
 
+#: One contraction of each word a step: its leftmost pair of least rank.
 ENCODE = """
 WITH RECURSIVE steps(word, pos, id, done) AS (
     SELECT word, pos, id, false FROM bytes_of
@@ -45,6 +48,30 @@ WITH RECURSIVE steps(word, pos, id, done) AS (
 )
 SELECT word, id FROM steps WHERE done ORDER BY pos
 """
+#: All contractions of a word's least rank in one step, unless one of them makes a pair of lower rank (``odd``), which would
+#: come before the next one; then the leftmost only. Pairs that overlap stand side by side (``run``); every other one is made.
+ENCODE_LONG = """
+WITH RECURSIVE steps(word, pos, id, done) AS (
+    SELECT word, pos, id, false FROM bytes_of
+    UNION ALL
+    (WITH given AS (
+        SELECT *, row_number() OVER w AS nr, lead(pos) OVER w AS after, CASE WHEN lag(word) OVER w = word THEN lag(id) OVER w END AS before,
+            CASE WHEN lead(word) OVER w = word THEN lead(id) OVER w END AS next, CASE WHEN lead(word, 2) OVER w = word THEN lead(id, 2) OVER w END AS third
+        FROM steps WHERE NOT done WINDOW w AS (ORDER BY pos)
+    ), pairs AS (
+        SELECT g.*, m.merged FROM given g LEFT JOIN merges m ON m.pair = (CAST(g.id AS BIGINT) << 32) + g.next
+    ), best AS (SELECT word, min((merged << 32) + pos) AS least FROM pairs GROUP BY word),
+    met AS (SELECT p.*, b.least FROM pairs p JOIN best b ON b.word = p.word AND b.least >> 32 = p.merged),
+    made AS (SELECT word, merged, (merged << 32) + third AS pair FROM met UNION ALL SELECT word, merged, (before << 32) + merged FROM met UNION ALL SELECT word, merged, (merged << 32) + merged FROM met),
+    odd AS (SELECT DISTINCT n.word FROM made n JOIN merges m USING (pair) WHERE m.merged < n.merged),
+    runs AS (SELECT t.pos, t.after, t.nr - row_number() OVER (ORDER BY t.pos) AS run FROM met t LEFT JOIN odd USING (word) WHERE odd.word IS NULL OR t.least = (t.merged << 32) + t.pos),
+    gone AS (SELECT pos, after FROM (SELECT pos, after, row_number() OVER (PARTITION BY run ORDER BY pos) AS nth FROM runs) WHERE nth % 2 = 1)
+    SELECT p.word, p.pos, CASE WHEN t.pos IS NULL THEN p.id ELSE p.merged END, b.least IS NULL
+    FROM pairs p JOIN best b USING (word) LEFT JOIN gone t ON t.pos = p.pos
+    WHERE NOT EXISTS (SELECT 1 FROM gone x WHERE x.after = p.pos))
+)
+SELECT word, id FROM steps WHERE done ORDER BY pos
+"""
 DECODE = "SELECT t.text AS text, string_agg(v.chars, '' ORDER BY t.pos) AS chars FROM tokens t JOIN vocabulary v USING (id) GROUP BY t.text ORDER BY t.text"
 
 
@@ -82,6 +109,7 @@ class Coder:
                 if a is not None and b is not None:
                     pairs.append((a << 32) + b)
                     merged.append(rank)
+        self.begun = {t[:k] for t in self.ranks for k in range(1, len(t) + 1)}
         self._table("merges", pair=np.array(pairs, np.int64), merged=np.array(merged, np.int64))
         ids = sorted(self.ranks.values())
         by_id = {v: k for k, v in self.ranks.items()}
@@ -92,57 +120,59 @@ class Coder:
         self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
         self.db.unregister("given")
 
+    def cuts(self, b: bytes) -> list[bytes]:
+        """b in parts between which no token lies across."""
+        out, start, reach = [], 0, 0
+        for i in range(len(b)):
+            if i >= reach and i > start:
+                out.append(b[start:i])
+                start = i
+            j = i + 1
+            while j < len(b) and b[i : j + 1] in self.begun:
+                j += 1
+                if j > reach and b[i:j] in self.ranks:
+                    reach = j
+        return [*out, b[start:]]
+
     def learn(self, words) -> None:
         """Remembers the tokens of words."""
-        if len(self.known) + len(words) > REMEMBERED:
-            self.known.clear()
-        waiting: list[tuple[str, bytes]] = []
+        short: list[str] = []
+        long: dict[str, list[bytes]] = {}
         for w in words:
             b = w.encode("utf-8", "replace")
             if (rank := self.ranks.get(b)) is not None:
                 self.known[w] = rank.to_bytes(4, "little")
-            elif len(b) > LONG_BYTES:
-                self.known[w] = np.array(self.contract(b), "<u4").tobytes()
+            elif len(b) <= PLAIN:
+                short.append(w)
             else:
-                waiting.append((w, b))
-        for k in range(0, len(waiting), BLOCK):
-            self._learn_block(waiting[k : k + BLOCK])
-
-    def _learn_block(self, block: list[tuple[str, bytes]]) -> None:
-        sizes = np.array([len(b) for _, b in block])
+                long[w] = self.cuts(b)
+        for k in range(0, len(short), BLOCK):
+            own = short[k : k + BLOCK]
+            self.known.update(zip(own, self._learned(ENCODE, [w.encode("utf-8", "replace") for w in own]), strict=True))
+        if long:
+            parts = {x: self.ranks.get(x) for own in long.values() for x in own}
+            done = {x: rank.to_bytes(4, "little") for x, rank in parts.items() if rank is not None}
+            block, size = [], 0
+            for x in [*(x for x, rank in parts.items() if rank is None), None]:
+                if block and (x is None or len(block) >= BLOCK or size >= BLOCK_BYTES):
+                    done.update(zip(block, self._learned(ENCODE_LONG, block), strict=True))
+                    block, size = [], 0
+                if x is not None:
+                    block.append(x)
+                    size += len(x)
+            self.known.update((w, b"".join(map(done.__getitem__, own))) for w, own in long.items())
+
+    def _learned(self, query: str, block: list[bytes]) -> list[bytes]:
+        sizes = np.array([len(b) for b in block])
         word = np.repeat(np.arange(len(block), dtype=np.int32), sizes)
-        ids = self.single[np.frombuffer(b"".join(b for _, b in block), np.uint8)]
+        ids = self.single[np.frombuffer(b"".join(block), np.uint8)]
         self.db.register("bytes_of", pa.table({"word": word, "pos": np.arange(len(word)), "id": ids}))
-        got = self.db.sql(ENCODE).to_arrow_table()
+        got = self.db.sql(query).to_arrow_table()
         self.db.unregister("bytes_of")
         flat = got.column("id").to_numpy().astype("<u4")
         at = np.searchsorted(got.column("word").to_numpy(), np.arange(len(block) + 1))
-        for i, (w, _) in enumerate(block):
-            self.known[w] = flat[at[i] : at[i + 1]].tobytes()
-
-    def contract(self, b: bytes) -> list[int]:
-        """The same contraction for one long word: a heap of (rank, position) over a linked list."""
-        n = len(b)
-        part: list[bytes | None] = [b[i : i + 1] for i in range(n)]
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap: list[tuple[int, int, bytes]] = []
-
-        def offer(i: int) -> None:
-            if i >= 0 and (j := after[i]) < n and (rank := self.ranks.get(both := part[i] + part[j])) is not None:
-                heapq.heappush(heap, (rank, i, both))
-
-        for i in range(n):
-            offer(i)
-        while heap:
-            _, i, both = heapq.heappop(heap)
-            if part[i] is None or (j := after[i]) >= n or part[i] + part[j] != both:
-                continue
-            part[i], part[j], after[i] = both, None, after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            offer(i)
-            offer(before[i])
-        return [self.ranks[p] for p in part if p is not None]
+        raw, at = flat.tobytes(), (4 * at).tolist()
+        return [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""

@@ -9,15 +9,16 @@ by fragment and summed per pair; what the prefix fragment alone rules out goes n
    how much work is done, never the result.
 2. Prefix rows (token, set, size, position) of tokens that several sets have in their prefixes are written, with their
    ranks among these.
-3. First round: in every token's group, each set is paired with one hub, the set that has the token earliest. So a group
-   of n near copies yields n pairs. Verified links give components.
+3. First round: in every token's group, each set is paired with one hub, the set of least key. So a group of n near copies
+   yields about n pairs, as most of their tokens have the same hub. Verified links give components.
 4. Second round, exact: all pairs of a group whose components differ, filtered by size, by position, and by rank among
    the prefix tokens that other prefixes have too. What survives the prefix count is verified. Pairs inside a component
-   need no test, for only components are returned.
+   need no test, for only components are returned; they aren't formed: of a token's rows, those whose component isn't the
+   hub's meet the others.
 
 Verification reads the candidate documents again (a bitmap of fixed size tells which), cuts their sets into fragments,
-joins the pairs to them by (set, fragment) and sums the partial overlaps. Links, components and pairs stay DataFrames
-throughout; hubs and hot tokens are joined from written tables, so that adaptive execution can split them.
+joins the pairs to them and sums the partial overlaps. Links, components and pairs stay DataFrames throughout; hubs and
+hot tokens are joined from written tables, so that adaptive execution can split them.
 
 Defined edge cases: null and blank texts have an empty set and link with nothing; texts shorter than a shingle are one
 shingle as a whole; repeated rows and equal sets share a component; rows with a null id take part and have the smallest
@@ -32,12 +33,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, written
+from .common import BITS, Scratch, bits_of, cut, has_bit, passing, written
 
 #: Frequent shingles that are put last; a shingle is reported by a partition from so many sets on.
 HEAVY, HEAVY_LOCAL = 200_000, 4
-#: Ranges of the order behind the prefix. Bits that tell the candidate documents.
-FRAGMENTS, BITS = 4, 1 << 25
+#: Ranges of the order behind the prefix.
+FRAGMENTS = 4
 #: Tokens that similar sets must share beyond one in the compared part of their prefixes.
 MORE = 2
 #: Distinct words whose hashes a worker remembers.
@@ -104,7 +105,7 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def set_rows(docs: DataFrame, width: int) -> DataFrame:
-    """kind 0: (id, n, key) of each document; kind 1: (token, count) of shingles frequent in a partition."""
+    """kind 0: (id, row, n, key) of each document; kind 1: shingles frequent in a partition, with their counts, as (key, n)."""
 
     def each(batches):
         kept: list[np.ndarray] = []
@@ -128,7 +129,7 @@ def set_rows(docs: DataFrame, width: int) -> DataFrame:
                     seen.add(keys[-1])
                     kept.append(s)
                     waiting += len(s)
-            yield pa.RecordBatch.from_arrays([pa.array([0] * len(keys), pa.int32()), batch.column("id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64())], names=["kind", "id", "n", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array([0] * len(keys), pa.int32()), batch.column("id"), batch.column("row"), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64())], names=["kind", "id", "row", "n", "key"])
             if waiting > 6_000_000:
                 count()
                 seen.clear()
@@ -136,9 +137,9 @@ def set_rows(docs: DataFrame, width: int) -> DataFrame:
         if kept:
             count()
         for tokens, n in found:
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(tokens), np.int32)), pa.nulls(len(tokens), pa.int64()), pa.array(n), pa.array(tokens)], names=["kind", "id", "n", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(tokens), np.int32)), pa.nulls(len(tokens), pa.int64()), pa.nulls(len(tokens), pa.int64()), pa.array(n), pa.array(tokens)], names=["kind", "id", "row", "n", "key"])
 
-    return docs.mapInArrow(each, "kind int, id long, n long, key long")
+    return docs.mapInArrow(each, "kind int, id long, row long, n long, key long")
 
 
 def prefix_rows(docs: DataFrame, width: int, percent: int, order: Order) -> DataFrame:
@@ -168,27 +169,23 @@ def prefix_rows(docs: DataFrame, width: int, percent: int, order: Order) -> Data
 
 
 def fragment_rows(docs: DataFrame, width: int, order: Order, bits: np.ndarray) -> DataFrame:
-    """(key, frag, tokens) of the documents whose bit is set: light tokens by ranges of the order, heavy ones last."""
+    """(key, frags) of the documents whose bit is set: light tokens by ranges of the order, heavy ones last."""
 
     def each(batches):
         for batch in batches:
-            bit = batch.column("bit").to_numpy()
-            wanted = np.flatnonzero(bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
-            keys, frags, lists = [], [], []
+            wanted = np.flatnonzero(has_bit(bits, batch.column("bit").to_numpy()))
+            keys, lists = [], []
             for t in batch.column("text").take(pa.array(wanted)).to_pylist():
                 s = shingles(t, width)
-                key = key_of(s)
-                inorder, light = order.sorted(s)
-                cuts = [0, *np.searchsorted(inorder[:light], EDGES), light, len(s)]
-                for f in range(len(cuts) - 1):
-                    if cuts[f + 1] > cuts[f]:
-                        keys.append(key)
-                        frags.append(f)
-                        lists.append(inorder[cuts[f] : cuts[f + 1]])
+                if len(s):
+                    inorder, light = order.sorted(s)
+                    cuts = [0, *np.searchsorted(inorder[:light], EDGES), light, len(s)]
+                    keys.append(key_of(s))
+                    lists.append([inorder[cuts[f] : cuts[f + 1]] for f in range(len(cuts) - 1)])
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(frags, pa.int32()), pa.array(lists, pa.list_(pa.int64()))], names=["key", "frag", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(lists, pa.list_(pa.list_(pa.int64())))], names=["key", "frags"])
 
-    return docs.mapInArrow(each, "key long, frag int, tokens array<long>")
+    return docs.mapInArrow(each, "key long, frags array<array<long>>")
 
 
 #: Cuts of the hash range between the light fragments.
@@ -230,26 +227,20 @@ def _promising(pairs: DataFrame, percent: int) -> DataFrame:
     return counted.filter(F.col("c") + rest >= _needed(percent, n, m)).select("x", "n", "y", "m")
 
 
-def bitmap(ids: DataFrame) -> np.ndarray:
-    """BITS bits with those of the ids' hashes set; its size doesn't depend on the ids."""
-    h = F.pmod(F.xxhash64("id"), F.lit(BITS))
-    got = ids.select(F.bitmap_bucket_number(h + 1).alias("b"), F.bitmap_bit_position(h + 1).alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("bits")).collect()
-    out = np.zeros(BITS // 8 + 4096, np.uint8)
-    for r in got:
-        part = np.frombuffer(bytes(r["bits"]), np.uint8)
-        out[(r["b"] - 1) * 4096 : (r["b"] - 1) * 4096 + len(part)] = part
-    return out
-
+def verified(pairs: DataFrame, docs: DataFrame, first_ids: DataFrame, width: int, percent: int, order: Order, scratch: Scratch) -> DataFrame:
+    """The links (x, y) among pairs (x, n, y, m): partial overlaps counted fragment by fragment and summed per pair.
 
-def verified(pairs: DataFrame, docs: DataFrame, first_ids: DataFrame, width: int, percent: int, order: Order) -> DataFrame:
-    """The links (x, y) among pairs: partial overlaps counted fragment by fragment and summed per pair."""
+    The fragments of candidate sets are stored in buckets by key, so pairs come to their y without moving sets. Few sets are
+    an x; their fragments are stored apart, so that the join with them can be split where one x has many pairs.
+    """
     wanted = pairs.select(F.col("x").alias("key")).unionByName(pairs.select(F.col("y").alias("key"))).distinct()
-    bits = bitmap(first_ids.join(wanted, "key", "left_semi").select("id"))
-    parts = written(fragment_rows(docs.withColumn("bit", F.pmod(F.xxhash64("id"), F.lit(BITS))), width, order, bits).dropDuplicates(["key", "frag"]))
-    a = parts.select(F.col("key").alias("x"), "frag", F.col("tokens").alias("ta"))
-    b = parts.select(F.col("key").alias("y"), "frag", F.col("tokens").alias("tb"))
-    overlap = pairs.join(a, "x").join(b, ["y", "frag"]).select("x", "y", "n", "m", F.size(F.array_intersect("ta", "tb")).alias("o"))
-    summed = overlap.groupBy("x", "y").agg(F.sum("o").alias("o"), F.first("n").alias("n"), F.first("m").alias("m"))
+    bits = bits_of(first_ids.join(wanted, "key", "left_semi").select(F.xxhash64("id")))
+    rows = fragment_rows(docs.withColumn("bit", F.pmod(F.xxhash64("id"), F.lit(BITS))), width, order, bits)
+    parts = scratch.bucketed(rows.groupBy("key").agg(F.first("frags").alias("frags")), "key")
+    hubs = scratch.written(parts.join(pairs.select(F.col("x").alias("key")).distinct(), "key", "left_semi").select(F.col("key").alias("x"), F.col("frags").alias("fx")))
+    placed = pairs.join(parts.select(F.col("key").alias("y"), F.col("frags").alias("fy")), "y").join(hubs, "x")
+    each = F.zip_with("fx", "fy", lambda a, b: F.size(F.array_intersect(a, b)))
+    summed = placed.select("x", "y", "n", "m", F.aggregate(each, F.lit(0), lambda a, b: a + b).alias("o"))
     return summed.filter(F.col("o") * 100 >= (F.col("n") + F.col("m") - F.col("o")) * percent).select("x", "y")
 
 
@@ -269,49 +260,75 @@ def components(links: DataFrame) -> DataFrame:
 
 def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
     """(key, n_shingles, component_id) for every row."""
-    slim = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    slim = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), F.lit(0).cast("long").alias("row"))
+    out = _placed(slim, width, percent)
+    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+
+
+def _placed(slim: DataFrame, width: int, percent: int) -> DataFrame:
+    """(id, row, n, key, label, component_id) of every row (id, text, row); label and component_id are null for empty sets."""
     first = written(set_rows(slim, width), "kind")
-    rows = first.filter("kind = 0").select("id", "n", "key")
+    rows = first.filter("kind = 0").select("id", "row", "n", "key")
     heavy = first.filter("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(HEAVY).toArrow()
     order = Order(heavy.column("key").to_numpy(), heavy.column("n").to_numpy())
     sets = written(rows.filter("n > 0").groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("copies")))
-    links = _links(slim, sets, width, percent, order)
+    links = _links(slim, sets, width, percent, order, Scratch(slim.sparkSession))
     label = components(links)
     least = sets.join(label, "key", "left").select("key", "id", F.coalesce("label", "key").alias("label"))
     least = written(least)
     of = least.groupBy("label").agg(F.min("id").alias("component_id"))
-    placed = written(least.join(cut(of), "label").select("key", "component_id"))
-    out = rows.join(placed, "key", "left")
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    placed = written(least.join(cut(of), "label").select("key", "label", "component_id"))
+    return rows.join(placed, "key", "left")
 
 
-def _links(slim: DataFrame, sets: DataFrame, width: int, percent: int, order: Order) -> DataFrame:
+def _links(slim: DataFrame, sets: DataFrame, width: int, percent: int, order: Order, scratch: Scratch) -> DataFrame:
     """Links between sets that connect all that are connected."""
-    prefix = written(prefix_rows(slim, width, percent, order))
-    several = cut(prefix.groupBy("token").agg(F.min("key").alias("a"), F.max("key").alias("b")).filter("a <> b").select("token"))
+    prefix = scratch.written(prefix_rows(slim, width, percent, order))
+    several = scratch.written(prefix.groupBy("token").agg(F.min("key").alias("a"), F.max("key").alias("b")).filter("a <> b").select("token"))
     shared = prefix.join(several, "token").groupBy("token", "key").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
-    shared = written(shared.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("pos")) - 1))
-    hubs = cut(shared.groupBy("token").agg(F.min(F.struct("pos", "n", "key", "rank")).alias("hub")))
-    a = shared.join(hubs, "token").withColumn("b", F.struct("hub.n", "hub.pos", "hub.rank")).withColumn("a", F.struct("n", "pos", "rank"))
-    star = a.filter((F.col("key") != F.col("hub.key")) & _may(percent, "a", "b"))
-    star = star.select(F.least("key", "hub.key").alias("x"), F.greatest("key", "hub.key").alias("y"), F.when(F.col("key") < F.col("hub.key"), F.col("a.n")).otherwise(F.col("b.n")).alias("n"), F.when(F.col("key") < F.col("hub.key"), F.col("b.n")).otherwise(F.col("a.n")).alias("m"))
-    found = written(verified(written(_promising(star, percent)), slim, sets, width, percent, order))
+    shared = scratch.written(shared.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("pos")) - 1))
+    # the same set is the hub of most tokens that its near copies share
+    hubs = scratch.written(shared.groupBy("token").agg(F.min(F.struct("key", "n", "pos", "rank")).alias("b")))
+    star = shared.join(hubs, "token").withColumn("a", F.struct("n", "pos", "rank"))
+    star = star.filter((F.col("key") != F.col("b.key")) & _may(percent, "a", "b")).select(F.col("b.key").alias("x"), F.col("b.n").alias("n"), F.col("key").alias("y"), F.col("a.n").alias("m"))
+    found = written(verified(scratch.written(_promising(star, percent)), slim, sets, width, percent, order, scratch))
     known = components(found)
-    rows = cut(shared.join(known, "key", "left").withColumn("label", F.coalesce("label", "key")))
-    a, b = rows.alias("a"), rows.alias("b")
-    cross = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.key") < F.col("b.key")) & (F.col("a.label") != F.col("b.label")) & _may(percent, "a", "b"))
-    cross = cross.select(F.col("a.key").alias("x"), F.col("a.n").alias("n"), F.col("b.key").alias("y"), F.col("b.n").alias("m"))
-    more = verified(written(_promising(cross, percent)), slim, sets, width, percent, order)
+    rows = scratch.written(shared.join(known, "key", "left").withColumn("label", F.coalesce("label", "key")))
+    # pairs of one label need no test: only tokens of several labels count, and of these the rows that lack the hub's
+    labels = rows.groupBy("token").agg(F.min_by("label", "key").alias("main"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
+    rows = scratch.written(rows.join(scratch.written(labels.select("token", "main")), "token"))
+    a, b = rows.filter("label <> main").alias("a"), rows.alias("b")
+    apart = (F.col("a.label") != F.col("b.label")) & ((F.col("b.label") == F.col("b.main")) | (F.col("a.key") < F.col("b.key")))
+    cross = a.join(b, (F.col("a.token") == F.col("b.token")) & apart & _may(percent, "a", "b"))
+    first = F.col("a.key") < F.col("b.key")
+    x, y = F.struct("a.key", "a.n"), F.struct("b.key", "b.n")
+    cross = cross.select(F.when(first, x).otherwise(y).alias("x"), F.when(first, y).otherwise(x).alias("y")).select(F.col("x.key").alias("x"), F.col("x.n").alias("n"), F.col("y.key").alias("y"), F.col("y.n").alias("m"))
+    more = written(verified(scratch.written(_promising(cross, percent)), slim, sets, width, percent, order, scratch))
+    scratch.drop()
     return found.unionByName(more)
 
 
 def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows whose id is the least of their component, whole; documents with an empty set all stay.
+    """One row of each component, whole: the one of least id, and of such the one of least shingle set and text hash.
 
-    Rows that repeat both id and text are one document.
+    Rows that repeat both id and text are one document; documents with an empty set all stay. Null ids come last. What goes
+    is joined by a hash of text and id; a bitmap of fixed size keeps the texts of most other rows out of the shuffle.
     """
-    placed = written(joined(docs, key, text, width, percent).select(F.col(key).alias("id_"), "n_shingles", "component_id"))
-    gone = placed.filter((F.col("n_shingles") > 0) & ~F.col("id_").eqNullSafe(F.col("component_id"))).select("id_").distinct()
-    kept = docs.join(gone, docs[key].eqNullSafe(F.col("id_")), "left_anti")
-    repeats = placed.filter("n_shingles > 0").groupBy("id_").agg(F.count("*").alias("c")).filter("c > 1").limit(1).count()
-    return kept.dropDuplicates([key, text]) if repeats else kept
+    names = docs.columns
+    own = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    id_, text_ = F.col(f"c{names.index(key)}").cast("long"), F.col(f"c{names.index(text)}")
+    own = own.withColumns({"id": id_, "row": F.xxhash64(text_, id_)})
+    placed = written(_placed(own.select("id", text_.alias("text"), "row"), width, percent).filter("n > 0").select("id", "row", "key", "label"))
+    order = F.struct(F.col("id").isNull().alias("last"), "id", "key", "row")
+    best = placed.groupBy("label").agg(F.min(order).alias("best")).select("label", F.col("best.row").alias("stays"))
+    gone = placed.join(written(best), "label").filter("row <> stays").select("row").distinct()
+    again = placed.groupBy("row").agg(F.count("*").alias("c")).filter("c > 1").select("row")
+    gone = written(gone.select("row", F.lit(True).alias("goes")).unionByName(again.join(gone, "row", "left_anti").select("row", F.lit(False).alias("goes"))))
+    bits = bits_of(gone.select("row"))
+    known = own.withColumn("bit", F.pmod("row", F.lit(BITS)))
+    kinds = own.schema
+    plain = known.mapInArrow(passing(bits, False), kinds)
+    told = known.mapInArrow(passing(bits, True), kinds).join(gone, "row", "left")
+    left = told.filter("goes is null").unionByName(told.filter("not goes").dropDuplicates(["row"]))
+    out = plain.unionByName(left.select(*plain.columns))
+    return out.select(*[F.col(f"c{i}").alias(name) for i, name in enumerate(names)])

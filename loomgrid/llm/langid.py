@@ -28,6 +28,8 @@ DIMENSIONS = 1024
 SYMBOLS = 64
 BATCH_CHARS, BATCH_DOCS = 1 << 20, 256
 SEED = 20240229
+#: Trigrams whose vectors are held at once; entries of a table of counts, unless a single text has more.
+SLICE, TABLE = 4096, 1 << 21
 
 
 @functools.lru_cache(maxsize=1)
@@ -73,10 +75,16 @@ def vectors(texts: list, dimensions: int) -> np.ndarray:
     place = np.zeros(SYMBOLS**3, np.int64)
     place[flat] = 1
     known = np.flatnonzero(place)
+    if len(texts) > 1 and len(texts) * len(known) > TABLE:
+        half = len(texts) // 2
+        return np.concatenate([vectors(texts[:half], dimensions), vectors(texts[half:], dimensions)])
     place[known] = np.arange(len(known))
     at = np.repeat(np.arange(len(texts)), [len(c) for c in codes]) * len(known) + place[flat]
     counts = np.bincount(at, minlength=len(texts) * len(known)).reshape(len(texts), len(known)).astype(np.float32)
-    return counts @ trigram_vectors(known, dimensions)
+    out = np.zeros((len(texts), dimensions), np.float32)
+    for k in range(0, len(known), SLICE):
+        out += counts[:, k : k + SLICE] @ trigram_vectors(known[k : k + SLICE], dimensions)
+    return out
 
 
 def groups(texts: list):

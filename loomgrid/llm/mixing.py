@@ -23,12 +23,14 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, word_count
+from .common import cut, word_count, written
 
 FAN = 64
-#: Up to so many sources, their table (three numbers each) is broadcast; beyond, it is joined by shuffling.
+#: Up to so many sources, their table (three numbers each) is broadcast; beyond, it is joined by shuffling. Their targets come from one task in any case.
 BROADCAST_SOURCES = 10_000
 EPS = 1e-9
+#: Copies of a repeated row that one task writes at once.
+AT_ONCE = 4096
 
 
 def targets(sizes: DataFrame, weights=(5, 2, 1), share: float = 1.0, most: float = 3.0) -> DataFrame:
@@ -133,18 +135,41 @@ def plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 
 def taken(planned: DataFrame) -> DataFrame:
     """One row for each document: key, source, size, source_size, target, copies, taken."""
-    each = planned.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("m"))))
+    m = F.col("m")
+    few = planned.filter(m <= AT_ONCE).withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), m)))
+    # a row that repeats often is spread over tasks in pieces first
+    spread = int(planned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    many = planned.filter(m > AT_ONCE).withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((m - 1) / AT_ONCE)))).repartition(spread, "source", "key", "piece")
+    ends = F.least(m, (F.col("piece") + 1) * AT_ONCE)
+    many = many.withColumn("i", F.explode(F.sequence(F.col("piece") * AT_ONCE + 1, ends))).drop("piece")
+    each = few.unionByName(many)
     copies = F.col("base") + (F.col("i") <= F.col("more")).cast("long")
     return each.select("key", "source", "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **given) -> DataFrame:
-    """The documents themselves, each row as often as the mix takes it; documents of size 0 carry no words and stay once."""
-    planned = plan(docs, key, text, source, **given).select(F.col("source").alias("s_"), F.col("key").alias("k_"), F.col("size").alias("z_"), "base", "more")
+    """The documents themselves, each row as often as the mix takes it; documents of size 0 carry no words and stay once.
+
+    Rows that agree in source, key and size are numbered part by part, with the counts of the parts before, so no such
+    group stands in one window.
+    """
+    planned = plan(docs, key, text, source, **given).select(F.col("source").alias("s"), F.col("key").alias("k"), F.col("size").alias("z"), "m", "base", "more")
     names = docs.columns
-    rows = docs.withColumns({"src_": F.col(source).cast("string"), "key_": F.col(key).cast("long"), "size_": word_count(F.col(text))})
-    on = F.col("src_").eqNullSafe(F.col("s_")) & F.col("key_").eqNullSafe(F.col("k_")) & (F.col("size_") == F.col("z_"))
-    same = Window.partitionBy("src_", "key_", "size_").orderBy(F.lit(0))
-    rows = rows.join(planned, on).withColumn("i_", F.row_number().over(same))
-    copies = F.when(F.col("size_") == 0, 1).otherwise(F.col("base") + (F.col("i_") <= F.col("more")).cast("long"))
-    return rows.withColumn("c_", copies).filter("c_ > 0").withColumn("c_", F.explode(F.sequence(F.lit(1), F.col("c_")))).select(*[F.col(f"`{c}`") for c in names])
+    own = [f"c{i}" for i in range(len(names))]
+    at = {c: F.col(own[names.index(c)]) for c in (key, text, source)}
+    rows = docs.toDF(*own).withColumns({"src": at[source].cast("string"), "key": at[key].cast("long"), "size": word_count(at[text])})
+    on = F.col("src").eqNullSafe(F.col("s")) & F.col("key").eqNullSafe(F.col("k")) & (F.col("size") == F.col("z"))
+    rows = rows.join(planned, on).drop("s", "k", "z")
+    once = rows.filter("m = 1").withColumn("i", F.lit(1).cast("long"))
+    again = written(rows.filter("m > 1").withColumn("part", F.spark_partition_id()))
+    same = ["src", "key", "size", "part"]
+    counted = again.groupBy(*same).agg(F.count("*").alias("c"))
+    before = Window.partitionBy("src", "key", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counted = counted.withColumn("ahead", F.coalesce(F.sum("c").over(before), F.lit(0))).select(*(F.col(c).alias(f"{c}_") for c in same), "ahead")
+    on = F.col("src").eqNullSafe(F.col("src_")) & F.col("key").eqNullSafe(F.col("key_")) & (F.col("size") == F.col("size_")) & (F.col("part") == F.col("part_"))
+    again = again.withColumn("i", F.row_number().over(Window.partitionBy(*same).orderBy(F.lit(0))))
+    again = again.join(counted, on).withColumn("i", F.col("i") + F.col("ahead")).select(*once.columns)
+    copies = F.when(F.col("size") == 0, 1).otherwise(F.col("base") + (F.col("i") <= F.col("more")).cast("long"))
+    rows = once.unionByName(again).withColumn("copies", copies).filter("copies > 0")
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return rows.select(*[F.col(c).alias(name) for c, name in zip(own, names, strict=True)])

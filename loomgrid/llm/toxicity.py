@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 FIT_ROWS = 10_000
 #: Lengths of word beginnings that may become entries; entries at most.
 SHORTEST, LONGEST, ENTRIES = 4, 12, 2_000
+#: Word beginnings of the sample that are weighed, those in most toxic texts.
+CANDIDATES = 100_000
 
 #: Given insults and their weight, phrases in which they are harmless.
 GIVEN = ("idiot", "moron", "stupid", "trash", "pathetic", "disgusting", "worthless", "clown", "loser", "scum")
@@ -149,7 +151,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """docs and labels hold only rows that may be learned from. Three passes: terms of toxic texts, their counts in the others, the logistic function."""
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(sample(labels, key, label, fit_rows)), "key")
     given = {fold(w).strip(): GIVEN_WEIGHT for w in GIVEN}
-    first = _counted(rows, None).filter("n1 >= 5").orderBy(F.desc("n1"), "term").limit(50 * ENTRIES).collect()
+    first = _counted(rows, None).filter("n1 >= 5").orderBy(F.desc("n1"), "term").limit(CANDIDATES).collect()
     keep = frozenset(r["term"] for r in first if r["term"])
     if not keep:
         return Lexicon(given)

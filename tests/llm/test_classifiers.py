@@ -119,3 +119,102 @@ def test_verdicts(spark):
 
 def test_script():
     assert [fertility.script_of(t) for t in ("abc é", "где это", "漢字かな", "Ωμέγα", "123 …", "हिन्दी")] == ["latin", "cyrillic", "han", "greek", "latin", "other"]
+
+
+def test_noise_leaves_the_bands_and_prose_stays(spark):
+    import base64
+
+    rng = random.Random(11)
+    word = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    latin, cyrillic = "abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщ"
+    noise = [
+        " ".join(word(latin, rng.randrange(3, 9)) for _ in range(300)),
+        " ".join(word(latin.upper(), 6) for _ in range(300)),
+        " ".join(word("#*$%&|<>~^", 5) for _ in range(300)),
+        " ".join(word([chr(c) for c in range(33, 127)], 6) for _ in range(300)),
+        " ".join(base64.b64encode(rng.randbytes(48)).decode() for _ in range(30)),
+        " ".join(rng.randbytes(20).hex() for _ in range(40)),
+        " ".join(str(rng.randrange(10**9)) for _ in range(200)),
+        " ".join(word(cyrillic, 6) for _ in range(300)),
+    ]
+    clean = [
+        "When the ferry finally reached the island, the passengers walked up the steep road to the village and asked for rooms.",
+        "Todos los seres humanos nacen libres e iguales en dignidad y derechos y, dotados como están de razón y conciencia, deben comportarse fraternalmente.",
+        "Alle Menschen sind frei und gleich an Würde und Rechten geboren; sie sind mit Vernunft und Gewissen begabt und sollen einander begegnen.",
+        "Tous les êtres humains naissent libres et égaux en dignité et en droits; ils sont doués de raison et de conscience et doivent agir.",
+        "Все люди рождаются свободными и равными в своём достоинстве и правах; они наделены разумом и совестью и должны поступать по-братски.",
+        "Tất cả mọi người sinh ra đều được tự do và bình đẳng về nhân phẩm và quyền lợi; mọi con người đều được tạo hoá ban cho lý trí.",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw; są oni obdarzeni rozumem i sumieniem.",
+    ]
+    df = spark.createDataFrame(list(enumerate(noise + clean)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in fertility.judged(df).collect()}
+    assert not any(r["base_failed"] for r in got.values())
+    assert [got[i]["kept"] for i in range(len(noise + clean))] == [False] * len(noise) + [True] * len(clean)
+    long = fertility.judged(spark.createDataFrame([(1, clean[0] * 12_000)], "doc_id long, text string")).collect()[0]
+    v, is_byte = fertility.vocabulary(fertility.default_path())
+    assert long["n_tokens"] == len(v.encode(clean[0] * 12_000))
+    bands = fertility.fitted(fertility.judged(spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text")))
+    assert 1.8 < bands["latin"][0] < 2.4 and bands["han"] == fertility.BANDS["han"]
+
+
+def test_measures_against_plain_python():
+    import math
+    from collections import Counter
+
+    v, is_byte = fertility.vocabulary(fertility.default_path())
+    rng = random.Random(2)
+    for _ in range(100):
+        t = "".join(rng.choice(["the ", "été", "漢", "🜚", " ", "zq"]) for _ in range(rng.randrange(1, 60)))
+        ids = v.encode(t)
+        if not ids:
+            continue
+        n = Counter(ids)
+        want = len(t) / len(ids), sum(v.is_byte(i) for i in ids) / len(ids), -sum(c / len(ids) * math.log2(c / len(ids)) for c in n.values())
+        assert fertility.measures(t, ids, is_byte) == pytest.approx(want)
+        low, high, most, least = fertility.BANDS["latin"]
+        kept = low - 2.5 / len(ids) ** 0.5 <= want[0] <= high and want[1] <= most and (len(ids) < 100 or want[2] >= least)
+        assert fertility.within("latin", len(ids), *want) == kept
+
+
+def test_scores_against_a_plain_scan():
+    """Every entry tried at every word of the folded text, without an automaton."""
+    import math
+
+    weights = {"idi": 1.5, "idiot": 4.0, "trash": 4.0, "scum": 2.5, "you idiot": 5.0, "clown": 3.0}
+    lexicon = toxicity.Lexicon(weights, (-3.0, 0.7, 0.4))
+    a = lexicon.automaton()
+    rng = random.Random(6)
+    for _ in range(300):
+        t = " ".join(rng.choice(["you", "1diot", "ID", "trash", "can", "cans", "clown", "fish", "scummy", "ok", "idiots!", "Trash-can", "é"]) for _ in range(rng.randrange(25)))
+        words = toxicity.fold(t).split()
+        spared, total = set(), 0.0
+        for i in range(len(words)):
+            for e in toxicity.EXCEPTIONS:
+                own = toxicity.fold(e).split()
+                if words[i : i + len(own)] == own:
+                    spared.update(range(i, i + len(own)))
+        for i in range(len(words)):
+            rest = " ".join(words[i:])
+            if i not in spared:
+                total += max((v for w, v in weights.items() if rest.startswith(w)), default=0.0)
+        got = lexicon.features(a, t)
+        assert got == pytest.approx((total, 100.0 * total / (len(words) + 1 + 20) if words else 0.0)), t
+        z = -3.0 + 0.7 * math.log1p(got[0]) + 0.4 * math.log1p(got[1])
+        assert lexicon.score(*got) == pytest.approx(1 / (1 + math.exp(-z)))
+
+
+def test_decision_is_the_largest_cosine(spark):
+    import numpy as np
+
+    train = [("the old man and the sea was here again", "en"), ("der alte Mann und das Meer war wieder da", "de"), ("le vieil homme et la mer encore une fois", "fr"), ("the ship and the water of the bay", "en")]
+    df = spark.createDataFrame(train, "text string, lang string")
+    model = langid.learn(df)
+    bundle = lambda t: langid.vectors([t], langid.DIMENSIONS)[0].astype(float)
+    protos = {k: sum(bundle(t) for t, own in train if own == k) for k in ("de", "en", "fr")}
+    assert all((model[1][i] == protos[k]).all() for i, k in enumerate(model[0]))
+    texts = ["the sea", "das alte Meer", "la mer", "und", "homme", "water Meer mer"]
+    got = langid.predict(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), model).collect()
+    for r in got:
+        own = bundle(texts[r["id"]])
+        cosines = {k: own @ p / np.linalg.norm(own) / np.linalg.norm(p) for k, p in protos.items()}
+        assert r["lang_pred"] == max(sorted(cosines), key=cosines.get) and r["score"] == pytest.approx(max(cosines.values()), abs=1e-5)

@@ -29,8 +29,8 @@ def test_encodes_as_the_library_and_decodes_back(tokenizer):
     assert c.decode(c.encode(HARD)) == [t.encode() for t in HARD]
 
 
-def test_long_pieces_follow_the_same_rule(monkeypatch, tokenizer):
-    monkeypatch.setattr(bpe, "LONG_BYTES", 3)
+def test_pieces_cut_where_no_token_lies_across(monkeypatch, tokenizer):
+    monkeypatch.setattr(bpe, "PLAIN", 3)
     monkeypatch.setattr(bpe, "REMEMBERED", 50)
     c = bpe.Coder(bpe.default_path(), bpe.default_pattern())
     for t, ids in zip(HARD + texts(100), c.encode(HARD + texts(100)), strict=True):
@@ -106,6 +106,19 @@ def test_whole_documents_are_repeated_as_planned(spark):
     assert got == {k: v for k, v in planned.items() if v}
 
 
+def test_clashing_columns_and_many_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "AT_ONCE", 7)
+    rows = [(1, "a b c", "s", "size_", "key_", "src", 5)] * 100 + [(i, "w " * (i % 9), "t", f"z{i}", "k", "x", i) for i in range(2, 60)]
+    names = ["size_", "key_", "src", "copies"]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, size_ string, key_ string, src string, copies int").selectExpr("*", "1 as part", "2 as m", "3 as size")
+    done = mixing.taken(mixing.plan(df)).collect()
+    assert len(done) == len(rows)
+    out = mixing.mixed(df).collect()
+    given = {r[0]: r[3:] for r in rows}
+    assert all(tuple(r[c] for c in names) == given[r["doc_id"]] and (r["part"], r["m"], r["size"]) == (1, 2, 3) for r in out)
+    assert sum(r["doc_id"] == 1 for r in out) == sum(r["copies"] for r in done if r["key"] == 1)
+
+
 def test_fractions_are_kept_in_expectation(spark):
     df = spark.createDataFrame([(i, "w " * (3 + i % 5), "a" if i % 10 else "b") for i in range(200)], "doc_id long, text string, source string")
     total = {}

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomgrid.llm import metric_topk, urlrules
+from loomgrid.llm import metric_topk, queries, urlrules
 from loomgrid.llm.queries import URL_RULES
 
 
@@ -68,6 +68,40 @@ def test_identical_vectors_large_values_and_odd_rows(spark):
     assert metric_topk.top_k(empty, empty).collect() == []
 
 
+def test_cells_rule_out_shards(spark, monkeypatch):
+    """Tight clusters: queries reach few cells, the result is that of brute force, repeated vectors fill no single shard."""
+    monkeypatch.setattr(metric_topk, "SHARD", 300)
+    rng = np.random.default_rng(5)
+    centres = rng.integers(-300, 300, (12, 16))
+    v = centres[rng.integers(0, 12, 4000)] + rng.integers(-2, 3, (4000, 16))
+    v[1000:2300] = v[1000]
+    rows = [(i, [float(x) for x in w]) for i, w in enumerate(v.tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, v array<double>").selectExpr("*", "1 as shard", "2 as score", "3 as cell", "'x' as id")
+    found, asked = metric_topk.searched(df, df.filter("vec_id % 50 = 0"))
+    computed = found.selectExpr("sum(computed)").first()[0]
+    assert computed < 0.6 * 80 * 4000
+    got = {tuple(r) for r in metric_topk.top_k(df, df.filter("vec_id % 50 = 0")).collect()}
+    scores = v @ v.T
+    want = set()
+    for q in range(0, 4000, 50):
+        s = scores[q].copy()
+        order = [j for j in np.lexsort((np.arange(4000), -s)) if j != q][:5]
+        want |= {(q, n + 1, int(j), int(s[j])) for n, j in enumerate(order)}
+    assert got == want
+
+
+def test_registered_query_on_odd_vectors(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    e = rng.normal(size=(300, 5)).astype(np.float32)
+    rows = [(i, [float(x) for x in w], 1, "s") for i, w in enumerate(e)]
+    rows[7], rows[100] = (7, None, 1, "s"), (100, [1.0, None, 0.0, 0.0, 0.0], 1, "s")
+    rows[9] = (9, [float("nan")] * 5, 1, "s")
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, shard int, score string").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {tuple(r) for r in queries.op2_mtree_topk(spark, str(tmp_path)).collect()}
+    whole = [(i, [float(np.floor(256 * np.float64(np.float32(x)))) for x in w]) for i, w, _, _ in rows if i not in (7, 9, 100)]
+    assert got == plain_top(whole, 5)
+
+
 def test_usable(spark):
     rows = [(1, [1.0]), (2, None), (3, [None]), (4, [float("nan")]), (5, [float("-inf")]), (6, [])]
     df = spark.createDataFrame(rows, "i long, e array<float>").filter(metric_topk.usable(F.col("e")))
