@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.mathx import safe_divide, two_sided_p
+from .windows import numbered
 
 
 def group_sizes(groups: DataFrame) -> DataFrame:
@@ -52,8 +53,10 @@ def mann_whitney(x: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def benjamini_hochberg(df: DataFrame, p: str = "p", by: list[str] | None = None, key: list[str] | None = None, out: str = "q") -> DataFrame:
-    """q-values; null or NaN p-values get none and don't count."""
+    """q-values; null or NaN p-values get none and don't count. Without ``by``, ``key`` must tell rows of equal p apart."""
     ok = F.col(p).isNotNull() & ~F.isnan(p)
+    if not by:
+        return _global_q(df, p, ok, key or [], out)
     g = [*[F.col(c) for c in by or []], ok]
     order = [F.col(p), *[F.col(c) for c in key or []]]
     part = Window.partitionBy(*g)
@@ -63,13 +66,27 @@ def benjamini_hochberg(df: DataFrame, p: str = "p", by: list[str] | None = None,
     return ranked.withColumn(out, F.when(ok, F.least(F.min("raw_").over(back), F.lit(1.0)))).drop("raw_")
 
 
+def _global_q(df: DataFrame, p: str, ok: Column, key: list[str], out: str) -> DataFrame:
+    """Over all rows: numbered in parts; a part needs the least later value of the parts behind it only."""
+    rows = numbered(df.filter(ok), [p, *key], "n_").join(F.broadcast(df.agg(F.count_if(ok).alias("m_"))))
+    rows = rows.withColumn("raw_", F.col(p) * F.col("m_") / F.col("n_"))
+    behind = Window.orderBy(F.desc("part_")).rowsBetween(Window.unboundedPreceding, -1)
+    least = rows.groupBy("part_").agg(F.min("raw_").alias("l_")).select("part_", F.min("l_").over(behind).alias("later_"))
+    back = Window.partitionBy("part_").orderBy(F.desc("n_"))
+    q = F.least(F.min("raw_").over(back), F.col("later_"), F.lit(1.0))
+    rest = df.filter(~F.coalesce(ok, F.lit(False))).withColumn(out, F.lit(None).cast("double"))
+    return rows.join(least, "part_").withColumn(out, q).select(*rest.columns).unionByName(rest)
+
+
 def bonferroni_holm(df: DataFrame, p: str = "p", key: list[str] | None = None, out: str = "q") -> DataFrame:
-    """Holm's step-down with Sidak's correction."""
-    every = Window.partitionBy()
-    order = Window.orderBy(p, *(key or []))
-    m = F.count("*").over(every) - F.row_number().over(order) + 1
-    stepped = df.withColumn("raw_", 1 - F.pow(1 - F.col(p), m))
-    return stepped.withColumn(out, F.least(F.max("raw_").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(1.0))).drop("raw_")
+    """Holm's step-down with Sidak's correction; key must tell rows of equal p apart."""
+    rows = numbered(df, [p, *(key or [])], "n_").join(F.broadcast(df.agg(F.count("*").alias("m_"))))
+    rows = rows.withColumn("raw_", 1 - F.pow(1 - F.col(p), F.col("m_") - F.col("n_") + 1))
+    before = Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    most = rows.groupBy("part_").agg(F.max("raw_").alias("l_")).select("part_", F.max("l_").over(before).alias("earlier_"))
+    up = Window.partitionBy("part_").orderBy("n_")
+    q = F.least(F.greatest(F.max("raw_").over(up), F.col("earlier_")), F.lit(1.0))
+    return rows.join(most, "part_").withColumn(out, q).select(*df.columns, out)
 
 
 def markers(x: DataFrame, groups: DataFrame, top: int | None = None) -> DataFrame:
@@ -210,7 +227,7 @@ def likelihood_ratio(x: DataFrame, covariate: DataFrame, family: str = "poisson"
     n_t = covariate.groupBy("t").agg(F.count("*").alias("n"))
     stored = x.join(covariate, "obs").groupBy("feature", "t", "value").agg(F.count("*").alias("c"))
     have = stored.groupBy("feature", "t").agg(F.sum("c").alias("h"))
-    zeros = x.select("feature").distinct().join(F.broadcast(n_t)).join(have, ["feature", "t"], "left").select("feature", "t", F.lit(0.0).alias("value"), (F.col("n") - F.coalesce("h", F.lit(0))).alias("c")).filter("c > 0")
+    zeros = x.select("feature").distinct().join(n_t).join(have, ["feature", "t"], "left").select("feature", "t", F.lit(0.0).alias("value"), (F.col("n") - F.coalesce("h", F.lit(0))).alias("c")).filter("c > 0")
 
     def test(p: pd.DataFrame) -> pd.DataFrame:
         c, y, t = (p[k].to_numpy(float) for k in ("c", "value", "t"))

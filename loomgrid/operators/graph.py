@@ -44,25 +44,50 @@ def ranked(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def knn(points: DataFrame, k: int, axes=("x", "y"), key: str = "id") -> DataFrame:
-    """Exact k nearest neighbours (src, dst, dist, rank) in the plane or in space, self excluded.
+#: Hashes that rows of one place are dealt to first; targets of a cell beyond which, for each neighbour asked for, cells get smaller.
+SALTS, CROWD = 64, 64
 
-    The first radius is chosen from the density; points that find fewer than k within it search again with twice the
-    radius, until none is left. What is found within a radius is final, since nothing nearer lies outside.
+
+def _thinned(targets: DataFrame, k: int, axes: list[str], key: str) -> DataFrame:
+    """Of targets in one place, the k of the smallest keys: no others can be among the k nearest. Salted, so no place is one task."""
+    salt = F.pmod(F.xxhash64(key), F.lit(SALTS))
+    first = targets.withColumn("r_", F.row_number().over(Window.partitionBy(*axes, salt).orderBy(key))).filter(F.col("r_") <= k)
+    return first.withColumn("r_", F.row_number().over(Window.partitionBy(*axes).orderBy(key))).filter(F.col("r_") <= k).drop("r_")
+
+
+def knn(points: DataFrame, k: int, axes=("x", "y"), key: str = "id", targets: DataFrame | None = None) -> DataFrame:
+    """Exact k nearest neighbours (src, dst, dist, rank) in the plane or in space, self excluded; or the k nearest of targets.
+
+    The first radius is chosen from the density, smaller where a cell would be crowded; points that find fewer than k within
+    it search again with twice the radius, until none is left. What is found within a radius is final, since nothing
+    nearer lies outside.
     """
     axes = list(axes)
-    stats = points.agg(F.count("*").alias("n"), *[F.min(c).alias(f"lo{i}") for i, c in enumerate(axes)], *[F.max(c).alias(f"hi{i}") for i, c in enumerate(axes)]).first()
-    n, spans = stats["n"], [float((stats[f"hi{i}"] or 0) - (stats[f"lo{i}"] or 0)) for i in range(len(axes))]
+    own = targets is None
+    to = checkpointed(_thinned((points if own else targets).select(key, *axes), k + 1 if own else k, axes, key))
+    box = points.select(*axes) if own else points.select(*axes).unionByName(targets.select(*axes))
+    stats = box.agg(*[F.min(c).alias(f"lo{i}") for i, c in enumerate(axes)], *[F.max(c).alias(f"hi{i}") for i, c in enumerate(axes)]).first()
+    n, spans = (points if own else targets).count(), [float((stats[f"hi{i}"] or 0) - (stats[f"lo{i}"] or 0)) for i in range(len(axes))]
     wide = max([*spans, 1e-9])
     volume = math.prod(max(s, wide * 1e-3) for s in spans)
     radius = max((volume * 2 * (k + 1) / max(n, 1)) ** (1 / len(axes)), wide * 1e-6)
-    enough = min(k, max(n - 1, 0))
+    enough = min(k, max(n - 1, 0) if own else n)
+
+    def met(asked: DataFrame, r: float) -> DataFrame:
+        near = within(asked, r, axes, key, to)
+        return ranked(near.filter("src <> dst") if own else near, k)
+
     if not enough:
-        return ranked(within(points, 1.0, axes, key, points).filter("src <> dst"), k)
+        return met(points, 1.0)
+    while radius > wide * 1e-9:
+        most = to.groupBy(*_cells(axes, radius)).agg(F.count("*").alias("c")).agg(F.max("c").alias("c")).first()["c"]
+        if (most or 0) <= CROWD * (k + 1):
+            break
+        radius /= 4
     wanted, out = points, None
     while True:
         last = radius >= wide * math.sqrt(len(axes)) * 1.01
-        found = checkpointed(ranked(within(wanted, radius, axes, key, points).filter("src <> dst"), k).withColumn("got", F.count("*").over(Window.partitionBy("src"))))
+        found = checkpointed(met(wanted, radius).withColumn("got", F.count("*").over(Window.partitionBy("src"))))
         full = found.filter(F.col("got") >= enough).drop("got")
         out = full if out is None else out.unionByName(full)
         if last:
@@ -163,12 +188,21 @@ def threshold_distance(edges: DataFrame) -> DataFrame:
 
 
 def jaccard_pairs(x: DataFrame, least: float = 0.1) -> DataFrame:
-    """Pairs a < b of observations by the Jaccard index of their expressed features; only pairs that share one are formed."""
-    own = x.filter("value > 0").select("obs", "feature")
-    n = own.groupBy("obs").agg(F.count("*").alias("n"))
-    a, b = own.alias("a"), own.alias("b")
-    both = a.join(b, (F.col("a.feature") == F.col("b.feature")) & (F.col("a.obs") < F.col("b.obs"))).groupBy(F.col("a.obs").alias("a"), F.col("b.obs").alias("b")).agg(F.count("*").alias("both"))
-    j = both.join(n.select(F.col("obs").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("obs").alias("b"), F.col("n").alias("nb")), "b")
+    """Pairs a < b of observations by the Jaccard index of their expressed features, of those that share one.
+
+    Features are ordered by how rare they are; similar observations share one of the first n - ceil(least n) + 1 of n. So a
+    feature that most observations have forms no pairs, unless least is near 0. Features of one observation are one array.
+    """
+    own = x.filter("value > 0").select("obs", "feature").distinct()
+    n = own.groupBy("feature").agg(F.count("*").alias("c"))
+    sets = checkpointed(own.join(n, "feature").groupBy("obs").agg(F.array_sort(F.collect_list(F.struct("c", "feature"))).alias("s")).select("obs", F.transform("s", lambda e: e.feature).alias("s"), F.size("s").alias("n")))
+    first = F.col("n") - F.greatest(F.ceil(F.col("n") * float(least) - 1e-9), F.lit(1)) + 1
+    heads = sets.select("obs", "n", F.explode(F.slice("s", 1, first.cast("int"))).alias("feature"))
+    a, b = heads.alias("a"), heads.alias("b")
+    alike = F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * F.lit(float(least) - 1e-9)
+    pairs = a.join(b, (F.col("a.feature") == F.col("b.feature")) & (F.col("a.obs") < F.col("b.obs")) & alike).select(F.col("a.obs").alias("a"), F.col("b.obs").alias("b")).distinct()
+    j = pairs.join(sets.select(F.col("obs").alias("a"), F.col("s").alias("sa"), F.col("n").alias("na")), "a").join(sets.select(F.col("obs").alias("b"), F.col("s").alias("sb"), F.col("n").alias("nb")), "b")
+    j = j.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("both"))
     return j.select("a", "b", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("jaccard")).filter(F.col("jaccard") >= least)
 
 
@@ -232,8 +266,6 @@ def hadamard(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def neighbours_near(points: DataFrame, anchors: DataFrame, axes=("x", "y"), key: str = "id", anchor_key: str = "anchor") -> DataFrame:
-    """Nearest anchor of each point; the anchors' table is small and replicated."""
-    a = F.broadcast(anchors.select(F.col(anchor_key), *[F.col(c).alias(f"{c}_a") for c in axes]).agg(F.collect_list(F.struct(F.col(anchor_key).alias("a"), *[f"{c}_a" for c in axes])).alias("as_")))
-    d = lambda e: F.sqrt(sum(((F.col(c) - e[f"{c}_a"]) ** 2 for c in axes), F.lit(0.0)))
-    near = F.array_min(F.transform("as_", lambda e: F.struct(d(e).alias("dist"), e.a.alias("a"))))
-    return points.join(a).withColumn("n_", near).select(key, F.col("n_.a").alias(anchor_key), F.col("n_.dist").alias("dist"))
+    """Nearest anchor of each point, the smaller one of equally near ones."""
+    near = knn(points, 1, axes, key, anchors.select(F.col(anchor_key).alias(key), *axes))
+    return near.select(F.col("src").alias(key), F.col("dst").alias(anchor_key), "dist")

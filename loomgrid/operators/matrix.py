@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.mathx import safe_divide
+from .windows import hash_rank, numbered
 
 
 def from_reads(reads: DataFrame, obs: str, feature: str, value: str | None = None) -> DataFrame:
@@ -169,7 +170,7 @@ def densify(x: DataFrame, obs: DataFrame | None = None, features: DataFrame | No
 
 def scale(x: DataFrame, centre: bool = True, most: float | None = None) -> DataFrame:
     """Per-feature z-scores with the sample deviation (0 counts as 1), clipped above only; uncentred it stays sparse."""
-    s = F.broadcast(feature_stats(x).select("feature", "mean", F.when(F.col("var") > 0, F.sqrt("var")).otherwise(1.0).alias("sd")))
+    s = feature_stats(x).select("feature", "mean", F.when(F.col("var") > 0, F.sqrt("var")).otherwise(1.0).alias("sd"))
     rows = (densify(x) if centre else x).join(s, "feature")
     z = (F.col("value") - F.col("mean")) / F.col("sd") if centre else F.col("value") / F.col("sd")
     return rows.select("obs", "feature", (z if most is None else F.least(z, F.lit(float(most)))).alias("value"))
@@ -191,14 +192,14 @@ def feature_min_max(x: DataFrame) -> DataFrame:
     n = F.broadcast(n_obs_of(x))
     s = x.groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("*").alias("c")).join(n)
     s = s.select("feature", F.when(F.col("c") < F.col("n_obs"), F.least("lo", F.lit(0.0))).otherwise(F.col("lo")).alias("lo"), F.when(F.col("c") < F.col("n_obs"), F.greatest("hi", F.lit(0.0))).otherwise(F.col("hi")).alias("hi"))
-    return x.join(F.broadcast(s), "feature").select("obs", "feature", safe_divide(F.col("value") - F.col("lo"), F.col("hi") - F.col("lo"), 0.0).alias("value"))
+    return x.join(s, "feature").select("obs", "feature", safe_divide(F.col("value") - F.col("lo"), F.col("hi") - F.col("lo"), 0.0).alias("value"))
 
 
 def pearson_residuals(x: DataFrame, theta: float = 100.0) -> DataFrame:
     """Analytic residuals of the stored and absent entries, clipped at the root of the number of observations."""
     rows, cols = x.groupBy("obs").agg(F.sum("value").alias("r")), x.groupBy("feature").agg(F.sum("value").alias("c"))
     total = x.agg(F.sum("value").alias("t"), F.count_distinct("obs").alias("n"))
-    d = densify(x).join(rows, "obs").join(F.broadcast(cols), "feature").join(F.broadcast(total))
+    d = densify(x).join(rows, "obs").join(cols, "feature").join(F.broadcast(total))
     mu = safe_divide(F.col("r") * F.col("c"), F.col("t"), 0.0)
     z = safe_divide(F.col("value") - mu, F.sqrt(mu + mu * mu / theta), 0.0)
     edge = F.sqrt("n")
@@ -253,14 +254,14 @@ def factor_rle(x: DataFrame) -> DataFrame:
     """Median over features of value by geometric mean, over features that every observation has."""
     n = F.broadcast(n_obs_of(x))
     gm = x.filter("value > 0").groupBy("feature").agg(F.exp(F.avg(F.ln("value"))).alias("gm"), F.count("*").alias("c")).join(n).filter("c = n_obs").select("feature", "gm")
-    return x.join(F.broadcast(gm), "feature").groupBy("obs").agg(F.median(F.col("value") / F.col("gm")).alias("factor"))
+    return x.join(gm, "feature").groupBy("obs").agg(F.median(F.col("value") / F.col("gm")).alias("factor"))
 
 
 def factor_tmm(x: DataFrame, reference, log_ratio_trim: float = 0.3, sum_trim: float = 0.05) -> DataFrame:
     """Weighted mean of log ratios to a reference observation after trimming the low tails by ratio and by abundance."""
     lib = x.groupBy("obs").agg(F.sum("value").alias("n"))
     d = x.filter("value > 0").join(lib, "obs")
-    r = F.broadcast(d.filter(F.col("obs") == F.lit(reference)).select("feature", F.col("value").alias("rv"), F.col("n").alias("rn")))
+    r = d.filter(F.col("obs") == F.lit(reference)).select("feature", F.col("value").alias("rv"), F.col("n").alias("rn"))
     u, v = safe_divide(F.col("value"), F.col("n")), safe_divide(F.col("rv"), F.col("rn"))
     pair = d.join(r, "feature").select("obs", "feature", F.log2(u / v).alias("m"), ((F.log2(u) + F.log2(v)) / 2).alias("a"), (safe_divide(F.col("n") - F.col("value"), F.col("n")) / F.col("value") + safe_divide(F.col("rn") - F.col("rv"), F.col("rn")) / F.col("rv")).alias("w"))
     by = Window.partitionBy("obs")
@@ -287,8 +288,8 @@ def library_offset(x: DataFrame, factors: DataFrame | None = None) -> DataFrame:
 def shuffle_rows(x: DataFrame, seed: int, replace: bool = False) -> DataFrame:
     """Observations' rows dealt to other observations by a hash order, or drawn with replacement."""
     ids = observations(x)
-    to = ids.select(F.col("obs").alias("to"), F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), "obs"), "obs")).alias("k"))
-    from_ = ids.select("obs", F.row_number().over(Window.orderBy("obs")).alias("k"))
+    to = hash_rank(ids, [], F.xxhash64(F.lit(seed), "obs"), ["obs"], "k").select(F.col("obs").alias("to"), "k")
+    from_ = numbered(ids, ["obs"], "k").select("obs", "k")
     if replace:
         n = F.broadcast(ids.agg(F.count("*").alias("n")))
         to = to.join(n).select("to", (F.pmod(F.xxhash64(F.lit(seed + 1), "to"), F.col("n")) + 1).alias("k"))
@@ -304,10 +305,10 @@ def diagonal_coordinate(points: DataFrame, x: str = "x", y: str = "y") -> DataFr
 
 
 def split_slices(points: DataFrame, axis: str, parts: int, key: str) -> DataFrame:
-    """Consecutive chunks of equal count along an axis; the remainder is dropped."""
+    """Consecutive chunks of equal count along an axis; the remainder is dropped, so with fewer rows than parts all are."""
     n = F.broadcast(points.agg(F.floor(F.count("*") / parts).alias("k_")))
-    p = points.withColumn("rn_", F.row_number().over(Window.orderBy(axis, key))).join(n)
-    return p.withColumn("slice", F.floor((F.col("rn_") - 1) / F.col("k_")).cast("int")).filter(F.col("slice") < parts).drop("rn_", "k_")
+    p = numbered(points, [axis, key], "rn_").join(n).filter("k_ > 0")
+    return p.withColumn("slice", F.floor(F.try_divide(F.col("rn_") - 1, F.col("k_"))).cast("int")).filter(F.col("slice") < parts).drop("rn_", "k_", "part_")
 
 
 def running_offset(frames: DataFrame, key: str, value: str) -> DataFrame:

@@ -6,12 +6,15 @@ for a small dense matrix (user x type), embeddings for vectors. Rounded doubles
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import differential, geometry, graph, iterate, labels, learn, matrix, raster, spatial, windows
+from ..operators import differential, geometry, graph, iterate, labels, learn, matrix, raster, regress, segment, spatial, windows
+from ..functions.session import shared_folder
+from ..sources import readers
 from ..streaming import bins as stream_bins
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,10 +71,6 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pairs(spark: SparkSession, d: str) -> DataFrame:
-    return all_pairs(spark, d).filter("ligand % 10 = 0")
-
-
-def all_pairs(spark: SparkSession, d: str) -> DataFrame:
     s = t(spark, d, "supplier").select(F.col("s_suppkey").alias("ligand"))
     return s.withColumn("receptor", F.col("ligand") + 7)
 
@@ -374,14 +373,8 @@ def threshold_distance(spark, d):
     return shown(graph.threshold_distance(graph.knn(points(spark, d), 10)))
 
 
-@query(f"WITH x AS (SELECT user_id AS obs, event_id % 40 AS feature FROM events WHERE user_id < 60 GROUP BY 1, 2), c AS (SELECT obs, COUNT(*) AS n FROM x GROUP BY 1) SELECT a, b, ROUND(k / (ca.n + cb.n - k), 6) AS jaccard FROM (SELECT l.obs AS a, r.obs AS b, COUNT(*) AS k FROM x l JOIN x r ON l.feature = r.feature AND l.obs < r.obs GROUP BY 1, 2) JOIN c ca ON ca.obs = a JOIN c cb ON cb.obs = b WHERE k / (ca.n + cb.n - k) >= 0.6")
+@query(f"WITH x AS (SELECT user_id AS obs, event_id % 40 AS feature FROM events GROUP BY 1, 2), c AS (SELECT obs, COUNT(*) AS n FROM x GROUP BY 1) SELECT a, b, ROUND(k / (ca.n + cb.n - k), 6) AS jaccard FROM (SELECT l.obs AS a, r.obs AS b, COUNT(*) AS k FROM x l JOIN x r ON l.feature = r.feature AND l.obs < r.obs GROUP BY 1, 2) JOIN c ca ON ca.obs = a JOIN c cb ON cb.obs = b WHERE k / (ca.n + cb.n - k) >= 0.6")
 def jaccard_pairs(spark, d):
-    x = t(spark, d, "events").filter("user_id < 60").select(F.col("user_id").alias("obs"), (F.col("event_id") % 40).alias("feature")).distinct().withColumn("value", F.lit(1.0))
-    return shown(graph.jaccard_pairs(x, 0.6))
-
-
-@query()
-def jaccard_pairs_whole(spark, d):
     x = t(spark, d, "events").select(F.col("user_id").alias("obs"), (F.col("event_id") % 40).alias("feature")).distinct().withColumn("value", F.lit(1.0))
     return shown(graph.jaccard_pairs(x, 0.6))
 
@@ -475,7 +468,7 @@ def lattice_moran(spark, d):
     return shown(spatial.lattice_moran(p, "label", 10), "feature", "moran")
 
 
-LR = "lr AS (SELECT s_suppkey AS ligand, s_suppkey + 7 AS receptor FROM supplier WHERE s_suppkey % 10 = 0)"
+LR = "lr AS (SELECT s_suppkey AS ligand, s_suppkey + 7 AS receptor FROM supplier)"
 
 
 @query(f"WITH {X}, {G}, {LR}, n AS (SELECT \"group\", COUNT(*) AS n FROM g GROUP BY 1), m AS (SELECT \"group\", feature, SUM(value) / ANY_VALUE(n) AS m FROM x JOIN g USING (obs) JOIN n USING (\"group\") GROUP BY 1, 2), gp AS (SELECT a.\"group\" AS sender, b.\"group\" AS receiver FROM n a CROSS JOIN n b WHERE a.\"group\" < b.\"group\") SELECT sender, receiver, ligand, receptor, ROUND((COALESCE(l.m, 0) + COALESCE(r.m, 0)) / 2, 6) AS score FROM gp CROSS JOIN lr LEFT JOIN m l ON l.\"group\" = sender AND l.feature = ligand LEFT JOIN m r ON r.\"group\" = receiver AND r.feature = receptor")
@@ -486,14 +479,6 @@ def group_pair_scores(spark, d):
     return shown(spatial.group_pair_scores(counts(spark, d), g, pairs(spark, d), gp), "sender", "receiver", "ligand", "receptor", "score")
 
 
-@query()
-def group_pair_scores_whole(spark, d):
-    g = groups(spark, d)
-    names = g.select("group").distinct()
-    gp = names.toDF("sender").join(names.toDF("receiver"), F.col("sender") < F.col("receiver"))
-    return shown(spatial.group_pair_scores(counts(spark, d), g, all_pairs(spark, d), gp), "sender", "receiver", "ligand", "receptor", "score")
-
-
 PLR = "lr AS (SELECT * FROM (VALUES (0, 7), (3, 4), (5, 1)) v(ligand, receptor))"
 
 
@@ -569,14 +554,8 @@ def label_properties(spark, d):
     return shown(labels.label_props(labels.label_pixels(p, "l")))
 
 
-@query("WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings WHERE vec_id < 200), a AS (SELECT s.id AS src, s.label AS ls, t.label AS ld, AVG(LIST_DISTANCE(s.v, t.v)) AS d FROM v s JOIN v t ON s.id <> t.id GROUP BY 1, 2, 3), b AS (SELECT src, MAX(CASE WHEN ls = ld THEN d END) AS a, MIN(CASE WHEN ls <> ld THEN d END) AS b FROM a GROUP BY 1) SELECT ROUND(AVG(COALESCE((b - a) / GREATEST(a, b), 0)), 6) AS silhouette FROM b")
+@query("WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings), a AS (SELECT s.id AS src, s.label AS ls, t.label AS ld, AVG(LIST_DISTANCE(s.v, t.v)) AS d FROM v s JOIN v t ON s.id <> t.id GROUP BY 1, 2, 3), b AS (SELECT src, MAX(CASE WHEN ls = ld THEN d END) AS a, MIN(CASE WHEN ls <> ld THEN d END) AS b FROM a GROUP BY 1) SELECT ROUND(AVG(COALESCE((b - a) / GREATEST(a, b), 0)), 6) AS silhouette FROM b")
 def silhouette(spark, d):
-    v = vectors(spark, d).filter("id < 200")
-    return shown(labels.silhouette_groups(graph.knn_vectors(v, 200), v.select(F.col("id").alias("obs"), "label")))
-
-
-@query()
-def silhouette_whole(spark, d):
     return shown(labels.silhouette_vectors(vectors(spark, d)))
 
 
@@ -615,21 +594,15 @@ def otsu_cut(spark, d):
     return raster.otsu(t(spark, d, "part"), "p_size")
 
 
-@query("WITH k AS (SELECT p_partkey AS id, 1 + 99.0 * p_size / 50 AS v FROM part) SELECT id, CASE WHEN v = 1 THEN 1 WHEN CEIL((v - 1) / 9.9) BETWEEN 1 AND 10 THEN CAST(CEIL((v - 1) / 9.9) AS INTEGER) END AS bucket FROM k WHERE ABS((v - 1) / 9.9 - ROUND((v - 1) / 9.9)) > 1e-6")
+@query("WITH k AS (SELECT p_partkey AS id, 1 + 99.0 * p_size / 50 AS v FROM part) SELECT id, CASE WHEN off = 0 THEN 1 WHEN CEIL(off) BETWEEN 1 AND 10 THEN CAST(CEIL(off) AS INTEGER) END AS bucket FROM (SELECT id, ROUND((v - 1) / 9.9, 9) AS off FROM k)")
 def grid_bucket(spark, d):
-    off = (F.col("v") - 1) / 9.9
-    return raster.grid_bucket(potentials(spark, d), "v", 10).filter(F.abs(off - F.round(off)) > 1e-6).select("id", "bucket")
+    return raster.grid_bucket(potentials(spark, d), "v", 10).select("id", "bucket")
 
 
 def potentials(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "part").select(F.col("p_partkey").alias("id"), (1 + 99.0 * F.col("p_size") / 50).alias("v"))
 
 
-@query()
-def grid_bucket_whole(spark, d):
-    return raster.grid_bucket(potentials(spark, d), "v", 10).select("id", "bucket")
-
-
 def _jacobi_sql(rounds: int) -> str:
     base = "px AS (SELECT a.x, b.y, CASE WHEN a.x = 0 THEN 1.0 WHEN a.x = 7 THEN 100.0 ELSE 0.0 END AS v FROM (SELECT UNNEST(RANGE(0, 8)) AS x) a CROSS JOIN (SELECT UNNEST(RANGE(0, 6)) AS y) b), j0 AS (SELECT x, y, CAST(v AS DOUBLE) AS v FROM px)"
     for k in range(rounds):
@@ -644,6 +617,225 @@ def jacobi_field(spark, d):
     return shown(iterate.jacobi(px, fixed, 6, 0.0, 3))
 
 
+# Regression: prices against sizes
+
+SP = "s AS (SELECT p_partkey AS id, p_brand AS b, CAST(p_size > 25 AS INTEGER) AS y, p_retailprice / 2000 AS p, p_retailprice / 1000 AS v, p_size / 50.0 + 0.5 AS f FROM part)"
+
+
+def scored_parts(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("b"), (F.col("p_size") > 25).cast("int").alias("y"), (F.col("p_retailprice") / 2000).alias("p"), (F.col("p_retailprice") / 1000).alias("v"), (F.col("p_size") / 50.0 + 0.5).alias("f"))
+
+
+@query(f"WITH {SP} SELECT ROUND(AVG(ABS(v - f)), 6) AS mae, ROUND(AVG((v - f) * (v - f)), 6) AS mse FROM s")
+def fit_errors(spark, d):
+    return shown(regress.errors(scored_parts(spark, d), "v", "f"))
+
+
+@query(f"WITH {SP}, c AS (SELECT y, GREATEST(1e-7, LEAST(1 - 1e-7, p)) AS p FROM s) SELECT ROUND(-AVG(3 * y * LN(p) + (1 - y) * LN(1 - p)), 6) AS loss FROM c")
+def cross_entropy(spark, d):
+    return shown(regress.weighted_cross_entropy(scored_parts(spark, d), "y", "p", 1.0, 3.0))
+
+
+@query(f"WITH {SP}, h AS (SELECT UNNEST([0.5, 0.6, 0.7, 0.8]) AS threshold) SELECT CAST(threshold AS DOUBLE) AS threshold, ROUND(-(COUNT(*) FILTER (p >= threshold AND y = 1) / COUNT(*) FILTER (y = 1) + COUNT(*) FILTER (p < threshold AND y = 0) / COUNT(*) FILTER (y = 0)), 6) AS objective FROM s CROSS JOIN h GROUP BY 1")
+def threshold_objective(spark, d):
+    return shown(regress.threshold_objective(scored_parts(spark, d), "y", "p", [0.5, 0.6, 0.7, 0.8]))
+
+
+@query(f"WITH {SP}, g AS (SELECT b, CORR(v, f) AS r, COUNT(*) AS n FROM s GROUP BY 1 HAVING COUNT(*) > 3) SELECT b, n, ROUND((EXP(2 * (ATANH(r) - 1.959963984540054 / SQRT(n - 3))) - 1) / (EXP(2 * (ATANH(r) - 1.959963984540054 / SQRT(n - 3))) + 1), 6) AS low, ROUND((EXP(2 * (ATANH(r) + 1.959963984540054 / SQRT(n - 3))) - 1) / (EXP(2 * (ATANH(r) + 1.959963984540054 / SQRT(n - 3))) + 1), 6) AS high FROM g")
+def correlation_intervals(spark, d):
+    g = scored_parts(spark, d).groupBy("b").agg(F.corr("v", "f").alias("r"), F.count("*").alias("n")).filter("n > 3")
+    low, high = regress.correlation_interval(F.col("r"), F.col("n"))
+    return shown(g.select("b", "n", low.alias("low"), high.alias("high")))
+
+
+@query()
+def model_comparison(spark, d):
+    """Event counts of users by two covariates against the constant model."""
+    x = small(spark, d)
+    cov = matrix.observations(x).withColumn("a", F.col("obs") % 3).withColumn("b", F.col("obs") % 2)
+    return regress.model_comparison(x, cov, ["a", "b"])
+
+
+@query()
+def local_bandwidth(spark, d):
+    """Corrected AIC of local fits of prices by sizes for three bandwidths."""
+    p = points(spark, d)
+    s = t(spark, d, "part").select(F.col("p_partkey").alias("obs"), F.col("p_size").alias("size"), (F.col("p_retailprice") / 1000).alias("price"))
+    return spark.createDataFrame([(b, regress.local_aicc(p, s, ["size"], "price", b)) for b in (3.0, 4.0, 6.0)], "bandwidth double, aicc double")
+
+
+# Readers: a table is written in the platform's format to the shared folder and read back
+
+
+def stored(spark: SparkSession, df: DataFrame, kind: str, **options) -> str:
+    path = f"{shared_folder(spark).rstrip('/')}/file-{uuid.uuid4().hex}"
+    df.write.format(kind).options(**options).save(path)
+    return path
+
+
+@query("SELECT CAST(l_suppkey AS VARCHAR) AS gene, CAST(l_orderkey % 1000 AS INTEGER) AS x, CAST(l_partkey AS INTEGER) AS y, CAST(l_quantity AS INTEGER) AS total, CAST(FLOOR(l_quantity / 2) AS INTEGER) AS spliced, CAST(l_linenumber AS INTEGER) AS label FROM lineitem")
+def read_reads(spark, d):
+    whole = F.col("l_quantity").cast("int").alias("MIDCount")
+    df = t(spark, d, "lineitem").select(F.col("l_suppkey").alias("geneID"), (F.col("l_orderkey") % 1000).alias("x"), F.col("l_partkey").alias("y"), whole, F.floor(F.col("l_quantity") / 2).alias("EXONIC"), F.col("l_linenumber").alias("cell"))
+    return readers.reads_tsv(spark, stored(spark, df, "csv", sep="\t", header=True), "cell").select("gene", "x", "y", "total", "spliced", "label")
+
+
+@query("SELECT CAST(l_orderkey AS VARCHAR) || '-' || l_linenumber AS label, l_returnflag AS gene, ROUND(l_extendedprice, 2) AS x, l_quantity AS y, 1 AS total FROM lineitem")
+def read_transcripts(spark, d):
+    df = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("fov"), F.col("l_linenumber").alias("cell_ID"), F.col("l_returnflag").alias("target"), F.round("l_extendedprice", 2).alias("x_global_px"), F.col("l_quantity").alias("y_global_px"))
+    return readers.transcripts_csv(spark, stored(spark, df, "csv", header=True), ["fov", "cell_ID"]).select("label", "gene", "x", "y", "total")
+
+
+@query("SELECT CAST(l_orderkey AS VARCHAR) AS obs, l_returnflag AS feature, CAST(COUNT(*) AS DOUBLE) AS value FROM lineitem GROUP BY 1, 2")
+def molecule_counts(spark, d):
+    df = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("cell"), F.col("l_returnflag").alias("target"), F.lit(1).alias("x_global_px"), F.lit(2).alias("y_global_px"))
+    return readers.molecules_to_counts(readers.transcripts_csv(spark, stored(spark, df, "csv", header=True), ["cell"]))
+
+
+@query("SELECT c_mktsegment AS obs, CAST(c_nationkey AS VARCHAR) AS feature, CAST(COUNT(*) AS DOUBLE) AS value FROM customer GROUP BY 1, 2")
+def read_wide(spark, d):
+    df = t(spark, d, "customer").groupBy("c_nationkey").pivot("c_mktsegment").count()
+    return readers.wide_counts(spark, stored(spark, df, "csv", sep="\t", header=True), gene="c_nationkey")
+
+
+@query("WITH l AS (SELECT ROW_NUMBER() OVER (ORDER BY vec_id) - 1 AS i, embedding FROM embeddings), e AS (SELECT i, UNNEST(RANGE(0, LEN(embedding))) AS j, UNNEST(embedding) AS v FROM l) SELECT i, CAST(j AS INTEGER) AS j, CAST(FLOOR(CAST(v AS DOUBLE) * 256) AS DOUBLE) AS value FROM e WHERE FLOOR(CAST(v AS DOUBLE) * 256) <> 0")
+def read_headerless(spark, d):
+    """Lines in the order of their files, however many files and splits there are."""
+    line = F.array_join(F.transform("embedding", lambda e: F.floor(e.cast("double") * 256).cast("string")), ",")
+    df = t(spark, d, "embeddings").orderBy("vec_id").select(line.alias("value"))
+    return readers.headerless_counts(spark, stored(spark, df, "text"))
+
+
+@query("SELECT CAST(o_custkey AS VARCHAR) AS obs, o_orderpriority AS feature, CAST(COUNT(*) AS DOUBLE) AS value FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2")
+def read_market(spark, d):
+    """A coordinate file with its comment and size lines, and two dictionaries."""
+    o = t(spark, d, "orders").join(t(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey")), "o_custkey").groupBy("o_custkey", "o_orderpriority").agg(F.count("*").alias("n"))
+    kinds = windows.numbered(o.select("o_orderpriority").distinct(), ["o_orderpriority"], "row")
+    cells = windows.numbered(o.select("o_custkey").distinct(), ["o_custkey"], "col")
+    body = o.join(kinds, "o_orderpriority").join(cells, "o_custkey").select((F.col("col") * 10 + F.col("row")).alias("at"), F.concat_ws(" ", "row", "col", "n").alias("value"))
+    head = spark.createDataFrame([(-2, "%%MatrixMarket matrix coordinate integer general"), (-1, "0 0 0")], "at long, value string")
+    matrix_file = stored(spark, body.unionByName(head).orderBy("at").select("value"), "text")
+    features = stored(spark, kinds.orderBy("row").select(F.concat_ws("\t", F.lower("o_orderpriority"), "o_orderpriority").alias("value")), "text")
+    barcodes = stored(spark, cells.orderBy("col").select(F.col("o_custkey").cast("string").alias("value")), "text")
+    return readers.counts_from_market(readers.matrix_market(spark, matrix_file), readers.numbered_lines(spark, features, ["gene_name", "gene_id"]), readers.numbered_lines(spark, barcodes, ["barcode"]))
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS obs, o_orderpriority AS feature, CAST(1 AS DOUBLE) AS value, 1 AS in_tissue, CAST(o_orderkey % 7 AS INTEGER) AS array_row, CAST(o_orderkey % 5 AS INTEGER) AS array_col, ROUND(o_totalprice, 2) AS y, CAST(o_custkey AS DOUBLE) AS x FROM orders")
+def read_positions(spark, d):
+    o = t(spark, d, "orders")
+    df = o.select("o_orderkey", F.lit(1), F.col("o_orderkey") % 7, F.col("o_orderkey") % 5, F.round("o_totalprice", 2), "o_custkey")
+    places = readers.tissue_positions(spark, stored(spark, df, "csv"))
+    return readers.with_positions(o.select(F.col("o_orderkey").cast("string").alias("obs"), F.col("o_orderpriority").alias("feature"), F.lit(1.0).alias("value")), places)
+
+
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS barcode, s_acctbal AS x, CAST(s_nationkey AS DOUBLE) AS y FROM supplier")
+def read_beads(spark, d):
+    df = t(spark, d, "supplier").select(F.col("s_suppkey").alias("barcode"), F.col("s_acctbal").alias("x"), F.col("s_nationkey").alias("y"))
+    return readers.bead_positions(spark, stored(spark, df, "csv", header=True))
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS barcode, 1 AS lane, CAST(p_size AS BIGINT) AS tile, p_partkey % 100 AS x, CAST(FLOOR(p_retailprice) AS BIGINT) AS y FROM part")
+def read_whitespace(spark, d):
+    df = t(spark, d, "part").select(F.concat_ws("  ", "p_partkey", F.lit(1), "p_size", F.col("p_partkey") % 100, F.floor("p_retailprice")).alias("value"))
+    return readers.whitespace_positions(spark, stored(spark, df, "text")).withColumn("lane", F.col("lane").cast("int"))
+
+
+@query("WITH o AS (SELECT fov, SUM(x_offset) OVER (ORDER BY fov) AS a, SUM(y_offset) OVER (ORDER BY fov) AS b FROM (SELECT n_nationkey AS fov, n_regionkey * 100.0 AS x_offset, 7.0 AS y_offset FROM nation)) SELECT c_nationkey AS fov, c_custkey AS cell_id, CAST(TRUNC(c_acctbal + a) AS INTEGER) AS x, CAST(c_custkey + b AS INTEGER) AS y FROM customer JOIN o ON fov = c_nationkey")
+def frames_of_view(spark, d):
+    cells = t(spark, d, "customer").select(F.col("c_nationkey").alias("fov"), F.col("c_custkey").alias("cell_id"), F.col("c_acctbal").alias("x"), F.col("c_custkey").alias("y"))
+    offsets = t(spark, d, "nation").select(F.col("n_nationkey").alias("fov"), (F.col("n_regionkey") * 100.0).alias("x_offset"), F.lit(7.0).alias("y_offset"))
+    return readers.frames_of_view(cells, offsets, True)
+
+
+@query(f"WITH {P}, l AS (SELECT LEAST(MIN(x), MIN(y)) AS l FROM p) SELECT id, ROUND(x - l, 6) AS x, ROUND(y - l, 6) AS y FROM p CROSS JOIN l")
+def shifted_to_origin(spark, d):
+    return shown(readers.shifted_to_origin(points(spark, d)))
+
+
+@query("WITH px AS (SELECT p_partkey AS x, p_size AS y, CAST(p_partkey % 97 % 13 AS BIGINT) AS label FROM part), a AS (SELECT label, COUNT(*) AS a FROM px WHERE label <> 0 GROUP BY 1) SELECT x, y, label FROM px JOIN a USING (label) WHERE a > 10 AND a < 100000 AND label < (SELECT MAX(label) FROM px)")
+def labels_in_range(spark, d):
+    px = t(spark, d, "part").select(F.col("p_partkey").alias("x"), F.col("p_size").alias("y"), (F.col("p_partkey") % 97 % 13).alias("label"))
+    return readers.labels_in_range(px, 10, 100000).select("x", "y", "label")
+
+
+# Segmentation: labels on the 20 x 15 grid of part counts
+
+#: Pixels at or above the mean count, labelled by blocks of 4 x 5 and of 5 x 3.
+LABELS = "hi AS (SELECT AVG(v) AS a FROM px), la AS (SELECT x, y, (x // 4) * 3 + y // 5 + 1 AS label FROM px CROSS JOIN hi WHERE v >= a), lb AS (SELECT x, y, (x // 5) * 5 + y // 3 + 1 AS label FROM px CROSS JOIN hi WHERE v < a AND (x // 5) % 2 = 0 OR v >= a AND y < 9)"
+FOURS = "(VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) f(dx, dy)"
+
+
+def block_labels(spark: SparkSession, d: str, second: bool = False) -> DataFrame:
+    px = square_grid(spark, d)
+    px = px.join(px.agg(F.avg("v").alias("a")))
+    block = lambda c, n: F.floor(F.col(c) / n)
+    if second:
+        chosen = px.filter("v < a AND floor(x / 5) % 2 = 0 OR v >= a AND y < 9")
+        return chosen.select("x", "y", (block("x", 5) * 5 + block("y", 3) + 1).alias("label"))
+    return px.filter("v >= a").select("x", "y", (block("x", 4) * 3 + block("y", 5) + 1).alias("label"))
+
+
+@query(f"WITH {SG}, k AS (SELECT UNNEST(RANGE(-2, 3)) AS a) SELECT p.x, p.y, MEDIAN(q.v % 256) AS v FROM px p CROSS JOIN k i CROSS JOIN k j JOIN px q ON q.x = LEAST(GREATEST(p.x + i.a, 0), 19) AND q.y = LEAST(GREATEST(p.y + j.a, 0), 14) GROUP BY p.x, p.y")
+def median_blur(spark, d):
+    return segment.median_blur(square_grid(spark, d), 20, 15, 5)
+
+
+@query(f"WITH {SG}, {LABELS} SELECT DISTINCT p.x, p.y FROM la p CROSS JOIN {FOURS} LEFT JOIN la q ON q.x = p.x + dx AND q.y = p.y + dy WHERE p.x + dx BETWEEN 0 AND 19 AND p.y + dy BETWEEN 0 AND 14 AND q.label IS DISTINCT FROM p.label")
+def label_boundaries(spark, d):
+    return segment.boundaries(block_labels(spark, d), 20, 15)
+
+
+@query(f"WITH {SG}, {LABELS} SELECT x, y, CAST(CASE WHEN label % 3 = 0 THEN label + 100 ELSE label END AS BIGINT) AS label FROM la WHERE label % 4 <> 1 OR label % 3 = 0")
+def replaced_labels(spark, d):
+    own = block_labels(spark, d)
+    to = own.select("label").distinct().filter("label % 3 = 0 OR label % 4 = 1").select("label", F.when(F.col("label") % 3 == 0, F.col("label") + 100).otherwise(0).alias("to"))
+    return segment.replace_labels(own, to)
+
+
+def _expand_sql(rounds: int, most: int) -> str:
+    out = f"{SG}, {LABELS}, g0 AS (SELECT x, y, CAST(label AS BIGINT) AS label FROM lb)"
+    for k in range(rounds):
+        out += f", n{k} AS (SELECT x + dx AS x, y + dy AS y, MIN(label) AS label FROM g{k} CROSS JOIN {FOURS} GROUP BY 1, 2 HAVING COUNT(DISTINCT label) = 1), g{k + 1} AS (SELECT * FROM g{k} UNION ALL SELECT n.* FROM n{k} n WHERE n.x BETWEEN 0 AND 19 AND n.y BETWEEN 0 AND 14 AND NOT EXISTS (SELECT 1 FROM g{k} g WHERE g.x = n.x AND g.y = n.y) AND n.label NOT IN (SELECT label FROM g{k} GROUP BY 1 HAVING COUNT(*) >= {most}))"
+    return f"WITH {out} SELECT x, y, label FROM g{rounds}"
+
+
+@query(_expand_sql(3, 12))
+def expanded_labels(spark, d):
+    return segment.expand_labels(block_labels(spark, d, True), 20, 15, 3, 12)
+
+
+@query(f"WITH {SG}, {LABELS}, b AS (SELECT DISTINCT la.label AS s, lb.label AS t FROM la JOIN lb USING (x, y)), u AS (SELECT x, y, 0 AS second, label FROM lb WHERE label IN (SELECT t FROM b) UNION ALL SELECT x, y, 1, label FROM la WHERE label NOT IN (SELECT s FROM b)) SELECT x, y, CAST(DENSE_RANK() OVER (ORDER BY second, label) AS INTEGER) AS label FROM u")
+def augmented_labels(spark, d):
+    return segment.augment_labels(block_labels(spark, d), block_labels(spark, d, True))
+
+
+@query(f"WITH {SG}, w AS (SELECT p.x, p.y, p.v, MAX(q.v) AS top FROM px p JOIN px q ON ABS(p.x - q.x) <= 2 AND ABS(p.y - q.y) <= 2 GROUP BY 1, 2, 3), k AS (SELECT x, y, v FROM w WHERE v = top AND v > (SELECT MIN(v) FROM px) AND x BETWEEN 2 AND 17 AND y BETWEEN 2 AND 12), r AS (SELECT * FROM k a WHERE NOT EXISTS (SELECT 1 FROM k b WHERE b.v = a.v AND (b.x < a.x OR b.x = a.x AND b.y < a.y) AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 4)) SELECT x, y, CAST(ROW_NUMBER() OVER (ORDER BY v DESC, x, y) AS INTEGER) AS label FROM r")
+def grid_peaks(spark, d):
+    return segment.local_peaks(square_grid(spark, d), 20, 15, 2)
+
+
+@query(f"WITH {SG} SELECT x, y, CASE WHEN v < 5 THEN 0 ELSE v END AS v FROM px")
+def background_removed(spark, d):
+    return segment.remove_background(square_grid(spark, d), 5.0)
+
+
+@query(f"WITH {SG}, t AS (SELECT x - x % 5 AS x, y - y % 5 AS y, SUM(v) AS total FROM px GROUP BY 1, 2) SELECT x, y, total FROM t WHERE total > 0")
+def region_totals(spark, d):
+    """All tiles are asked for, so the draw leaves none out; tests check its chances."""
+    return segment.select_regions(square_grid(spark, d), 5, 12)
+
+
+@query()
+def watershed_labels(spark, d):
+    px = square_grid(spark, d)
+    return segment.watershed(px, segment.find_peaks(px, 20, 15, 3, 2))
+
+
+@query()
+def safely_eroded(spark, d):
+    return segment.safe_erode(block_labels(spark, d, True), 20, 15, 3, False, 4)
+
+
 # Geometry
 
 
@@ -695,9 +887,10 @@ def hull_properties(spark, d):
     return geometry.points_props(p).drop("hull")
 
 
-@query()
+@query(f"WITH {P}, m AS (SELECT AVG(x) AS mx, AVG(y) AS my, ATAN2(2 * COVAR_POP(x, y), VAR_POP(x) - VAR_POP(y)) / 2 AS a FROM p), v AS (SELECT mx, my, COS(a) * CASE WHEN ABS(COS(a)) >= ABS(SIN(a)) THEN SIGN(COS(a)) ELSE SIGN(SIN(a)) END AS c1, SIN(a) * CASE WHEN ABS(COS(a)) >= ABS(SIN(a)) THEN SIGN(COS(a)) ELSE SIGN(SIN(a)) END AS s1, -SIN(a) * CASE WHEN ABS(SIN(a)) >= ABS(COS(a)) THEN SIGN(-SIN(a)) ELSE SIGN(COS(a)) END AS c2, COS(a) * CASE WHEN ABS(SIN(a)) >= ABS(COS(a)) THEN SIGN(-SIN(a)) ELSE SIGN(COS(a)) END AS s2 FROM m) SELECT id, ROUND(c1 * (x - mx) + s1 * (y - my), 5) {C} AS x, ROUND(c2 * (x - mx) + s2 * (y - my), 5) {C} AS y FROM p CROSS JOIN v")
 def principal_axes(spark, d):
-    return geometry.pca_align(points(spark, d), ["x", "y"])
+    out = geometry.pca_align(points(spark, d), ["x", "y"])
+    return out.select("id", rd("x", 5).alias("x"), rd("y", 5).alias("y"))
 
 
 # Learning and iteration: checked by tests, no SQL
@@ -718,11 +911,12 @@ def mixture_clusters(spark, d):
     return learn.gaussian_mixture(vectors(spark, d), 4)
 
 
-@query()
+@query(f"WITH {knn_sql(12)}, s AS (SELECT p_partkey AS dst, p_size AS z, p_retailprice / 1000 AS v FROM part), t AS (SELECT src, SUM(w) AS a, SUM(w * z) AS b, SUM(w * z * z) AS c, SUM(w * v) AS f, SUM(w * z * v) AS g FROM (SELECT src, dst, EXP(-0.5 * (dist / 5.0) * (dist / 5.0)) AS w FROM e) JOIN s USING (dst) WHERE w >= 1e-5 GROUP BY 1), r AS (SELECT src, CASE WHEN a * c - b * b <= 1e-9 * a * c THEN f / a / (1 + (b / a) * (b / a)) ELSE (c * f - b * g) / (a * c - b * b) END AS b0, CASE WHEN a * c - b * b <= 1e-9 * a * c THEN f / a * (b / a) / (1 + (b / a) * (b / a)) ELSE (a * g - b * f) / (a * c - b * b) END AS b1 FROM t) SELECT src, ROUND(b0, 4) AS intercept, ROUND(b1, 4) {C} AS slope, ROUND(b0 + b1 * z, 4) AS fitted FROM r JOIN s ON s.dst = r.src")
 def local_regression(spark, d):
     e = graph.kernel_weights(graph.knn(points(spark, d), 12), "gaussian", bandwidth=5.0)
     s = t(spark, d, "part").select(F.col("p_partkey").alias("obs"), F.col("p_size").alias("size"), (F.col("p_retailprice") / 1000).alias("price"))
-    return differential.local_regression(e, s, ["size"], "price")
+    out = differential.local_regression(e, s, ["size"], "price")
+    return out.select("src", rd(F.col("betas")[0], 4).alias("intercept"), rd(F.col("betas")[1], 4).alias("slope"), rd("fitted", 4).alias("fitted"))
 
 
 @query()
@@ -741,10 +935,10 @@ def communities(spark, d):
     return iterate.label_propagation(part_edges(spark, d), None)
 
 
-@query()
+@query(f"WITH RECURSIVE {knn_sql(4)}, y AS (SELECT src, dst, dist FROM e UNION SELECT dst, src, dist FROM e), t(source, id, dist) USING KEY (source, id) AS (SELECT id, id, CAST(0 AS DOUBLE) FROM p WHERE id % 997 = 1 UNION SELECT source, id, MIN(dist) FROM (SELECT t.source, y.dst AS id, t.dist + y.dist AS dist FROM t JOIN y ON y.src = t.id LEFT JOIN recurring.t r ON r.source = t.source AND r.id = y.dst WHERE r.dist IS NULL OR t.dist + y.dist < r.dist) GROUP BY 1, 2) SELECT source, id, ROUND(dist, 6) AS dist FROM t")
 def shortest_paths(spark, d):
     p = points(spark, d)
-    return iterate.shortest_paths(graph.symmetric(graph.knn(p, 4)), p.filter("id % 997 = 1").select("id"))
+    return shown(iterate.shortest_paths(graph.symmetric(graph.knn(p, 4)), p.filter("id % 997 = 1").select("id")))
 
 
 @query()
@@ -816,14 +1010,8 @@ def permutation_test(spark, d):
     return windows.permutation_p(p, "p_retailprice", "large", "p_partkey", 50)
 
 
-@query("WITH s AS (SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS x, p_retailprice / 100 AS y FROM part WHERE p_partkey <= 300), d AS (SELECT id, COALESCE(SQRT((x - LAG(x) OVER (ORDER BY id)) * (x - LAG(x) OVER (ORDER BY id)) + (y - LAG(y) OVER (ORDER BY id)) * (y - LAG(y) OVER (ORDER BY id))), 0) AS d FROM s), a AS (SELECT id, SUM(d) OVER (ORDER BY id) AS arc FROM d) SELECT id, ROUND(arc, 4) AS arc FROM a")
+@query("WITH s AS (SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS x, p_retailprice / 100 AS y FROM part), d AS (SELECT id, COALESCE(SQRT((x - LAG(x) OVER (ORDER BY id)) * (x - LAG(x) OVER (ORDER BY id)) + (y - LAG(y) OVER (ORDER BY id)) * (y - LAG(y) OVER (ORDER BY id))), 0) AS d FROM s), a AS (SELECT id, SUM(d) OVER (ORDER BY id) AS arc FROM d) SELECT id, ROUND(arc, 4) AS arc FROM a")
 def arc_length(spark, d):
-    p = t(spark, d, "part").filter("p_partkey <= 300").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("x"), (F.col("p_retailprice") / 100).alias("y"))
-    return windows.arc_segments(p, "id", 10).select("id", rd("arc", 4).alias("arc"))
-
-
-@query()
-def arc_length_whole(spark, d):
     p = t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("x"), (F.col("p_retailprice") / 100).alias("y"))
     return windows.arc_segments(p, "id", 10).select("id", rd("arc", 4).alias("arc"))
 

@@ -43,30 +43,39 @@ def wide_counts(spark: SparkSession, path: str, sep: str = "\t", gene: str | Non
     return d.unpivot(["feature"], [F.col(f"`{c}`") for c in others], "obs", "value").filter("value > 0").select("obs", "feature", "value")
 
 
+def lines(spark: SparkSession, path: str) -> DataFrame:
+    """(number, value): text lines numbered from 0, files by path; splits are counted, so no task sees all lines."""
+    t = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file_"), F.col("_metadata.file_block_start").alias("block_"), F.monotonically_increasing_id().alias("id_"))
+    counts = t.groupBy("file_", "block_").agg(F.count("*").alias("c_"))
+    before = Window.orderBy("file_", "block_").rowsBetween(Window.unboundedPreceding, -1)  # a row for each split
+    counts = counts.select("file_", "block_", F.coalesce(F.sum("c_").over(before), F.lit(0)).alias("ahead_"))
+    within = F.row_number().over(Window.partitionBy("file_", "block_").orderBy("id_")) - 1
+    return t.join(counts, ["file_", "block_"]).select((F.col("ahead_") + within).alias("number"), "value")
+
+
 def headerless_counts(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     """(i, j, value) of a plain matrix file; a row's number is that of its line."""
-    lines = spark.read.option("wholetext", False).text(path).withColumn("i", F.monotonically_increasing_id())
-    return lines.select("i", F.posexplode(F.split("value", sep)).alias("j", "value")).select("i", "j", F.col("value").cast("double").alias("value")).filter("value <> 0")
+    return lines(spark, path).select(F.col("number").alias("i"), F.posexplode(F.split("value", sep)).alias("j", "value")).select("i", "j", F.col("value").cast("double").alias("value")).filter("value <> 0")
 
 
 def matrix_market(spark: SparkSession, path: str) -> DataFrame:
     """(row, col, value), counted from 1, of a coordinate file; comments and the size line are left out."""
-    t = spark.read.text(path).filter(~F.col("value").startswith("%"))
+    t = lines(spark, path).filter(~F.col("value").startswith("%"))
     p = F.split(F.trim("value"), r"\s+")
-    rows = t.select(p[0].cast("long").alias("row"), p[1].cast("long").alias("col"), p[2].cast("double").alias("value"), F.monotonically_increasing_id().alias("n_"))
+    rows = t.select(p[0].cast("long").alias("row"), p[1].cast("long").alias("col"), p[2].cast("double").alias("value"), F.col("number").alias("n_"))
     return rows.join(F.broadcast(rows.agg(F.min("n_").alias("first_")))).filter("n_ <> first_").drop("n_", "first_")
 
 
 def numbered_lines(spark: SparkSession, path: str, names: list[str], sep: str = "\t") -> DataFrame:
     """Lines of a dictionary file with their number from 1."""
-    t = spark.read.text(path).withColumn("n_", F.monotonically_increasing_id())
+    t = lines(spark, path)
     p = F.split("value", sep)
-    return t.select(F.row_number().over(Window.orderBy("n_")).cast("long").alias("number"), *[p[i].alias(n) for i, n in enumerate(names)])
+    return t.select((F.col("number") + 1).alias("number"), *[p[i].alias(n) for i, n in enumerate(names)])
 
 
 def counts_from_market(matrix: DataFrame, features: DataFrame, barcodes: DataFrame, key: str = "gene_id") -> DataFrame:
     """Long counts from a genes x barcodes matrix and its two dictionaries."""
-    return matrix.join(F.broadcast(features.select(F.col("number").alias("row"), F.col(key).alias("feature"))), "row").join(barcodes.select(F.col("number").alias("col"), F.col("barcode").alias("obs")), "col").groupBy("obs", "feature").agg(F.sum("value").alias("value"))
+    return matrix.join(features.select(F.col("number").alias("row"), F.col(key).alias("feature")), "row").join(barcodes.select(F.col("number").alias("col"), F.col("barcode").alias("obs")), "col").groupBy("obs", "feature").agg(F.sum("value").alias("value"))
 
 
 TISSUE = "barcode string, in_tissue int, array_row int, array_col int, y double, x double"

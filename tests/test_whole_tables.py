@@ -29,7 +29,7 @@ def test_jaccard_pairs_of_all_users(spark):
         has[u].add(e % 40)
     want = {(a, b): len(has[a] & has[b]) / len(has[a] | has[b]) for a in has for b in has if a < b}
     want = {p: j for p, j in want.items() if j >= 0.6}
-    out = {(a, b): j for a, b, j in got(spark, "jaccard_pairs_whole", "/root/testdata/sf0.01")}
+    out = {(a, b): j for a, b, j in got(spark, "jaccard_pairs", "/root/testdata/sf0.01")}
     assert out == pytest.approx(want, abs=1e-6) and max(a for a, _ in out) >= 60
 
 
@@ -42,7 +42,7 @@ def test_silhouette_of_all_vectors(spark):
         mean = {k: d[(lab == k) & (np.arange(len(e)) != i)].mean() for k in set(lab.tolist()) if ((lab == k) & (np.arange(len(e)) != i)).any()}
         a, b = mean.get(lab[i]), min(x for k, x in mean.items() if k != lab[i])
         s.append(0.0 if a is None or max(a, b) == 0 else (b - a) / max(a, b))
-    assert len(e) > 200 and got(spark, "silhouette_whole")[0][0] == pytest.approx(np.mean(s), abs=1e-6)
+    assert len(e) > 200 and got(spark, "silhouette")[0][0] == pytest.approx(np.mean(s), abs=1e-6)
 
 
 def test_silhouette_in_several_blocks(spark):
@@ -60,7 +60,7 @@ def test_arc_length_of_all_parts(spark):
     for k, (i, x, y) in enumerate(p):
         arc += math.hypot(x - p[k - 1][1], y - p[k - 1][2]) if k else 0.0
         want[i] = arc
-    out = dict(got(spark, "arc_length_whole", d))
+    out = dict(got(spark, "arc_length", d))
     assert len(out) == len(p) > 300 and out == pytest.approx(want, abs=1e-3)
 
 
@@ -74,7 +74,7 @@ def test_scores_of_all_ligands(spark):
             value[group[o], s] += q
     keys = [k for (k,) in rows("SELECT s_suppkey FROM '{D}/supplier.parquet'")]
     want = {(a, b, k, k + 7): (value[a, k] / size[a] + value[b, k + 7] / size[b]) / 2 for a in size for b in size if a < b for k in keys}
-    assert {r[:4]: r[4] for r in got(spark, "group_pair_scores_whole")} == pytest.approx(want, abs=1e-6)
+    assert {r[:4]: r[4] for r in got(spark, "group_pair_scores")} == pytest.approx(want, abs=1e-6)
 
 
 def test_transport_over_all_parts(spark):
@@ -146,7 +146,7 @@ def test_buckets_of_all_parts(spark):
     from loomgrid.operators import raster
 
     want = {i: -(-s // 5) for i, s in rows("SELECT p_partkey, p_size FROM '{D}/part.parquet'")}
-    assert dict(got(spark, "grid_bucket_whole")) == want
+    assert dict(got(spark, "grid_bucket")) == want
     for parts, low, high in ((10, 1.0, 100.0), (7, 0.0, 0.7), (3, -0.1, 0.2), (10, 0.1, 1.1), (6, 0.1, 0.7), (9, 0.3, 1.2), (10, 0.1, 0.4)):
         edges = [(k, low + k * (high - low) / parts) for k in range(parts + 1)]
         out = raster.grid_bucket(spark.createDataFrame(edges, "k int, v double"), "v", parts, low, high).collect()
