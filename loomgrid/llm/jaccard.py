@@ -36,9 +36,11 @@ from pyspark.sql import functions as F
 from .common import BITS, Scratch, bits_of, cut, has_bit, passing, written
 
 #: Frequent shingles that are put last; a shingle is reported by a partition from so many sets on.
-HEAVY, HEAVY_LOCAL = 200_000, 4
+HEAVY, HEAVY_LOCAL = 1_000_000, 4
 #: Ranges of the order behind the prefix.
 FRAGMENTS = 4
+#: Hubs that a set is verified against in the first round, those it shares most with; the second round is for all others.
+HUBS = 4
 #: Tokens that similar sets must share beyond one in the compared part of their prefixes.
 MORE = 2
 #: Distinct words whose hashes a worker remembers.
@@ -220,11 +222,11 @@ def _may(percent: int, a: str, b: str) -> Column:
 
 
 def _promising(pairs: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (x, n, y, m) whose count of shared prefix tokens doesn't rule them out."""
+    """Distinct pairs (x, n, y, m, c) whose count c of shared prefix tokens doesn't rule them out."""
     counted = pairs.groupBy("x", "y").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("m").alias("m"))
     n, m = F.col("n"), F.col("m")
     rest = F.greatest(n - _reach(percent, n, m), m - _reach(percent, m, n))
-    return counted.filter(F.col("c") + rest >= _needed(percent, n, m)).select("x", "n", "y", "m")
+    return counted.filter(F.col("c") + rest >= _needed(percent, n, m)).select("x", "n", "y", "m", "c")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, first_ids: DataFrame, width: int, percent: int, order: Order, scratch: Scratch) -> DataFrame:
@@ -291,7 +293,9 @@ def _links(slim: DataFrame, sets: DataFrame, width: int, percent: int, order: Or
     hubs = scratch.written(shared.groupBy("token").agg(F.min(F.struct("key", "n", "pos", "rank")).alias("b")))
     star = shared.join(hubs, "token").withColumn("a", F.struct("n", "pos", "rank"))
     star = star.filter((F.col("key") != F.col("b.key")) & _may(percent, "a", "b")).select(F.col("b.key").alias("x"), F.col("b.n").alias("n"), F.col("key").alias("y"), F.col("a.n").alias("m"))
-    found = written(verified(scratch.written(_promising(star, percent)), slim, sets, width, percent, order, scratch))
+    most = F.row_number().over(Window.partitionBy("y").orderBy(F.desc("c"), "x"))  # a set has no more hubs than prefix tokens
+    star = _promising(star, percent).withColumn("r", most).filter(F.col("r") <= HUBS).select("x", "n", "y", "m")
+    found = written(verified(scratch.written(star), slim, sets, width, percent, order, scratch))
     known = components(found)
     rows = scratch.written(shared.join(known, "key", "left").withColumn("label", F.coalesce("label", "key")))
     # pairs of one label need no test: only tokens of several labels count, and of these the rows that lack the hub's
