@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.mathx import kernel, safe_divide, two_sided_p
+from ..functions.session import checkpointed
 from .differential import corrected_aic, iwls, moments
 from .graph import within
 from .iterate import golden_section
@@ -130,27 +131,33 @@ def chi_square_tail(x: float, df: int) -> float:
 def local_fits(points: DataFrame, samples: DataFrame, xs: list[str], y: str, bandwidth: float, axes=("x", "y")) -> DataFrame:
     """(src, residual, hat): at each location a gaussian fit weighted by a bisquare kernel over the places within the bandwidth.
 
-    Only weighted sums are aggregated for a location; hat is the weight that its own sample has in its fit.
+    Samples in one place have one fit and are summed before places meet, so only weighted sums of sums are aggregated; hat
+    is the weight that a sample has in its own fit.
     """
-    own = points.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("dist"))
-    edges = within(points, bandwidth, axes).select("src", "dst", "dist").unionByName(own).withColumn("w", kernel("bisquare", F.col("dist"), F.lit(float(bandwidth))))
-    cols = ["one_", *xs]
+    axes, cols = list(axes), ["one_", *xs]
     k = len(cols)
-    s = samples.withColumn("one_", F.lit(1.0)).select("obs", *[F.col(c).cast("double").alias(c) for c in [*cols, y]])
-    joined = edges.join(s.withColumnRenamed("obs", "dst"), "dst")
-    sums = joined.groupBy("src").agg(F.array(*[F.sum(F.col("w") * F.col(cols[i]) * F.col(cols[j])) for i in range(k) for j in range(k)]).alias("a"), F.array(*[F.sum(F.col("w") * F.col(c) * F.col(y)) for c in cols]).alias("b"))
-    rows = sums.join(s.select(F.col("obs").alias("src"), F.array(*cols).alias("own"), F.col(y).alias("y")), "src")
+    s = samples.withColumn("one_", F.lit(1.0)).select(F.col("obs").alias("id"), *[F.col(c).cast("double").alias(f"v{i}_") for i, c in enumerate([*cols, y])])
+    have = checkpointed(points.select("id", *axes).join(s, "id"))
+    half = [(i, j) for i in range(k) for j in range(i, k + 1)]  # the column after the last is y
+    sums = [f"m{i}_{j}_" for i, j in half]
+    at = checkpointed(have.groupBy(*axes).agg(F.min("id").alias("place"), *[F.sum(F.col(f"v{i}_") * F.col(f"v{j}_")).alias(m) for (i, j), m in zip(half, sums, strict=True)]))
+    near = within(at.select("place", *axes), bandwidth, axes, "place", at, sums).withColumn("w", kernel("bisquare", F.col("dist"), F.lit(float(bandwidth)))).filter("w > 0 OR src = dst")
+    fits = near.groupBy("src").agg(*[F.sum(F.col("w") * F.col(m)).alias(m) for m in sums])
 
     def solve(batches):
         for p in batches:
-            a = np.array(p["a"].tolist(), float).reshape(len(p), k, k)
-            b, v = (np.array(p[c].tolist(), float).reshape(len(p), k) for c in ("b", "own"))
+            full = {ij: p[m].to_numpy(float) for ij, m in zip(half, sums, strict=True)}
+            a = np.stack([full[min(i, j), max(i, j)] for i in range(k) for j in range(k)], axis=1).reshape(len(p), k, k)
+            b = np.stack([full[i, k] for i in range(k)], axis=1)
             inverse = np.linalg.pinv(a, hermitian=True)
             beta = np.einsum("nij,nj->ni", inverse, b)
-            yield pd.DataFrame({"src": p["src"], "residual": p["y"] - (beta * v).sum(axis=1), "hat": np.einsum("ni,nij,nj->n", v, inverse, v)})
+            yield pd.DataFrame({"place": p["src"], "beta": list(beta), "inverse": list(inverse.reshape(len(p), k * k))})
 
     kind = points.schema["id"].dataType.simpleString()
-    return rows.mapInPandas(solve, f"src {kind}, residual double, hat double")
+    solved = fits.mapInPandas(solve, f"place {kind}, beta array<double>, inverse array<double>").join(at.select("place", *axes), "place").drop("place")
+    fitted = sum((F.col("beta")[i] * F.col(f"v{i}_") for i in range(1, k)), F.col("beta")[0] * F.col("v0_"))
+    hat = sum((F.col(f"v{i}_") * F.col("inverse")[i * k + j] * F.col(f"v{j}_") for i in range(k) for j in range(k)), F.lit(0.0))
+    return have.join(solved, axes).select(F.col("id").alias("src"), (F.col(f"v{k}_") - fitted).alias("residual"), hat.alias("hat"))
 
 
 def local_aicc(points: DataFrame, samples: DataFrame, xs: list[str], y: str, bandwidth: float, axes=("x", "y")) -> float:
