@@ -11,8 +11,9 @@ by fragment and summed per pair; what the prefix fragment alone rules out goes n
    ranks among these.
 3. First round: in every token's group, each set is paired with one hub, the set of least key. So a group of n near copies
    yields about n pairs, as most of their tokens have the same hub. Verified links give components.
-4. Second round, exact: all pairs of a group whose components differ, filtered by size, by position, and by rank among
-   the prefix tokens that other prefixes have too. What survives the prefix count is verified. Pairs inside a component
+4. Second round, exact: all pairs of a group whose components differ, filtered by size, by position, by rank among
+   the prefix tokens that other prefixes have too, and by parities: each token flips one of ``PARITIES`` bits of its set, so
+   two sets differ in as many tokens at least as their bits differ. What survives the prefix count is verified. Pairs inside a component
    need no test, for only components are returned; they aren't formed: of a token's rows, those whose component isn't the
    hub's meet the others.
 
@@ -43,11 +44,12 @@ FRAGMENTS = 4
 HUBS = 4
 #: Tokens that similar sets must share beyond one in the compared part of their prefixes.
 MORE = 2
+#: Bits of a set's parities, a multiple of 64; more bits tell larger sets apart. They decide only how much is verified.
+PARITIES = 512
 #: Distinct words whose hashes a worker remembers.
 REMEMBERED = 500_000
 
 
-
 class _Hashes(dict):
     """Hashes of words, computed when first asked for."""
 
@@ -84,6 +86,13 @@ def key_of(tokens: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes(), seed=len(tokens))).view(np.int64)) if len(tokens) else 0
 
 
+def parities(tokens: np.ndarray) -> np.ndarray:
+    """PARITIES bits, as int64: of the tokens that fall to a bit, is the number odd?"""
+    at = (tokens.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
+    odd = np.bincount((at % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 class Order:
     """The global order: light tokens by hash, then heavy ones by count and hash."""
 
@@ -107,7 +116,9 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def set_rows(docs: DataFrame, width: int) -> DataFrame:
-    """kind 0: (id, row, n, key) of each document; kind 1: shingles frequent in a partition, with their counts, as (key, n)."""
+    """kind 0: (id, row, n, key, par) of each document, par its set's parities; kind 1: shingles frequent in a partition, with their counts, as (key, n)."""
+    fields = [f"p{k}" for k in range(PARITIES // 64)]
+    kind = pa.struct([(f, pa.int64()) for f in fields])
 
     def each(batches):
         kept: list[np.ndarray] = []
@@ -122,16 +133,17 @@ def set_rows(docs: DataFrame, width: int) -> DataFrame:
             kept.clear()
 
         for batch in batches:
-            keys, sizes = [], []
-            for t in batch.column("text").to_pylist():
+            keys, sizes, pars = [], [], np.zeros((batch.num_rows, len(fields)), np.int64)
+            for k, t in enumerate(batch.column("text").to_pylist()):
                 s = shingles(t, width)
                 keys.append(key_of(s))
                 sizes.append(len(s))
+                pars[k] = parities(s)
                 if len(s) and keys[-1] not in seen:
                     seen.add(keys[-1])
                     kept.append(s)
                     waiting += len(s)
-            yield pa.RecordBatch.from_arrays([pa.array([0] * len(keys), pa.int32()), batch.column("id"), batch.column("row"), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64())], names=["kind", "id", "row", "n", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array([0] * len(keys), pa.int32()), batch.column("id"), batch.column("row"), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.StructArray.from_arrays([pa.array(x.copy()) for x in pars.T], fields=list(kind))], names=["kind", "id", "row", "n", "key", "par"])
             if waiting > 6_000_000:
                 count()
                 seen.clear()
@@ -139,9 +151,9 @@ def set_rows(docs: DataFrame, width: int) -> DataFrame:
         if kept:
             count()
         for tokens, n in found:
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(tokens), np.int32)), pa.nulls(len(tokens), pa.int64()), pa.nulls(len(tokens), pa.int64()), pa.array(n), pa.array(tokens)], names=["kind", "id", "row", "n", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(tokens), np.int32)), pa.nulls(len(tokens), pa.int64()), pa.nulls(len(tokens), pa.int64()), pa.array(n), pa.array(tokens), pa.nulls(len(tokens), kind)], names=["kind", "id", "row", "n", "key", "par"])
 
-    return docs.mapInArrow(each, "kind int, id long, row long, n long, key long")
+    return docs.mapInArrow(each, f"kind int, id long, row long, n long, key long, par struct<{', '.join(f'{f}: bigint' for f in fields)}>")
 
 
 def prefix_rows(docs: DataFrame, width: int, percent: int, order: Order) -> DataFrame:
@@ -221,6 +233,13 @@ def _may(percent: int, a: str, b: str) -> Column:
     return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & compared & (F.least(r, s) + 1 + F.least(n - i - 1, m - j - 1) >= need)
 
 
+def _near(percent: int, a: str, b: str) -> Column:
+    """Exact filter by parities: similar sets differ in no more tokens than their sizes and least overlap leave."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    bits = [F.bit_count(F.col(f"{a}.par.p{k}").bitwiseXOR(F.col(f"{b}.par.p{k}"))) for k in range(PARITIES // 64)]
+    return sum(bits[1:], bits[0]) <= n + m - 2 * _needed(percent, n, m)
+
+
 def _promising(pairs: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs (x, n, y, m, c) whose count c of shared prefix tokens doesn't rule them out."""
     counted = pairs.groupBy("x", "y").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("m").alias("m"))
@@ -270,10 +289,11 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
 def _placed(slim: DataFrame, width: int, percent: int) -> DataFrame:
     """(id, row, n, key, label, component_id) of every row (id, text, row); label and component_id are null for empty sets."""
     first = written(set_rows(slim, width), "kind")
-    rows = first.filter("kind = 0").select("id", "row", "n", "key")
+    told = first.filter("kind = 0")
+    rows = told.select("id", "row", "n", "key")
     heavy = first.filter("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(HEAVY).toArrow()
     order = Order(heavy.column("key").to_numpy(), heavy.column("n").to_numpy())
-    sets = written(rows.filter("n > 0").groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("copies")))
+    sets = written(told.filter("n > 0").groupBy("key").agg(F.min("id").alias("id"), F.first("par").alias("par")))
     links = _links(slim, sets, width, percent, order, Scratch(slim.sparkSession))
     label = components(links)
     least = sets.join(label, "key", "left").select("key", "id", F.coalesce("label", "key").alias("label"))
@@ -289,25 +309,32 @@ def _links(slim: DataFrame, sets: DataFrame, width: int, percent: int, order: Or
     several = scratch.written(prefix.groupBy("token").agg(F.min("key").alias("a"), F.max("key").alias("b")).filter("a <> b").select("token"))
     shared = prefix.join(several, "token").groupBy("token", "key").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
     shared = scratch.written(shared.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("pos")) - 1))
+    scratch.drop(prefix, several)
     # the same set is the hub of most tokens that its near copies share
     hubs = scratch.written(shared.groupBy("token").agg(F.min(F.struct("key", "n", "pos", "rank")).alias("b")))
     star = shared.join(hubs, "token").withColumn("a", F.struct("n", "pos", "rank"))
     star = star.filter((F.col("key") != F.col("b.key")) & _may(percent, "a", "b")).select(F.col("b.key").alias("x"), F.col("b.n").alias("n"), F.col("key").alias("y"), F.col("a.n").alias("m"))
     most = F.row_number().over(Window.partitionBy("y").orderBy(F.desc("c"), "x"))  # a set has no more hubs than prefix tokens
     star = _promising(star, percent).withColumn("r", most).filter(F.col("r") <= HUBS).select("x", "n", "y", "m")
-    found = written(verified(scratch.written(star), slim, sets, width, percent, order, scratch))
-    known = components(found)
-    rows = scratch.written(shared.join(known, "key", "left").withColumn("label", F.coalesce("label", "key")))
+    star = scratch.written(star)
+    found = written(verified(star, slim, sets, width, percent, order, scratch))
+    scratch.drop(but=[shared])
+    known = sets.select("key", "par").join(components(found), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    rows = scratch.written(shared.join(known, "key"))
+    scratch.drop(shared)
     # pairs of one label need no test: only tokens of several labels count, and of these the rows that lack the hub's
     labels = rows.groupBy("token").agg(F.min_by("label", "key").alias("main"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
-    rows = scratch.written(rows.join(scratch.written(labels.select("token", "main")), "token"))
+    every, rows = rows, scratch.written(rows.join(scratch.written(labels.select("token", "main")), "token"))
+    scratch.drop(every)
     a, b = rows.filter("label <> main").alias("a"), rows.alias("b")
     apart = (F.col("a.label") != F.col("b.label")) & ((F.col("b.label") == F.col("b.main")) | (F.col("a.key") < F.col("b.key")))
-    cross = a.join(b, (F.col("a.token") == F.col("b.token")) & apart & _may(percent, "a", "b"))
+    cross = a.join(b, (F.col("a.token") == F.col("b.token")) & apart & _may(percent, "a", "b") & _near(percent, "a", "b"))
     first = F.col("a.key") < F.col("b.key")
     x, y = F.struct("a.key", "a.n"), F.struct("b.key", "b.n")
     cross = cross.select(F.when(first, x).otherwise(y).alias("x"), F.when(first, y).otherwise(x).alias("y")).select(F.col("x.key").alias("x"), F.col("x.n").alias("n"), F.col("y.key").alias("y"), F.col("y.n").alias("m"))
-    more = written(verified(scratch.written(_promising(cross, percent)), slim, sets, width, percent, order, scratch))
+    cross = scratch.written(_promising(cross, percent))
+    scratch.drop(rows)
+    more = written(verified(cross, slim, sets, width, percent, order, scratch))
     scratch.drop()
     return found.unionByName(more)
 

@@ -111,6 +111,35 @@ def test_a_token_of_a_third_of_all_sets(spark):
     assert got == plain_components(rows, 3, 90)
 
 
+def test_alike_but_unlinked_sets_are_not_verified(spark, monkeypatch):
+    """Many edits of one text, mostly too far from each other to link: parities keep nearly all pairs from verification."""
+    pairs = []
+    plain = jaccard.verified
+    monkeypatch.setattr(jaccard, "verified", lambda p, *rest: pairs.append(p.count()) or plain(p, *rest))
+    rng = random.Random(31)
+    base = [f"w{k}" for k in range(140)]
+    texts = []
+    for _ in range(120):
+        w = list(base)
+        for k in rng.sample(range(140), 8):
+            w[k] = f"x{rng.randrange(10**9)}"
+        texts.append(" ".join(w))
+    rows = list(enumerate(texts + near_copies(32, 20, 120, 2)))
+    rng.shuffle(rows)
+    got = sorted((tuple(r) for r in jaccard.joined(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == plain_components(rows, 3, 90)
+    assert pairs[-1] < 300
+
+
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        a = rng.integers(-(1 << 63), (1 << 63) - 1, rng.integers(0, 400), np.int64)
+        b = np.concatenate((a[rng.integers(0, len(a) + 1) :], rng.integers(-(1 << 63), (1 << 63) - 1, rng.integers(0, 60), np.int64)))
+        apart = (jaccard.parities(a) ^ jaccard.parities(b)).view(np.uint64)
+        assert sum(int(x).bit_count() for x in apart) <= len(set(a.tolist()) ^ set(b.tolist()))
+
+
 def test_chains_reach_their_least_key(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 101), (101, 99), (200, 199)], "x long, y long")
     got = {r["key"]: r["label"] for r in jaccard.components(links).collect()}
